@@ -25,10 +25,12 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -42,15 +44,24 @@ REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
 CHUNK = 1 << 20
 
 
-def pieces_pattern() -> str:
-    """The pattern over letters and numbers of the interpreter's own Unicode version.
+@lru_cache(maxsize=1)
+def newer_characters() -> tuple[str, dict[int, str]]:
+    """Where the regex module, the interpreter and the tokenizers library know different Unicode versions.
 
-    The tokenizers library knows an older Unicode than the regex module does; characters that came
-    later are neither letters nor numbers to it.
+    Returns the letters and numbers of the regex module that the library doesn't know yet, and lower
+    case forms of the library that the interpreter doesn't know yet.
     """
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    later = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
-    kind = lambda name: rf"[\p{{{name}}}--[{regex.escape(later, special_only=True)}]]" if later else rf"\p{{{name}}}"
+    newer = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    known = tokenizers.pre_tokenizers.Split(tokenizers.Regex(r"[^\p{L}\p{N}]"), "removed").pre_tokenize_str("".join(newer))
+    known = set("".join(piece for piece, _ in known))
+    lower = tokenizers.normalizers.Lowercase().normalize_str
+    return "".join(c for c in newer if c not in known), {ord(c): small for c in newer if (small := lower(c)) != c}
+
+
+def pieces_pattern() -> str:
+    later = newer_characters()[0]
+    kind = lambda name: rf"[\p{{{name}}}--[{later}]]" if later else rf"\p{{{name}}}"
     return PIECES.replace("{L}", kind("L")).replace("{N}", kind("N"))
 
 
@@ -153,7 +164,7 @@ def normalised(text: str) -> str:
     if text.isascii():
         return text.lower()
     # str.lower() knows a final sigma, the letterwise rule does not
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(newer_characters()[1])
 
 
 class Encoder(dict):
