@@ -59,10 +59,22 @@ def newer_characters() -> tuple[str, dict[int, str]]:
     return "".join(c for c in newer if c not in known), {ord(c): small for c in newer if (small := lower(c)) != c}
 
 
-def pieces_pattern() -> str:
+def cutter():
+    """A function from a normalised text to its pieces."""
+    plain = lambda name: rf"\p{{{name}}}"
     later = newer_characters()[0]
-    kind = lambda name: rf"[\p{{{name}}}--[{later}]]" if later else rf"\p{{{name}}}"
-    return PIECES.replace("{L}", kind("L")).replace("{N}", kind("N"))
+    known = regex.compile(PIECES.replace("{L}", plain("L")).replace("{N}", plain("N"))).findall
+    if not later:
+        return known
+    less = lambda name: rf"[{plain(name)}--[{later}]]"
+    exact = regex.compile(PIECES.replace("{L}", less("L")).replace("{N}", less("N")), regex.V1).findall
+    alien = frozenset(later).isdisjoint
+
+    def pieces(text: str) -> list[str]:
+        # set differences are slow in the regex module; only texts with such characters need them
+        return known(text) if text.isascii() or alien(text) else exact(text)
+
+    return pieces
 
 
 def sufficient_lookahead(vocabulary: bpe_vocab.Vocabulary) -> tuple[int, int]:
@@ -174,7 +186,7 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.transducer = Transducer(vocabulary, *sufficient_lookahead(vocabulary))
-        self.pieces = regex.compile(pieces_pattern(), regex.V1).findall
+        self.pieces = cutter()
         strings = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
 

@@ -94,6 +94,12 @@ def map_text(docs: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
     return frame.mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with neutral column names, which clash with no result, and the new names of ``names``."""
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), [own[n] for n in names]
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(to_arrow(kind.elementType))

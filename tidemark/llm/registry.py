@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_codec, token_counts
+from tidemark.llm import bpe_codec, decontamination, exact_dedup, language_id, token_counts, toxicity
 
-MODULES = (token_counts, bpe_codec)
+MODULES = (token_counts, exact_dedup, language_id, toxicity, bpe_codec, decontamination)
 
 
 def queries() -> dict:
