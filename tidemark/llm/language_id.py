@@ -1,6 +1,6 @@
 """Language identification (operator 3): a byte convolutional network in numpy.
 
-A text is cut into fixed-length windows of bytes. Bytes are embedded, filters of several widths slide
+A text, with A-Z lower-cased, is cut into fixed-length windows of bytes. Bytes are embedded, filters of several widths slide
 over a window, max pooling keeps each filter's strongest response and a softmax gives the language. A
 document's distribution is the mean over all its windows, weighted by their bytes, so whole texts
 count. The network is trained by the driver on windows of a bounded sample of labelled rows
@@ -122,7 +122,7 @@ def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.nda
     """A few windows of each text, spread over all of it, and a short one; with the text's number."""
     windows, owner = [], []
     for k, text in enumerate(texts):
-        raw = text.encode()
+        raw = text.encode().lower()
         starts = {int(s) for s in np.linspace(0, max(0, len(raw) - WINDOW), PER_DOCUMENT)}
         pieces = [raw[s : s + WINDOW] for s in sorted(starts)]
         start = int(rng.integers(0, max(1, len(raw) - 8)))
@@ -139,7 +139,7 @@ def learn(docs: DataFrame, held_out: int | None = 2, folds: int = 4, sample: int
     if held_out is not None:
         known = known.where(common.fold(known, "doc_id", folds) != held_out)
     share = known.groupBy("lang").count()
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) * F.col("count")
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") * F.col("count")
     chosen = known.select("doc_id", "lang").join(share, "lang").orderBy(place, "doc_id").limit(sample).select("doc_id")
     # the sample is bounded by a parameter, so this side is as well
     rows = sorted(set(map(tuple, known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id").collect())), key=str)
@@ -171,7 +171,7 @@ def predictor(net: Network | None):
         for k, text in enumerate(texts):
             if net is None or not text or not letter(text):
                 continue
-            raw = text.encode()
+            raw = text.encode().lower()
             windows = cut(raw)
             held.append(windows)
             owner.append(k)

@@ -2,9 +2,9 @@
 
 A document is its set of distinct terms, hashed to slots. The score is the logistic function of
 ``b + sum w_i + sum_{i<j} <v_i, v_j>``: the pairwise part learns combinations, such as an insult
-together with a group mention, that additive weights miss. Training follows the adaptive scheme of
-large factorization machines: a sparse linear model (proximal AdaGrad) first decides which slots carry
-signal, then weights and factors of these slots are fitted together. It takes a bounded sample of
+together with a group mention, that additive weights miss. Only slots with evidence get weights: their
+presence must depend on the label by a log-likelihood ratio of ``EVIDENCE``. Weights and factors of
+these slots are fitted together by Adam with decay. Training takes a bounded sample of
 labelled rows (``SAMPLE``, a parameter) in the order of a hash of the id, so the same tables give the
 same model; scoring reads every whole text of all rows in one pass without a shuffle.
 
@@ -27,6 +27,8 @@ from tidemark.llm import common
 
 SLOT_BITS, FACTORS, SAMPLE = 20, 4, 20_000
 THRESHOLD = 0.7
+#: Evidence (G2, one degree of freedom) that gives a slot weights, and the decay of weights and factors.
+EVIDENCE, DECAY = 20.0, 1e-4
 REMEMBERED = 300_000
 #: Words end at ASCII characters other than letters and digits.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -81,21 +83,21 @@ def constant(share: float) -> Machine:
     return Machine(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, sparse: float = 2e-4, seed: int = 7) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, evidence: float = EVIDENCE, seed: int = 7) -> Machine:
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    active = linear_support(rows, y, epochs, sparse, rng)
+    active = informative(rows, y, evidence)
     row_of = np.full(1 << SLOT_BITS, -1, np.int64)
     row_of[active] = np.arange(len(active))
     kept = [k[k >= 0] for k in (row_of[r] for r in rows)]
     bias, w, v = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(active)), rng.normal(0, 0.01, (len(active), FACTORS))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v)]
     step = 0
-    for _ in range(epochs * 2):
+    for _ in range(epochs):
         order = rng.permutation(len(kept))
-        for batch in np.array_split(order, max(1, len(order) // 500)):
+        for batch in np.array_split(order, max(1, len(order) // 250)):
             step += 1
             sizes = np.array([len(kept[k]) for k in batch])
             flat = np.concatenate([kept[k] for k in batch])
@@ -106,10 +108,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, sparse:
             np.add.at(squares, doc, (v[flat] ** 2).sum(1))
             logit = bias + np.bincount(doc, w[flat], len(batch)) + 0.5 * ((sums**2).sum(1) - squares)
             error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[batch]) / len(batch)
-            gw = np.bincount(flat, error[doc], len(active)) + 1e-5 * w
+            gw = np.bincount(flat, error[doc], len(active)) + DECAY * w
             gv = np.zeros_like(v)
             np.add.at(gv, flat, error[doc, None] * (sums[doc] - v[flat]))
-            gv += 1e-4 * v
+            gv += DECAY * v
             bias -= 0.5 * float(error.sum())
             for x, g, (m, s), rate in ((w, gw, state[0], 0.05), (v, gv, state[1], 0.01)):
                 m += 0.1 * (g - m)
@@ -118,29 +120,17 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, sparse:
     return Machine(bias, active, w, v)
 
 
-def linear_support(rows: list[np.ndarray], y: np.ndarray, epochs: int, sparse: float, rng: np.random.Generator) -> np.ndarray:
-    """Slots that a sparse logistic regression by proximal AdaGrad gives a weight."""
-    n = 1 << SLOT_BITS
-    seen = np.bincount(np.concatenate(rows), minlength=n)
-    known = np.flatnonzero(seen >= max(2, min(5, len(y) // 200)))
-    at = np.full(n, -1, np.int64)
-    at[known] = np.arange(len(known))
-    kept = [k[k >= 0] for k in (at[r] for r in rows)]
-    w, past, bias = np.zeros(len(known)), np.full(len(known), 1e-8), float(np.log(y.mean() / (1 - y.mean())))
-    for _ in range(epochs):
-        order = rng.permutation(len(kept))
-        for batch in np.array_split(order, max(1, len(order) // 1000)):
-            sizes = np.array([len(kept[k]) for k in batch])
-            flat, doc = np.concatenate([kept[k] for k in batch]), np.repeat(np.arange(len(batch)), sizes)
-            logit = bias + np.bincount(doc, w[flat], len(batch))
-            error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[batch]) / len(batch)
-            g = np.bincount(flat, error[doc], len(known))
-            past += g * g
-            rate = 0.3 / np.sqrt(past)
-            w -= rate * g
-            w = np.sign(w) * np.maximum(np.abs(w) - rate * sparse, 0)
-            bias -= 0.5 * float(error.sum())
-    return known[w != 0]
+def informative(rows: list[np.ndarray], y: np.ndarray, evidence: float) -> np.ndarray:
+    """Slots whose presence depends on the label: log-likelihood ratio G2 of their 2x2 table of at least ``evidence``."""
+    n, flat = 1 << SLOT_BITS, np.concatenate(rows)
+    sizes = np.array([len(r) for r in rows])
+    have = np.array([np.bincount(flat, np.repeat(y == k, sizes), n) for k in (0, 1)])
+    total = np.array([[(y == 0).sum()], [(y == 1).sum()]], float)
+    cells = np.stack([have, total - have])
+    expected = cells.sum(1, keepdims=True) * (total / total.sum())[None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g2 = 2 * np.where(cells > 0, cells * np.log(cells / expected), 0).sum((0, 1))
+    return np.flatnonzero(g2 >= evidence)
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out: int | None = 1, folds: int = 3, sample: int = SAMPLE) -> Machine:
