@@ -30,8 +30,12 @@ from tidemark.llm import common
 
 #: What normalising deletes; a fixed value.
 BLANKS = r"[\x20\x09-\x0D]+"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the state stores: on disk, and no space set aside beforehand, as there is one for each partition.
+STORES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 FILES_PER_BATCH = 1000
 ARRIVAL = "_digest string, _points long, _id long, _file string, _row long"
 
@@ -56,12 +60,14 @@ def located(docs: DataFrame) -> DataFrame:
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORES}
+    for k, v in STORES.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def absorb(spark: SparkSession, arrivals: str, state: str, files_per_batch: int = FILES_PER_BATCH) -> None:
@@ -106,7 +112,8 @@ def decided(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=
     keyed.select("_digest", "_points", "_id", "_file", "_row").write.parquet(arrivals)
     slim = spark.read.schema(ARRIVAL).parquet(arrivals)
     absorb(spark, arrivals, state, files_per_batch)
-    groups = common.staged(held(spark, state), "dedup-groups")
+    with rocksdb(spark):
+        groups = common.staged(held(spark, state), "dedup-groups")
 
     hit = groups.where("_n > 1").select("_digest")
     hits = common.lookup_side(hit, hit.count())
