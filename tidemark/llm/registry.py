@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_codec, decontamination, exact_dedup, language_id, token_counts, toxicity
+from tidemark.llm import (
+    bpe_codec,
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    lm_scores,
+    packing,
+    token_counts,
+    toxicity,
+)
 
-MODULES = (token_counts, exact_dedup, language_id, toxicity, bpe_codec, decontamination)
+MODULES = (token_counts, exact_dedup, language_id, toxicity, license_scan, jaccard_join, bpe_codec, lm_scores, packing, decontamination)
 
 
 def queries() -> dict:
