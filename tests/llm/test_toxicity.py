@@ -30,8 +30,9 @@ def test_pairs_are_learnt_that_additive_weights_miss():
         rows.append(np.array(sorted(own), np.int32))
         labels.append(int(x == y))
     model = toxicity.train(rows, np.array(labels), epochs=150, evidence=0.0)
-    score = model.scorer()
-    assert min(score("insult group"), score("n1 n2")) > 0.8 and max(score("insult"), score("group")) < 0.2
+    # texts like those that were learnt from: five other words, with none, one or both of the pair
+    score, rest = model.scorer(), "n1 n12 n23 n34 n45 "
+    assert min(score(rest + "insult group"), score(rest)) > 0.8 and max(score(rest + "insult"), score(rest + "group")) < 0.2
 
 
 def test_edge_cases(spark):
