@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import panel
 
-from pyspark.sql import DataFrame, SparkSession
+CATALOGS = (panel.CATALOG,)
 
-Query = Callable[[SparkSession, str], DataFrame]
 
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return {name: query for catalog in CATALOGS for name, query in catalog.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for catalog in CATALOGS for name, sql in catalog.sql.items()}
