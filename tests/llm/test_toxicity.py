@@ -29,7 +29,7 @@ def test_pairs_are_learnt_that_additive_weights_miss():
         own = {int(s) for s in rng.choice(noise, 5)} | ({a} if x else set()) | ({b} if y else set())
         rows.append(np.array(sorted(own), np.int32))
         labels.append(int(x == y))
-    model = toxicity.train(rows, np.array(labels), epochs=150, evidence=0.0)
+    model = toxicity.train(rows, np.array(labels), epochs=150, evidence=1e-6)
     # texts like those that were learnt from: five other words, with none, one or both of the pair
     score, rest = model.scorer(), "n1 n12 n23 n34 n45 "
     assert min(score(rest + "insult group"), score(rest)) > 0.8 and max(score(rest + "insult"), score(rest + "group")) < 0.2
