@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Rows of ids, or of similarly narrow rows, up to which a side may be broadcast (about 32 MB).
 BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of an Arrow batch: texts may be long, and two batches may be held at a time.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,10 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application, and bounds what Python holds."""
+    for key, most in BATCH_LIMITS.items():
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if getattr(context, "_tidemark_shipped", False):
         return

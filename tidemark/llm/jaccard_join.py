@@ -4,13 +4,14 @@ Documents are sets of hashed 5-word shingles; two link when |x & y| / |x | y| >=
 component of every document, and no link between different components goes unseen:
 
 1. Documents with one and the same set form a class; its smallest id stands for it.
-2. Classes that share a min-hash are compared with the smallest of them, if their sketches agree. The
-   stars that hold are the groups: similar documents, connected already.
+2. Classes that share a min-hash are compared with the smallest of them and a few others, if their
+   sketches agree. What the stars that hold connect is a group: similar documents.
 3. The token-group matrix has a column for each group, the union of its members' tokens. A query x can
    only link into a group that holds ceil(0.75 |x|) of its tokens, hence one of any |x| - ceil(0.75 |x|)
    + 1 of them; so queries and groups enter the matrix with the first tokens of an order common to all
    documents: by hash, after which come the tokens that very many groups have, rarest first. (Which
-   tokens these are changes the work, never the result.)
+   tokens these are changes the work, never the result.) Sets that link share a known number of first
+   tokens, not just one; groups that share fewer are never opened.
 4. Groups are split into blocks of about ``BLOCK`` members. A query meets the block's token union first;
    if its overlap is below the bound the whole block is passed over, otherwise the block is opened and
    the query compared with each member. One link connects the two groups, which ends their comparison.
@@ -34,7 +35,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,13 +45,15 @@ from tidemark.llm.shingles import overlap, shingle_set
 
 #: The similarity, as a fraction.
 OVER, UNDER = 3, 4
-#: Min-hashes of a sketch, those that are grouped by, and how many must agree for a comparison.
-SKETCH, SEEDS, AGREE = 8, 4, 4
+#: Min-hashes of a sketch, those that are grouped by, how many must agree for a comparison, and the centres of stars.
+SKETCH, SEEDS, AGREE, LEADERS = 8, 4, 4, 4
 BLOCK, SLICE, FIRST_TRY = 64, 256, 8
 #: Groups that hold a token, from which it counts as frequent, and the most tokens that do.
 HOT, FREQUENT = 8, 1 << 20
 #: Tokens of a bucket of the matrix, and tokens that a task holds before it sends them.
-BUCKET_TOKENS, HELD_TOKENS = 2_000_000, 2_000_000
+BUCKET_TOKENS, HELD_TOKENS = 2_000_000, 1_000_000
+#: Pairs that a task adds up before it sends them.
+HELD_PAIRS = 500_000
 
 MULTIPLIERS = (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 REMIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -88,10 +91,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """(g, node): the smallest class of a min-hash, and another whose sketch agrees with its."""
+    """(g, node): one of a few classes picked for each min-hash, and another whose sketch agrees with its."""
     keyed = classes.select("node", F.posexplode(F.slice("mins", 1, SEEDS)).alias("k", "key"))
-    leaders = keyed.groupBy("k", "key").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    pairs = keyed.join(leaders, ["k", "key"]).where("g <> node").select("g", "node").distinct()
+    picks = [F.min("node"), *[F.min_by("node", F.xxhash64("node", F.lit(salt))) for salt in range(1, LEADERS)]]
+    leaders = keyed.groupBy("k", "key").agg(F.array_distinct(F.array(*picks)).alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pairs = keyed.join(leaders.select("k", "key", F.explode("g").alias("g")), ["k", "key"]).where("g <> node")
+    pairs = pairs.select(F.least("g", "node").alias("g"), F.greatest("g", "node").alias("node")).distinct()
     own = classes.select("node", "n", "mins")
     lead = classes.select(F.col("node").alias("g"), F.col("n").alias("gn"), F.col("mins").alias("gmins"))
     agree = F.aggregate(F.zip_with("mins", "gmins", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -222,7 +227,7 @@ def frequent(docs: DataFrame, roles: DataFrame, bits: int) -> tuple[np.ndarray,
 
 
 def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(a, b), a < b: groups that share a first token of some member each."""
+    """(a, b, shared), a < b: groups that share first tokens of their members, and how many."""
     sent = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
     def first():
@@ -246,7 +251,16 @@ def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, co
 
         return pick
 
+    def counted(left: list, right: list):
+        a, b = np.concatenate(left), np.concatenate(right)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        n = np.diff(np.append(at, len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
     def pairs(batches):
+        left, right, held = [], [], 0
         for _, tokens, groups in by_bucket(batches):
             tokens, groups = np.frombuffer(tokens, np.uint64), np.frombuffer(groups, np.int64)
             order = np.lexsort((groups, tokens))
@@ -259,13 +273,31 @@ def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, co
                 own = starts[sizes == size]
                 for at in range(1, size):
                     # a token's groups come in ascending order; the later one at a distance of ``at``
-                    left = (own[:, None] + np.arange(size - at)[None]).ravel()
-                    for k in range(0, len(left), 1 << 18):
-                        a, b = groups[left[k : k + (1 << 18)]], groups[left[k : k + (1 << 18)] + at]
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    for k in range(0, len(own), step := max(1, HELD_PAIRS // (size - at))):
+                        place = (own[k : k + step, None] + np.arange(size - at)[None]).ravel()
+                        left.append(groups[place])
+                        right.append(groups[place + at])
+                        held += len(place)
+                        if held >= HELD_PAIRS:
+                            yield counted(left, right)
+                            left, right, held = [], [], 0
+        if held:
+            yield counted(left, right)
 
     dealt = blobs(docs, roles, bits, first, True).repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+    return dealt.mapInArrow(pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+
+
+def least_shared(x: str, y: str) -> Column:
+    """First tokens that groups with sizes ``x``_least.. and ``y``_least.. share at least if they link.
+
+    Sets that link have 3/7 of their summed sizes in common. All but those in both beginnings are in the
+    rest of the set whose beginning ends first, which has ceil(0.75 n) - 1 tokens. So for n_x <= n_y at
+    least 3 (n_x + n_y) / 7 - 0.75 n_y common tokens are in both beginnings; that grows with n_x and falls
+    with n_y, which is n_x / 0.75 at most.
+    """
+    small, large = F.col(f"{x}_least"), F.least(F.col(f"{y}_most"), F.floor(F.col(f"{x}_least") * UNDER / OVER))
+    return (small + large) * OVER / (OVER + UNDER) - F.ceil(large * OVER / UNDER) + 1
 
 
 def compared(docs: DataFrame, pairs: DataFrame, members: DataFrame, quick: bool) -> DataFrame:
@@ -290,9 +322,10 @@ def group_links(docs: DataFrame, members: DataFrame, roles: DataFrame, tokens: i
     stats = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     side = lambda name: stats.select(F.col("comp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "least", "most")])
     fits = (UNDER * F.col("a_most") >= OVER * F.col("b_least")) & (UNDER * F.col("b_most") >= OVER * F.col("a_least"))
+    enough = F.col("shared") >= F.least(least_shared("a", "b"), least_shared("b", "a")) - 1e-6
     bigger = F.col("a_size") >= F.col("b_size")
     pick = lambda x, y: F.when(bigger, F.col(x)).otherwise(F.col(y))
-    pairs = candidates(docs, roles, bits, hot, counts).join(side("a"), "a").join(side("b"), "b").where(fits)
+    pairs = candidates(docs, roles, bits, hot, counts).join(side("a"), "a").join(side("b"), "b").where(fits & enough)
     pairs = common.staged(pairs.select(pick("a", "b").alias("g"), pick("a_size", "b_size").alias("gsize"), pick("b", "a").alias("own"), pick("b_size", "a_size").alias("size")), "pairs")
     links = compared(docs, pairs, members, quick=True)
     rest = pairs.where(F.col("size") > FIRST_TRY)
