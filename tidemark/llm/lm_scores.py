@@ -83,7 +83,6 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     # about a word in six bytes, and eight bytes for an n-gram of each order
     bits = max(0, (size * order * 9 // 6 // bucket_bytes).bit_length())
     placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = common.staged(placed.repartition("shard"), "lm-shards")
 
     def ask(table: pa.Table) -> pa.Table:
         shard, rows = table["shard"][0].as_py(), []
@@ -124,9 +123,10 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         words, logs = zip(*scored, strict=True) if scored else ((), ())
         return pa.table([texts["doc_id"], pa.array(words, pa.int64()), pa.array(logs, pa.float64())], names=["doc_id", "n_words", "log_score"])
 
-    asked = dealt.groupBy("shard").applyInArrow(ask, "bucket long, shard long, n int, hashes binary, counts binary")
+    # both uses read one exchange of the texts
+    asked = placed.groupBy("shard").applyInArrow(ask, "bucket long, shard long, n int, hashes binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "shard long, n int, bucket long, counts binary")
-    scored = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    scored = placed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(score, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
