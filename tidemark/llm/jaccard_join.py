@@ -35,7 +35,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,13 @@ BUCKET_TOKENS, HELD_TOKENS = 2_000_000, 1_000_000
 HELD_PAIRS = 500_000
 
 MULTIPLIERS = (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+#: What a token brings to the matrix: a group, its least and most sizes, how many frequent tokens it
+#: begins with (``MANY`` for groups of several documents), and whether the token is one of them.
+ENTRY = np.dtype([("token", "<u8"), ("group", "<i8"), ("least", "<i4"), ("most", "<i4"), ("held", "<i4"), ("late", "u1")])
+MANY = 1 << 30
+#: Frequent tokens come with the parities of their set's tokens in so many places as well.
+PLACES = 1024
+LATE = np.dtype([*ENTRY.descr, ("bits", "<u8", (PLACES // 64,))])
 REMIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -151,52 +158,85 @@ def opened(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame
 
 
 def blobs(docs: DataFrame, roles: DataFrame, bits: int, first, entries: bool) -> DataFrame:
-    """Tokens of the documents in packed blobs, dealt by a hash: (bucket, tokens, groups).
+    """Tokens of the documents in packed blobs, dealt by a hash: (bucket, entries, late).
 
-    ``first(set)`` picks the tokens. With ``entries`` every member of a group sends (token, group);
-    without, one member of each group sends the upper 32 bits of its tokens within the bucket.
+    ``first()`` gives a function from a set to the tokens it sends and how many of them, the last, are
+    frequent. With ``entries`` every member of a group sends its tokens, each with the group's facts
+    (see ``ENTRY``); without, one member of each group sends the upper 32 bits of its tokens within the
+    bucket.
     """
     common.ship(docs.sparkSession)
 
-    def packed(held: list, owners: list):
-        tokens = np.concatenate(held) * REMIX
-        groups = np.repeat(np.array(owners, np.int64), [len(h) for h in held])
+    def packed(held: list, facts: list, parities: list):
+        tokens, late = np.concatenate(held) * REMIX, np.empty(0, LATE)
         if entries:
-            order = np.lexsort((groups, tokens))
-            tokens, groups = tokens[order], groups[order]
-            new = np.append(True, (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1]))
-            tokens, groups = tokens[new], groups[new]
+            rows = np.zeros(len(tokens), ENTRY)
+            rows["token"] = tokens
+            sizes = [len(h) for h in held]
+            for k, name in enumerate(ENTRY.names[1:-1]):
+                rows[name] = np.repeat(np.array([f[k] for f in facts], ENTRY[name]), sizes)
+            rows["late"] = np.concatenate([np.arange(n) >= n - f[-1] for n, f in zip(sizes, facts, strict=True)])
+            at = np.flatnonzero(rows["late"])
+            late = np.zeros(len(at), LATE)
+            for name in ENTRY.names:
+                late[name] = rows[name][at]
+            late["bits"] = np.array(parities, "<u8")[np.repeat(np.arange(len(held)), sizes)[at]]
+            rows, late = distinct_entries(rows[rows["late"] == 0]), distinct_entries(late)
         else:
-            tokens = np.sort(tokens)
-        bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        ends = np.append(cuts[1:], len(tokens))
-        narrow = tokens if entries else (tokens >> np.uint64(32 - bits)).astype(np.uint32)
-        columns = [pa.array(bucket[cuts], pa.int64()), pa.array([narrow[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary())]
-        columns.append(pa.array([groups[s:e].tobytes() if entries else b"" for s, e in zip(cuts, ends, strict=True)], pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "tokens", "groups"])
+            rows = np.sort(tokens)
+        sent = rows if entries else (rows >> np.uint64(32 - bits)).astype(np.uint32)
+        parts = {}
+        for k, (own, what) in enumerate(((rows["token"] if entries else rows, sent), (late["token"], late))):
+            bucket = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+            cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(own)] if len(own) else [0]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                parts.setdefault(int(bucket[start]), [b"", b""])[k] = what[start:end].tobytes()
+        columns = [pa.array(list(parts), pa.int64()), *[pa.array([v[k] for v in parts.values()], pa.binary()) for k in (0, 1)]]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "entries", "late"])
 
     def run(batches):
-        pick, held, owners, n = first(), [], [], 0
+        pick, held, facts, parities, n = first(), [], [], [], 0
         for batch in batches:
-            for doc, text, group, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                group = doc if group is None else group
+            for doc, text, group, skip, least, most in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                single = group is None
+                group = doc if single else group
                 if skip or doc is None or not (entries or group == doc):
                     continue
                 tokens = shingle_set(text)
                 if not len(tokens):
                     continue
-                held.append(pick(tokens))
-                owners.append(group)
-                n += len(held[-1])
+                chosen, late = pick(tokens)
+                held.append(chosen)
+                # a group's facts hold for all its members, so that they don't depend on who sends a token
+                facts.append((group, len(tokens), len(tokens), late, late) if single else (group, least, most, MANY, late))
+                parities.append(parity(tokens) if single and late else NO_PARITY)
+                n += len(chosen)
                 if n >= HELD_TOKENS:
-                    yield packed(held, owners)
-                    held, owners, n = [], [], 0
+                    yield packed(held, facts, parities)
+                    held, facts, parities, n = [], [], [], 0
         if n:
-            yield packed(held, owners)
+            yield packed(held, facts, parities)
 
-    placed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(roles, "node", "left").select("node", "text", "comp", "skip")
-    return placed.mapInArrow(run, "bucket long, tokens binary, groups binary")
+    placed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(roles, "node", "left").select("node", "text", "comp", "skip", "least", "most")
+    return placed.mapInArrow(run, "bucket long, entries binary, late binary")
+
+
+NO_PARITY = np.zeros(PLACES // 64, "<u8")
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each place, as bits. Two sets differ in at least as many tokens as
+    their parities differ in bits."""
+    odd = np.bincount((tokens & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1
+    return np.packbits(odd.astype(bool)).view("<u8")
+
+
+def distinct_entries(rows: np.ndarray) -> np.ndarray:
+    """One entry for each token and group, in their order."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["group"], rows["token"]))]
+    return rows[np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["group"][1:] != rows["group"][:-1]))]
 
 
 def by_bucket(batches):
@@ -208,10 +248,10 @@ def by_bucket(batches):
 
 
 def frequent(docs: DataFrame, roles: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (bucket and 32 bits) that many groups have among their first ones, ascending, and how many do."""
+    """Tokens (bucket and 32 bits) that many groups have, ascending, and how many do."""
 
     def first():
-        return lambda tokens: tokens[: 2 * (len(tokens) - least_overlap(len(tokens)) + 1)]
+        return lambda tokens: (tokens, 0)
 
     def count(batches):
         for bucket, tokens, _ in by_bucket(batches):
@@ -226,8 +266,46 @@ def frequent(docs: DataFrame, roles: DataFrame, bits: int) -> tuple[np.ndarray,
     return tokens[order], n[order]
 
 
+def least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First tokens that groups share at least if they link, from the least and most sizes of both.
+
+    Sets that link have 3/7 of their summed sizes in common. All but those in both beginnings are in the
+    rest of the set whose beginning ends first, which has ceil(0.75 n) - 1 tokens. So for n_x <= n_y at
+    least 3 (n_x + n_y) / 7 - 0.75 n_y common tokens are in both beginnings; that grows with n_x and falls
+    with n_y, which is n_x / 0.75 at most. Sizes that rule a link out give more than can be shared.
+    """
+
+    def one(x, y):
+        small, large = x["least"].astype(np.int64), np.minimum(y["most"].astype(np.int64), x["least"].astype(np.int64) * UNDER // OVER)
+        return np.ceil((small + large) * OVER / (OVER + UNDER) - 1e-9).astype(np.int64) - (-(-OVER * large // UNDER)) + 1
+
+    apart = (UNDER * a["most"].astype(np.int64) < OVER * b["least"]) | (UNDER * b["most"].astype(np.int64) < OVER * a["least"])
+    return np.where(apart, 2 * MANY, np.maximum(1, np.minimum(one(a, b), one(b, a))))
+
+
+def offered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of entries a token brings up, and how many shared tokens they must collect.
+
+    Frequent tokens alone can make a pair only if both sets begin with enough of them. Where they can't,
+    frequent tokens bring nothing up and all that could be shared is allowed for. Nor do they bring up
+    documents whose parities show that they differ in more than a seventh of their summed sizes, which
+    no sets that link do.
+    """
+    need, free = least_shared(a, b), np.minimum(a["held"], b["held"]).astype(np.int64)
+    alone = free >= need
+    some = need < 2 * MANY
+    if "bits" in a.dtype.names:
+        some &= alone
+        left = np.flatnonzero(some & (a["held"] < MANY) & (b["held"] < MANY))
+        for k in range(0, len(left), 1 << 16):
+            part = left[k : k + (1 << 16)]
+            differ = np.bitwise_count(a["bits"][part] ^ b["bits"][part]).sum(1, dtype=np.int64)
+            some[part] = (OVER + UNDER) * differ <= a["most"][part].astype(np.int64) + b["most"][part]
+    return some, np.where(alone, need, need - free)
+
+
 def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(a, b, shared), a < b: groups that share first tokens of their members, and how many."""
+    """(a, b), a < b: groups that share as many first tokens of their members as a link needs."""
     sent = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
     def first():
@@ -235,69 +313,75 @@ def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, co
         seen = np.zeros(1 << 22, bool)
         seen[keys & ((1 << 22) - 1)] = True
 
-        def pick(tokens: np.ndarray) -> np.ndarray:
+        def pick(tokens: np.ndarray) -> tuple[np.ndarray, int]:
             size = len(tokens) - least_overlap(len(tokens)) + 1
             if not len(keys):
-                return tokens[:size]
+                return tokens[:size], 0
             own = ((tokens * REMIX) >> np.uint64(32 - bits)).astype(np.int64)
             maybe = np.flatnonzero(seen[own & ((1 << 22) - 1)])
             at = np.minimum(np.searchsorted(keys, own[maybe]), len(keys) - 1)
             hit = keys[at] == own[maybe]
             if not hit.any():
-                return tokens[:size]
+                return tokens[:size], 0
             late = np.zeros(len(tokens), np.int64)
             late[maybe[hit]] = n[at[hit]]
-            return tokens[np.argsort(late, kind="stable")[:size]]
+            order = np.argsort(late, kind="stable")[:size]
+            return tokens[order], int((late[order] > 0).sum())
 
         return pick
 
-    def counted(left: list, right: list):
-        a, b = np.concatenate(left), np.concatenate(right)
+    def counted(held: list):
+        a, b, need = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        a, b, need = a[order], b[order], need[order]
         at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         n = np.diff(np.append(at, len(a)))
-        return pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[at], b[at], n, need[at])], names=["a", "b", "n", "need"])
 
     def pairs(batches):
-        left, right, held = [], [], 0
-        for _, tokens, groups in by_bucket(batches):
-            tokens, groups = np.frombuffer(tokens, np.uint64), np.frombuffer(groups, np.int64)
-            order = np.lexsort((groups, tokens))
-            tokens, groups = tokens[order], groups[order]
-            new = np.append(True, (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1]))
-            tokens, groups = tokens[new], groups[new]
-            starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-            sizes = np.diff(np.append(starts, len(tokens)))
-            for size in np.unique(sizes[sizes > 1]).tolist():
-                own = starts[sizes == size]
-                for at in range(1, size):
-                    # a token's groups come in ascending order; the later one at a distance of ``at``
-                    for k in range(0, len(own), step := max(1, HELD_PAIRS // (size - at))):
-                        place = (own[k : k + step, None] + np.arange(size - at)[None]).ravel()
-                        left.append(groups[place])
-                        right.append(groups[place + at])
-                        held += len(place)
-                        if held >= HELD_PAIRS:
-                            yield counted(left, right)
-                            left, right, held = [], [], 0
-        if held:
-            yield counted(left, right)
+        held, n = [], 0
+        for _, *parts in by_bucket(batches):
+            for blob, kind in zip(parts, (ENTRY, LATE), strict=True):
+                rows = distinct_entries(np.frombuffer(blob, kind))
+                rows = rows[can_pair(rows)]
+                starts = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])) if len(rows) else np.empty(0, np.int64)
+                sizes = np.diff(np.append(starts, len(rows)))
+                for size in np.unique(sizes[sizes > 1]).tolist():
+                    own = starts[sizes == size]
+                    for at in range(1, size):
+                        # a token's groups come in ascending order; the later one at a distance of ``at``
+                        for k in range(0, len(own), step := max(1, HELD_PAIRS // 10 // (size - at))):
+                            place = (own[k : k + step, None] + np.arange(size - at)[None]).ravel()
+                            a, b = rows[place], rows[place + at]
+                            some, need = offered(a, b)
+                            held.append((a["group"][some], b["group"][some], need[some]))
+                            n += int(some.sum())
+                            if n >= HELD_PAIRS:
+                                yield counted(held)
+                                held, n = [], 0
+        if n:
+            yield counted(held)
 
     dealt = blobs(docs, roles, bits, first, True).repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    found = dealt.mapInArrow(pairs, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    return found.where("n >= need").select("a", "b")
 
 
-def least_shared(x: str, y: str) -> Column:
-    """First tokens that groups with sizes ``x``_least.. and ``y``_least.. share at least if they link.
+def can_pair(rows: np.ndarray) -> np.ndarray:
+    """Entries of frequent tokens that some entry of their token could be paired with.
 
-    Sets that link have 3/7 of their summed sizes in common. All but those in both beginnings are in the
-    rest of the set whose beginning ends first, which has ceil(0.75 n) - 1 tokens. So for n_x <= n_y at
-    least 3 (n_x + n_y) / 7 - 0.75 n_y common tokens are in both beginnings; that grows with n_x and falls
-    with n_y, which is n_x / 0.75 at most.
+    Among documents that are groups of their own, one that begins with too few frequent tokens for any
+    partner's size pairs with none of them; it stays only if its token has a larger group.
     """
-    small, large = F.col(f"{x}_least"), F.least(F.col(f"{y}_most"), F.floor(F.col(f"{x}_least") * UNDER / OVER))
-    return (small + large) * OVER / (OVER + UNDER) - F.ceil(large * OVER / UNDER) + 1
+    if not len(rows):
+        return np.empty(0, bool)
+    new = np.append(True, rows["token"][1:] != rows["token"][:-1])
+    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+    least, most = np.minimum.reduceat(rows["least"], starts)[run], np.maximum.reduceat(rows["most"], starts)[run]
+    large = np.logical_or.reduceat(rows["held"] >= MANY, starts)[run]
+    any_size = rows.copy()
+    any_size["least"], any_size["most"] = least, most
+    return (rows["late"] == 0) | large | (rows["held"] >= least_shared(rows, any_size))
 
 
 def compared(docs: DataFrame, pairs: DataFrame, members: DataFrame, quick: bool) -> DataFrame:
@@ -319,13 +403,11 @@ def group_links(docs: DataFrame, members: DataFrame, roles: DataFrame, tokens: i
     """(a, b): links between different groups, found through the matrix."""
     bits = max(0, (max(1, tokens) // BUCKET_TOKENS).bit_length())
     hot, counts = frequent(docs, roles, bits)
-    stats = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    side = lambda name: stats.select(F.col("comp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "least", "most")])
-    fits = (UNDER * F.col("a_most") >= OVER * F.col("b_least")) & (UNDER * F.col("b_most") >= OVER * F.col("a_least"))
-    enough = F.col("shared") >= F.least(least_shared("a", "b"), least_shared("b", "a")) - 1e-6
+    stats = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    side = lambda name: stats.select(F.col("comp").alias(name), F.col("size").alias(f"{name}_size"))
     bigger = F.col("a_size") >= F.col("b_size")
     pick = lambda x, y: F.when(bigger, F.col(x)).otherwise(F.col(y))
-    pairs = candidates(docs, roles, bits, hot, counts).join(side("a"), "a").join(side("b"), "b").where(fits & enough)
+    pairs = candidates(docs, roles, bits, hot, counts).join(side("a"), "a").join(side("b"), "b")
     pairs = common.staged(pairs.select(pick("a", "b").alias("g"), pick("a_size", "b_size").alias("gsize"), pick("b", "a").alias("own"), pick("b_size", "a_size").alias("size")), "pairs")
     links = compared(docs, pairs, members, quick=True)
     rest = pairs.where(F.col("size") > FIRST_TRY)
@@ -356,9 +438,11 @@ def component_ids(docs: DataFrame) -> DataFrame:
     label = common.staged(connected(links), "groups")
 
     # every document that isn't a group of its own; copies of a class stay out
-    copies = real.join(first_of, "digest").where("doc_id <> first").select(F.col("doc_id").alias("node"), F.lit(None).cast("long").alias("comp"), F.lit(1).alias("skip"))
-    kept = label.select("node", F.col("label").alias("comp"), F.lit(0).alias("skip"))
-    roles = common.staged(copies.unionByName(kept).groupBy("node").agg(F.max("comp").alias("comp"), F.min("skip").alias("skip")), "roles")
+    kept_sizes = classes.select("node", "n").join(label, "node").groupBy("label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    copies = real.join(first_of, "digest").where("doc_id <> first").select(F.col("doc_id").alias("node"), F.lit(None).cast("long").alias("comp"), F.lit(1).alias("skip"), *[F.lit(None).cast("long").alias(c) for c in ("least", "most")])
+    kept = label.join(kept_sizes, "label").select("node", F.col("label").alias("comp"), F.lit(0).alias("skip"), "least", "most")
+    roles = copies.unionByName(kept).groupBy("node").agg(F.max("comp").alias("comp"), F.min("skip").alias("skip"), F.max("least").alias("least"), F.max("most").alias("most"))
+    roles = common.staged(roles, "roles")
     members = common.staged(classes.select("node", "n").join(label, "node", "left").select("node", "n", F.coalesce("label", "node").alias("comp")), "members")
     tokens = real.agg(F.sum("n_shingles")).first()[0] or 0
     more = group_links(docs, members, common.lookup_side(roles, roles.count()), tokens)
