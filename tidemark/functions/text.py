@@ -193,7 +193,7 @@ class Article(HTMLParser):
         return meta("og:title") or text["title"], text["body"] or meta("og:description"), text["date"] or meta("article:published_time", "datepublished", "pubdate")
 
 
-@F.pandas_udf("title string, body string, published string")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "body", "published")]))
 def parse_article(pages: pd.Series) -> pd.DataFrame:
     """Batches of pages through the standard parser; a page that can't be parsed gives nulls."""
     rows = []
@@ -206,7 +206,7 @@ def parse_article(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "body", "published"])
 
 
-@F.pandas_udf("array<struct<url string, list_date string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "list_date")])))
 def listing_links(fragments: pd.Series) -> pd.Series:
     """Article links of a listing page, each with the date nearest to it among its neighbours."""
     link, date = re.compile(r'href="([^"]+-\d+\.htm)"'), re.compile(r"\b\d{2}/\d{2}/\d{4}\b")

@@ -37,7 +37,7 @@ def daily_book(predictions: DataFrame, returns: DataFrame, cost_bps: float, *by:
         raise ValueError("cost_bps must not be negative")
     keys = [*by, "seed"]
     matched = positions(predictions.join(returns, ["ticker", "target_date"]), *keys, "target_date")
-    day = F.map_from_entries(F.array_sort(F.collect_list(F.struct("ticker", F.struct(F.col("weight").alias("w"), F.col("realized_return").alias("r"))))))
+    day = F.array_sort(F.collect_list(F.struct("ticker", F.struct(F.col("weight").alias("w"), F.col("realized_return").alias("r")))))
     w = F.col("weight")
     days = matched.groupBy(*keys, "target_date").agg(
         day.alias("day"),
@@ -51,7 +51,7 @@ def daily_book(predictions: DataFrame, returns: DataFrame, cost_bps: float, *by:
     start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")).alias("held"), F.array().cast("array<double>").alias("turnovers"))
 
     def step(state, d):
-        held, target = state["held"], d["day"]
+        held, target = state["held"], F.map_from_entries(d["day"])
         bought = F.aggregate(F.map_keys(target), F.lit(0.0), lambda s, t: s + F.abs(F.element_at(target, t)["w"] - F.coalesce(F.try_element_at(held, t), F.lit(0.0))))
         left = F.aggregate(F.filter(F.map_keys(held), lambda t: ~F.map_contains_key(target, t)), F.lit(0.0), lambda s, t: s + F.abs(F.element_at(held, t)))
         turnover = bought + left

@@ -43,7 +43,8 @@ def replay(log: DataFrame, last_event_id: str | None) -> DataFrame:
     text = last_event_id.strip()
     if not (text.isascii() and text.isdigit()):
         return reset("invalid_last_event_id")
-    last = F.lit(int(text)).cast("decimal(38,0)")
+    # ids are longs; anything beyond them is beyond the head as well
+    last = F.lit(min(int(text), (1 << 63) - 1))
     stale = (last > F.col("head")) | F.coalesce(last < F.col("first") - 1, F.lit(False))
     events = log.join(F.broadcast(ends), F.lit(True)).where(~stale & (F.col("id") > last)).select(F.lit("event").alias("kind"), "id", "key")
     refused = reset("stale_last_event_id").join(F.broadcast(ends.select(stale.alias("_s"))), F.lit(True)).where("_s").drop("_s")

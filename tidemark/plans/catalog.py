@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,9 @@ class Catalog:
                 body = sql.strip()
                 if names:
                     body = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {places}) + 0.0 AS {c}' for c in names)}) FROM ({body})"
-                self.sql[run.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} " if ctes else "") + body
+                found = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} " if ctes else "") + body
+                # a column of ours has the name of a keyword
+                self.sql[run.__name__] = re.sub(r'(?<!")\bwindow\b(?!")', '"window"', found)
             return run
 
         return register

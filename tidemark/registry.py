@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import panel
+from tidemark.plans import evaluation, panel, serving, texts
 
-CATALOGS = (panel.CATALOG,)
+CATALOGS = (panel.CATALOG, evaluation.CATALOG, texts.CATALOG, serving.CATALOG)
 
 
 def queries() -> dict:
