@@ -51,9 +51,9 @@ BLOCK, SLICE, FIRST_TRY = 64, 256, 8
 #: Groups that hold a token, from which it counts as frequent, and the most tokens that do.
 HOT, FREQUENT = 8, 1 << 20
 #: Tokens of a bucket of the matrix, and tokens that a task holds before it sends them.
-BUCKET_TOKENS, HELD_TOKENS = 2_000_000, 1_000_000
+BUCKET_TOKENS, HELD_TOKENS = 1_000_000, 400_000
 #: Pairs that a task adds up before it sends them.
-HELD_PAIRS = 500_000
+HELD_PAIRS = 200_000
 
 MULTIPLIERS = (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 #: What a token brings to the matrix: a group, its least and most sizes, how many frequent tokens it

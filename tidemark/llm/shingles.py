@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SIZE = 5
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Odd multipliers of the polynomial over word hashes and of the final mixing.
 P, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 

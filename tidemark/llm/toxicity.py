@@ -29,7 +29,7 @@ SLOT_BITS, FACTORS, SAMPLE = 20, 4, 20_000
 THRESHOLD = 0.7
 #: Evidence (G2, one degree of freedom) that gives a slot weights, and the decay of weights and factors.
 EVIDENCE, DECAY = 20.0, 1e-4
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Words end at ASCII characters other than letters and digits.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
