@@ -50,9 +50,12 @@ def aligned_batches(news: DataFrame, sessions: DataFrame, sink, checkpoint: str)
     return news.writeStream.foreachBatch(lambda batch, n: sink(align_forward(batch, sessions), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def limited(requests: DataFrame, limit: int, window_seconds: float) -> DataFrame:
-    """A token bucket for each client over a stream of (user_id, event_id, ts): state is two numbers, and
-    goes after a window without requests, when the bucket is full again."""
+def limited(requests: DataFrame, limit: int, window_seconds: float, evict: bool = False) -> DataFrame:
+    """A token bucket for each client over a stream of (user_id, event_id, ts): state is two numbers.
+
+    With ``evict``, for queries that keep running, it goes after a window without requests, when the
+    bucket is full again. A query over what is there now would wait for those timeouts.
+    """
     rate = limit / window_seconds
 
     def spend(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,11 +74,12 @@ def limited(requests: DataFrame, limit: int, window_seconds: float) -> DataFrame
             tokens -= tokens >= 1
             out.append((key[0], event_id, wait))
         state.update((float(tokens), float(seen)))
-        state.setTimeoutDuration(int(window_seconds * 1000))
+        if evict:
+            state.setTimeoutDuration(int(window_seconds * 1000))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "retry_after"])
 
     grouped = requests.groupBy("user_id")
-    return grouped.applyInPandasWithState(spend, "user_id long, event_id long, retry_after double", "tokens double, seen double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return grouped.applyInPandasWithState(spend, "user_id long, event_id long, retry_after double", "tokens double, seen double", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
