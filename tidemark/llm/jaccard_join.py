@@ -11,7 +11,9 @@ component of every document, and no link between different components goes unsee
    + 1 of them; so queries and groups enter the matrix with the first tokens of an order common to all
    documents: by hash, after which come the tokens that very many groups have, rarest first. (Which
    tokens these are changes the work, never the result.) Sets that link share a known number of first
-   tokens, not just one; groups that share fewer are never opened.
+   tokens, not just one; groups that share fewer are never opened. Pairs that only frequent tokens
+   could bring up are made only if both begin with enough of them and the parities of their sets don't
+   show that they differ too much, so families of documents that are alike but don't link stay cheap.
 4. Groups are split into blocks of about ``BLOCK`` members. A query meets the block's token union first;
    if its overlap is below the bound the whole block is passed over, otherwise the block is opened and
    the query compared with each member. One link connects the two groups, which ends their comparison.
