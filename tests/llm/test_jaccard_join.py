@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
 from tests.llm import cases
@@ -48,6 +50,31 @@ def test_small_buckets_blocks_and_many_frequent_tokens(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, cases.DOCS)) == brute(rows)
 
 
+def test_groups_of_mixed_sizes_need_no_more_than_their_members(spark, monkeypatch):
+    # x links with y alone (0.75 exactly, 10 shared first tokens); y and z are a group that stars don't join to x
+    monkeypatch.setattr(jaccard_join, "AGREE", 8)
+    passage = [f"p4x{k}" for k in range(91)]
+    x, y = ([*passage, *(f"{name}{k}" for k in range(n))] for name, n in (("x", 13), ("y", 16)))
+    others = [[*passage, *(f"o{k}w{j}" for j in range(300))] for k in range(jaccard_join.HOT)]
+    rows = list(enumerate(" ".join(words) for words in (x, y, [*y, "y16"], *others)))
+    assert {i for i, _, c in brute(rows) if c == 0} == {0, 1, 2}
+    assert found(spark.createDataFrame(rows, cases.DOCS)) == brute(rows)
+
+
+def test_least_shared_is_the_least_over_all_sizes():
+    def pair(x, y):
+        return -(-3 * (x + y) // 7) - -(-3 * max(x, y) // 4) + 1
+
+    rng = random.Random(0)
+    for _ in range(5000):
+        x, y = rng.randint(1, 150), rng.randint(1, 150)
+        xs, ys = range(x, x + rng.choice([1, 2, 12])), range(y, y + rng.choice([1, 2, 12]))
+        fitting = [pair(i, j) for i in xs for j in ys if 4 * min(i, j) >= 3 * max(i, j)]
+        a, b = (np.array([(0, 0, own[0], own[-1], 0, 0)], jaccard_join.ENTRY) for own in (xs, ys))
+        if fitting:
+            assert jaccard_join.least_shared(a, b)[0] == max(1, min(fitting))
+
+
 def test_edge_cases(spark):
     assert found(cases.edge(spark)) == brute(cases.EDGE)
     assert found(cases.empty(spark)) == []

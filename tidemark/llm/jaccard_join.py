@@ -273,13 +273,17 @@ def least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     Sets that link have 3/7 of their summed sizes in common. All but those in both beginnings are in the
     rest of the set whose beginning ends first, which has ceil(0.75 n) - 1 tokens. So for n_x <= n_y at
-    least 3 (n_x + n_y) / 7 - 0.75 n_y common tokens are in both beginnings; that grows with n_x and falls
-    with n_y, which is n_x / 0.75 at most. Sizes that rule a link out give more than can be shared.
+    least 3 (n_x + n_y) / 7 - 0.75 n_y common tokens are in both beginnings, where n_y is n_x / 0.75 at
+    most. That grows with n_x; it falls with n_y by 9/28 a token, but rounded up it also rises in between,
+    so the least is taken over the last sizes of the range (roundings are worth less than two tokens, which
+    seven sizes outweigh). Sizes that rule a link out give more than can be shared.
     """
 
     def one(x, y):
-        small, large = x["least"].astype(np.int64), np.minimum(y["most"].astype(np.int64), x["least"].astype(np.int64) * UNDER // OVER)
-        return np.ceil((small + large) * OVER / (OVER + UNDER) - 1e-9).astype(np.int64) - (-(-OVER * large // UNDER)) + 1
+        small, least = x["least"].astype(np.int64), y["least"].astype(np.int64)
+        large = np.minimum(y["most"].astype(np.int64), small * UNDER // OVER)
+        tried = (np.maximum(large - k, np.minimum(least, large)) for k in range(8))
+        return np.minimum.reduce([-(-(small + n) * OVER // (OVER + UNDER)) - least_overlap(n) + 1 for n in tried])
 
     apart = (UNDER * a["most"].astype(np.int64) < OVER * b["least"]) | (UNDER * b["most"].astype(np.int64) < OVER * a["least"])
     return np.where(apart, 2 * MANY, np.maximum(1, np.minimum(one(a, b), one(b, a))))
