@@ -44,3 +44,14 @@ def test_edge_cases(spark):
     assert {r.mean_log_score for r in lm_scores.with_lm_scores(docs).where("n_words = 0").collect()} == {None}
     assert lm_scores.with_lm_scores(cases.empty(spark)).collect() == []
     assert lm_scores.with_lm_scores(cases.edge(spark)).count() == len(cases.EDGE)
+
+
+def test_a_query_scores_with_trigrams(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = cases.family(5, vocabulary=40)
+    spark.createDataFrame(rows, cases.DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.n_words, r.log_score) for r in queries()["op8_lm_scores_trigram"](spark, str(tmp_path)).collect()), key=repr)
+    expected = brute(rows, 3)
+    assert len(got) == len(expected) and all(x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-4) for x, y in zip(got, expected))
+    assert not close(expected, brute(rows, 2))

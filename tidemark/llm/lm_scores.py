@@ -9,7 +9,8 @@ shard joins the answers to its documents' n-grams and sums per document.
 S(w | context) = c(context w) / c(context) if c(context w) >= ``LEAST``, else ``BACKOFF`` * S(w | shorter
 context), down to c(w) / N. A document's score is the sum of ln S over its words.
 
-An n-gram travels once for each shard that has it, as 8 bytes and a count, so frequent n-grams and
+An n-gram travels once for each shard that has it, as the difference from the hash before it and a
+count, both laid out by bytes so that they compress, so frequent n-grams and
 copies add little and no key is hot: a bucket holds a hash range, and an entry for each shard at most.
 Shards and buckets are sized from the corpus. Words are runs of anything but ASCII white space, with A-Z
 lower-cased; n-grams are told apart by 64-bit hashes and don't span documents.
@@ -51,6 +52,16 @@ def cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: high bytes, mostly 0, compress to nothing."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def from_planes(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def document_scores(found: list[list[np.ndarray]], kinds: list, counts: list[np.ndarray], total: int, backoff: float, least: int) -> list[tuple[int, float]]:
     """(words, score) of each document, from the corpus counts of the distinct n-grams."""
     order, per_place, at = len(kinds), [], [0] * len(kinds)
@@ -92,7 +103,7 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
             edges = cuts(hashes, bits)
             for bucket in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[bucket], edges[bucket + 1])
-                rows.append((bucket, shard, n, hashes[part].tobytes(), counts[part].astype(np.uint32).tobytes()))
+                rows.append((bucket, shard, n, planes(np.diff(hashes[part], prepend=np.uint64(0))), planes(counts[part].astype(np.uint32))))
         # the number of all words is asked for as the n-gram of no words
         rows.append((0, shard, -1, np.zeros(1, np.uint64).tobytes(), np.array([words], np.int64).tobytes()))
         columns = zip(*rows, strict=True)
@@ -107,18 +118,18 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
                 total = sum(int(np.frombuffer(counts[k], np.int64)[0]) for k in own)
                 rows += [(shards[k], n, table["bucket"][0].as_py(), np.array([total], np.int64).tobytes()) for k in own]
                 continue
-            asked = [np.frombuffer(hashes[k], np.uint64) for k in own]
+            asked = [np.cumsum(from_planes(hashes[k], np.uint64), dtype=np.uint64) for k in own]
             _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-            sums = np.bincount(inverse, np.concatenate([np.frombuffer(counts[k], np.uint32) for k in own]))[inverse].astype(np.int64)
+            sums = np.bincount(inverse, np.concatenate([from_planes(counts[k], np.uint32) for k in own]))[inverse].astype(np.int64)
             borders = np.cumsum([0, *map(len, asked)])
-            rows += [(shards[k], n, table["bucket"][0].as_py(), sums[borders[j] : borders[j + 1]].tobytes()) for j, k in enumerate(own)]
+            rows += [(shards[k], n, table["bucket"][0].as_py(), planes(sums[borders[j] : borders[j + 1]])) for j, k in enumerate(own)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["shard", "n", "bucket", "counts"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         found, kinds = distinct(texts["text"].to_pylist(), order)
         got = sorted(zip(*(answers[c].to_pylist() for c in ("n", "bucket", "counts")), strict=True), key=lambda r: r[:2])
         total = next((int(np.frombuffer(c, np.int64)[0]) for n, _, c in got if n < 0), 0)
-        counts = [np.frombuffer(b"".join(c for m, _, c in got if m == n), np.int64) for n in range(order)]
+        counts = [np.concatenate([np.empty(0, np.int64), *(from_planes(c, np.int64) for m, _, c in got if m == n)]) for n in range(order)]
         scored = document_scores(found, kinds, counts, total, backoff, least)
         words, logs = zip(*scored, strict=True) if scored else ((), ())
         return pa.table([texts["doc_id"], pa.array(words, pa.int64()), pa.array(logs, pa.float64())], names=["doc_id", "n_words", "log_score"])
@@ -130,12 +141,20 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
-def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = with_lm_scores(common.documents(spark, sf_dir))
+def rounded(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-QUERIES = {"op8_lm_scores": op8_lm_scores}
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(with_lm_scores(common.documents(spark, sf_dir)))
+
+
+def op8_lm_scores_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with two backoff steps, from trigrams to bigrams to words."""
+    return rounded(with_lm_scores(common.documents(spark, sf_dir), order=3))
+
+
+QUERIES = {"op8_lm_scores": op8_lm_scores, "op8_lm_scores_trigram": op8_lm_scores_trigram}
 ORACLE_SQL = {
     "op8_lm_scores": r"""
     WITH d AS (
