@@ -2,18 +2,22 @@
 
 Encoding. Merges never cross the border between two final tokens, so a border that no text further
 right can undo splits the work. ``sufficient_lookahead`` computes from the merge list how many bytes
-right of a border decide about it: a rule (s, w) over the border needs w, and w can only be spoilt by
-a rule of lower rank that starts inside w's right spine and needs bytes of its own, and so on down
-the ranks. The transducer holds at most that many bytes and a longest token, emits tokens whose
-border is that far from the end of what it has read, and keeps constant memory however long a piece
-is. Pieces shorter than the window are encoded at once and remembered, within a bound.
-
-Decoding. ``Decoder`` takes ids one at a time, turns each symbol back to bytes and feeds an
-incremental UTF-8 machine; bytes that end in the middle of a character wait for the next id.
+right of a token's end decide about it: a rule (s, w) over the border needs an s that the token may end
+in and a whole w, and w can only be spoilt by a rule of lower rank that starts inside w's right spine
+and needs bytes of its own, and so on down the ranks. Every piece goes through the transducer a few
+bytes (``STRIDE``) at a time; a token leaves as soon as what has come after it is its lookahead, so the
+transducer holds the greatest lookahead (144 bytes for this vocabulary), a longest token and a stride at
+most, however long a piece is; words that are shorter are decided by their end.
+Long texts are cut into chunks, inside a piece if need be: the transducer goes on with the next chunk.
+
+Decoding. ``Decoder`` takes the ids as they are emitted and keeps only its state between them: by
+default it gives the text that the library gives, in which bytes appear as the vocabulary's symbols and
+tokens stand apart; with ``readable`` it turns symbols back to bytes and feeds an incremental UTF-8
+machine, where the bytes of an unfinished character wait for the next id.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; special strings in a
 text become their ids; unknown ids in ``Decoder`` raise ``KeyError``; repeated rows are each encoded.
-No row is shuffled.
+No row is shuffled. What a task remembers of pieces is bounded in bytes and ends with the task.
 """
 
 from __future__ import annotations
@@ -39,9 +43,10 @@ from tidemark.llm import bpe_vocab, common
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary's own pattern for the pieces of a normalised text (a fixed value), with the classes to fill in.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
-#: A text is normalised and cut to pieces in chunks of about this many characters, at white space.
-CHUNK = 1 << 20
+#: Bytes that enter the transducer at a time.
+STRIDE = 16
+#: A text is normalised and cut to pieces in chunks of about this many characters.
+CHUNK, SEEK = 1 << 18, 1 << 12
 
 
 @lru_cache(maxsize=1)
@@ -59,6 +64,11 @@ def newer_characters() -> tuple[str, dict[int, str]]:
     return "".join(c for c in newer if c not in known), {ord(c): small for c in newer if (small := lower(c)) != c}
 
 
+@lru_cache(maxsize=1)
+def newer_letters() -> frozenset[str]:
+    return frozenset(map(chr, newer_characters()[1]))
+
+
 def cutter():
     """A function from a normalised text to its pieces."""
     plain = lambda name: rf"\p{{{name}}}"
@@ -77,48 +87,56 @@ def cutter():
     return pieces
 
 
-def sufficient_lookahead(vocabulary: bpe_vocab.Vocabulary) -> tuple[int, int]:
-    """Bytes right of a border that decide about it, and the bytes of the longest token."""
+def sufficient_lookahead(vocabulary: bpe_vocab.Vocabulary) -> dict[int, int]:
+    """For each token, the bytes right of its end that decide whether it ends there for good."""
     width, id_mask, end = bpe_vocab.WIDTH, bpe_vocab.ID_MASK, vocabulary.word_end
     size = {i: max(1, len(name.removesuffix(end) if end else name)) for i, name in vocabulary.names.items()}
     made: dict[int, list[tuple[int, int]]] = defaultdict(list)
     #: For each left symbol, the ranks of its rules so far and the most that any up to there needs.
     ranks: dict[int, list[int]] = defaultdict(list)
     needs: dict[int, list[int]] = defaultdict(list)
-    most = 1
-    for pair, value in sorted(vocabulary.pairs.items(), key=lambda x: x[1]):
-        left, right, rank = pair >> width, pair & id_mask, value >> width
-        spoils, spine, seen = 0, [(right, rank)], set()
+
+    def needed(last: int, before: int) -> int:
+        """By rules of a rank below ``before`` over a border that ``last`` ends at, or a part of it earlier on."""
+        most, spine, seen = 0, [(last, before)], set()
         while spine:
             symbol, before = spine.pop()
             if (symbol, before) in seen:
                 continue
             seen.add((symbol, before))
             if k := bisect_left(ranks[symbol], before):
-                spoils = max(spoils, needs[symbol][k - 1])
-            spine += [(part, own) for own, part in made[symbol] if own < rank]
-        need = size[right] + spoils
-        most = max(most, need)
+                most = max(most, needs[symbol][k - 1])
+            spine += [(part, own) for own, part in made[symbol] if own < before]
+        return most
+
+    for pair, value in sorted(vocabulary.pairs.items(), key=lambda x: x[1]):
+        left, right, rank = pair >> width, pair & id_mask, value >> width
+        need = size[right] + needed(right, rank)
         needs[left].append(max(need, needs[left][-1] if needs[left] else 0))
         ranks[left].append(rank)
         made[value & id_mask].append((rank, right))
-    return most, max(size[i] for i in vocabulary.ids.values())
+    return {token: needed(token, len(vocabulary.pairs) + 1) for token in vocabulary.ids.values()}
+
+
+#: Greater than any rule's value.
+NO_RULE = 1 << 62
 
 
 def merged(symbols: list[int], pairs: dict[int, int]) -> list[int]:
     """The tokens of one stretch of symbols."""
     n = len(symbols)
     width, id_mask, get = bpe_vocab.WIDTH, bpe_vocab.ID_MASK, pairs.get
-    if n <= 24:
-        while len(symbols) > 1:
-            best, at = None, 0
-            for k in range(len(symbols) - 1):
-                found = get(symbols[k] << width | symbols[k + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, k
-            if best is None:
-                break
-            symbols[at : at + 2] = [best & id_mask]
+    if n <= 48:
+        # few symbols: a list of the pairs' ranks is quicker than a heap
+        found = [get(a << width | b, NO_RULE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while found and (best := min(found)) < NO_RULE:
+            at = found.index(best)
+            symbols[at : at + 2] = [merged_symbol := best & id_mask]
+            del found[at]
+            if at:
+                found[at - 1] = get(symbols[at - 1] << width | merged_symbol, NO_RULE)
+            if at < len(found):
+                found[at] = get(merged_symbol << width | symbols[at + 1], NO_RULE)
         return symbols
     heap = [found << 32 | k for k in range(n - 1) if (found := get(symbols[k] << width | symbols[k + 1])) is not None]
     heapq.heapify(heap)
@@ -141,34 +159,43 @@ def merged(symbols: list[int], pairs: dict[int, int]) -> list[int]:
 
 
 class Transducer:
-    """Encodes the bytes of a piece as they come and emits every token once it is stable."""
-
-    def __init__(self, vocabulary: bpe_vocab.Vocabulary, lookahead: int, longest: int, stride: int = 4096) -> None:
-        self.vocabulary, self.lookahead = vocabulary, lookahead
-        self.window = lookahead + longest + stride
-        self.sizes = {i: len(n.removesuffix(vocabulary.word_end) if vocabulary.word_end else n) for n, i in vocabulary.ids.items()}
-
-    def encode(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
-        """The tokens of one piece, given in chunks of bytes; holds one window at most."""
-        first, last, pairs = self.vocabulary.first, self.vocabulary.last, self.vocabulary.pairs
-        held = bytearray()
-        for chunk in chunks:
-            for at in range(0, len(chunk), self.window):
-                held += chunk[at : at + self.window]
-                while len(held) > self.window:
-                    stretch = held[: self.window]
-                    tokens, stable, taken = merged([first[b] for b in stretch], pairs), 0, 0
-                    for token in tokens:
-                        if taken + self.sizes[token] > self.window - self.lookahead:
-                            break
-                        taken += self.sizes[token]
-                        stable += 1
-                    yield tokens[:stable]
-                    del held[:taken]
-        if held:
-            symbols = [first[b] for b in held]
-            symbols[-1] = last[held[-1]]
-            yield merged(symbols, pairs)
+    """Encodes the bytes of one piece as they come and emits every token once it is stable."""
+
+    def __init__(self, vocabulary: bpe_vocab.Vocabulary, lookahead: dict[int, int], stride: int = STRIDE) -> None:
+        self.vocabulary, self.lookahead, self.stride = vocabulary, lookahead, stride
+        end = vocabulary.word_end
+        self.sizes = {i: len(n.removesuffix(end) if end else n) for n, i in vocabulary.ids.items()}
+        self.held = bytearray()
+
+    def push(self, raw: bytes) -> list[int]:
+        """Takes the piece's next bytes; gives the tokens that are stable by now."""
+        out: list[int] = []
+        for at in range(0, len(raw), self.stride):
+            if self.held:
+                # more has come: none of the held bytes is the piece's last
+                out += self.settle()
+            self.held += raw[at : at + self.stride]
+        return out
+
+    def settle(self) -> list[int]:
+        first, taken, out = self.vocabulary.first, 0, []
+        for token in merged([first[b] for b in self.held], self.vocabulary.pairs):
+            ends = taken + self.sizes[token]
+            if len(self.held) - ends < self.lookahead[token]:
+                break
+            taken = ends
+            out.append(token)
+        del self.held[:taken]
+        return out
+
+    def finish(self) -> list[int]:
+        """The tokens of what is left at the end of the piece; ready for another piece."""
+        if not self.held:
+            return []
+        symbols = [self.vocabulary.first[b] for b in self.held]
+        symbols[-1] = self.vocabulary.last[self.held[-1]]
+        self.held.clear()
+        return merged(symbols, self.vocabulary.pairs)
 
 
 def normalised(text: str) -> str:
@@ -176,68 +203,106 @@ def normalised(text: str) -> str:
     if text.isascii():
         return text.lower()
     # str.lower() knows a final sigma, the letterwise rule does not
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(newer_characters()[1])
+    text, newer = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower(), newer_characters()[1]
+    return text if newer_letters().isdisjoint(text) else text.translate(newer)
+
 
+def pack(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
-class Encoder(dict):
-    """piece -> (packed ids, surface); remembers short pieces up to a bound."""
+
+class Encoder:
+    """Texts to packed ids; the ids of pieces are remembered within a bound of bytes."""
 
     def __init__(self, vocabulary: bpe_vocab.Vocabulary) -> None:
-        super().__init__()
         self.vocabulary = vocabulary
-        self.transducer = Transducer(vocabulary, *sufficient_lookahead(vocabulary))
+        self.transducer = Transducer(vocabulary, sufficient_lookahead(vocabulary))
         self.pieces = cutter()
         strings = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")") if strings else None
+        self.known = common.Memory(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        return pack(self.transducer.push(piece.encode()) + self.transducer.finish())
 
-    def __missing__(self, piece: str) -> tuple[bytes, str]:
-        raw, names = piece.encode(), self.vocabulary.names
-        parts = list(self.transducer.encode([raw]))
-        ids = parts[0] if len(parts) == 1 else [i for part in parts for i in part]
-        found = np.array(ids, "<u4").tobytes(), " ".join([names[i] for i in ids])
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
-
-    def encoded(self, text: str | None) -> Iterator[list[tuple[bytes, str]]]:
-        """Packed ids and surface of each piece, a chunk of the text at a time."""
+    def encoded(self, text: str | None) -> Iterator[bytes]:
+        """Packed ids, a chunk of the text at a time."""
         if not text:
             return
-        special, at = self.vocabulary.special, 0
+        special = self.vocabulary.special
         parts = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
         for part in parts:
             if part in special:
-                yield [(np.array([special[part]], "<u4").tobytes(), part)]
-                continue
-            for chunk in chunked(part):
-                if pieces := self.pieces(normalised(chunk)):
-                    yield [self[p] for p in pieces]
+                yield pack([special[part]])
+            else:
+                yield from self.stretch(part)
+
+    def stretch(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a text without special strings; pieces that go on over a cut stay in the transducer."""
+        within = False
+        for chunk, goes_on in chunked(text):
+            pieces, out = self.pieces(normalised(chunk)), []
+            if within:
+                out.append(pack(self.transducer.push(pieces[0].encode())))
+                if goes_on and len(pieces) == 1:
+                    yield out[0]
+                    continue
+                out.append(pack(self.transducer.finish()))
+                del pieces[0]
+            last = pieces.pop() if goes_on else None
+            out.extend(map(self.known.__getitem__, pieces))
+            if last is not None:
+                out.append(pack(self.transducer.push(last.encode())))
+            within = goes_on
+            yield b"".join(out)
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(raw for part in self.encoded(text) for raw, _ in part), "<u4")
+        return np.frombuffer(b"".join(self.encoded(text)), "<u4")
+
 
+#: Places inside a piece or before a number, where no composed character, contraction or other piece is cut:
+#: between two ASCII letters without an apostrophe before them, two ideographs, two equal signs, before a digit.
+CUTS = regex.compile(r"(?<=(?<!'..|'.|')[A-Za-z])(?=[A-Za-z])|(?<=[\u4E00-\u9FFF])(?=[\u4E00-\u9FFF])|(?<=([!-&(-/:-@\[-`{-~]))(?=\1)|(?<=[ -~])(?=[0-9])")
 
-def chunked(text: str, size: int = CHUNK) -> Iterator[str]:
-    """Cuts at white space, which no piece and no composed character spans."""
+
+def chunked(text: str, size: int = CHUNK, seek: int = SEEK) -> Iterator[tuple[str, bool]]:
+    """Chunks of a text, and whether a chunk's last piece goes on in the next one.
+
+    Cuts at white space, which no piece and no composed character spans, if some is near; otherwise at
+    the first safe place.
+    """
     at = 0
     while len(text) - at > size:
-        cut = next((k for k in range(at + size, len(text)) if text[k] in " \t\n\r"), len(text))
-        yield text[at:cut]
+        cut = next((k for k in range(at + size, min(len(text), at + size + seek)) if text[k] in " \t\n\r"), None)
+        if cut is None:
+            found = CUTS.search(text, at + size)
+            if found is None:
+                break
+            cut = found.start()
+        yield text[at:cut], text[cut] not in " \t\n\r0123456789"
         at = cut
-    yield text[at:] if at else text
+    yield text[at:], False
 
 
 class Decoder:
-    """Ids to text, one id at a time; bytes of an unfinished character wait for the next id."""
+    """Ids to text as they come; nothing but the state between two ids is held."""
 
-    def __init__(self, vocabulary: bpe_vocab.Vocabulary) -> None:
+    def __init__(self, vocabulary: bpe_vocab.Vocabulary, readable: bool = False) -> None:
         self.names, self.special, self.end = vocabulary.names, set(vocabulary.special.values()), vocabulary.word_end
+        self.readable, self.begun = readable, False
         self.byte = {s: b for b, s in enumerate(bpe_vocab.byte_symbols())}
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: int) -> str:
+    def feed(self, ids: Iterable[int]) -> str:
+        """The text that these ids add."""
+        if self.readable:
+            return "".join(map(self.whole_characters, ids))
+        shown = " ".join(map(self.names.__getitem__, ids))
+        gap = " " if self.begun and shown else ""
+        self.begun |= bool(shown)
+        return gap + shown
+
+    def whole_characters(self, token: int) -> str:
         name = self.names[token]
         if token in self.special:
             return self.machine.decode(b"", True) + name
@@ -246,28 +311,13 @@ class Decoder:
         return self.machine.decode(raw) + (self.machine.decode(b"", True) + " " if ends else "")
 
     def close(self) -> str:
+        """What an unfinished character leaves."""
         return self.machine.decode(b"", True)
 
 
-def decode(vocabulary: bpe_vocab.Vocabulary, ids: Iterable[int]) -> str:
-    """Readable text of the ids: words end in a space in vocabularies that mark word ends."""
-    machine = Decoder(vocabulary)
-    return "".join([*map(machine.feed, map(int, ids)), machine.close()])
-
-
-def surface(vocabulary: bpe_vocab.Vocabulary, ids: Iterable[int]) -> str:
-    """What a library without a decoder step gives: symbol names with single spaces between."""
-    return " ".join(vocabulary.names[int(i)] for i in ids)
-
-
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def encoder(raw: bytes) -> Encoder:
-    key = hash(raw)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(bpe_vocab.parse(raw))
-    return _ENCODERS[key]
+def decode(vocabulary: bpe_vocab.Vocabulary, ids: Iterable[int], readable: bool = False) -> str:
+    machine = Decoder(vocabulary, readable)
+    return machine.feed(map(int, ids)) + machine.close()
 
 
 def with_ids(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -275,11 +325,11 @@ def with_ids(docs: DataFrame, path: str | None = None, text: str = "text") -> Da
     sent = docs.sparkSession.sparkContext.broadcast(bpe_vocab.read(path or public_tokenizers.path(VOCABULARY)))
 
     def make():
-        own = encoder(sent.value)
+        own = Encoder(bpe_vocab.parse(sent.value))
 
         def run(texts: list) -> list[list]:
             ids = [own.ids(t).tolist() for t in texts]
-            return [ids, [decode(own.vocabulary, x) for x in ids]]
+            return [ids, [decode(own.vocabulary, x, readable=True) for x in ids]]
 
         return run
 
@@ -287,25 +337,24 @@ def with_ids(docs: DataFrame, path: str | None = None, text: str = "text") -> Da
 
 
 def with_digests(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """Appends the number of ids and the digests of the ids and of their surface text.
+    """Appends the number of ids and the digests of the ids and of the text that the decoder makes of them.
 
-    Digests are fed a chunk at a time, so neither ids nor decoded text of a long document are held.
+    Both go on a chunk at a time, so neither ids nor decoded text of a long document are held.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bpe_vocab.read(path or public_tokenizers.path(VOCABULARY)))
 
     def make():
-        own = encoder(sent.value)
+        own = Encoder(bpe_vocab.parse(sent.value))
 
         def digests(text: str | None) -> tuple[int, str, str]:
-            n, ids, decoded, gap = 0, hashlib.sha256(), hashlib.sha256(), b""
-            for part in own.encoded(text):
-                packed = b"".join([raw for raw, _ in part])
-                ids.update(packed)
-                n += len(packed) // 4
-                decoded.update(gap)
-                decoded.update(" ".join([shown for _, shown in part]).encode())
-                gap = b" "
-            return n, ids.hexdigest(), decoded.hexdigest()
+            n, ids_hash, text_hash, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(own.vocabulary)
+            for packed in own.encoded(text):
+                ids = np.frombuffer(packed, "<u4").tolist()
+                n += len(ids)
+                ids_hash.update(packed)
+                text_hash.update(machine.feed(ids).encode())
+            text_hash.update(machine.close().encode())
+            return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
         return lambda texts: list(zip(*map(digests, texts), strict=True)) or [(), (), ()]
 

@@ -9,11 +9,16 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
+import weakref
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -27,23 +32,32 @@ BROADCAST_ROWS = 1_000_000
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
+#: Bytes that a task's memory of computed values may hold.
+MEMORY_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in local mode, where it is shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for own in getattr(spark.sparkContext, "_tidemark_stages", ()):
+        own.append(path)
+    return path
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
@@ -53,6 +67,94 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the scratch folders that were made within it and are still on the list it gives.
+
+    What leaves the block must not read them: it is staged outside, or its path is taken off the list.
+    """
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemark_stages"):
+        context._tidemark_stages = []
+    own: list[str] = []
+    context._tidemark_stages.append(own)
+    try:
+        yield own
+    finally:
+        context._tidemark_stages = [x for x in context._tidemark_stages if x is not own]
+        for path in own:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def paths_of(df: DataFrame) -> set[str]:
+    """The folders of the staged table that ``df`` was read from."""
+    return {os.path.dirname(f.removeprefix("file://").removeprefix("file:")) for f in df.inputFiles()}
+
+
+class Memory(dict):
+    """Values of ``compute`` by key, remembered up to about ``most`` bytes; for use in one task.
+
+    At half of that the values become the older generation; of those, the ones in use come back.
+    """
+
+    every: weakref.WeakSet = weakref.WeakSet()
+
+    def __init__(self, compute: Callable, most: int = MEMORY_BYTES) -> None:
+        super().__init__()
+        self.compute, self.most, self.held, self.older = compute, most, 0, {}
+        Memory.every.add(self)
+
+    __hash__ = object.__hash__
+
+    def __missing__(self, key: Hashable):
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.compute(key)
+        size = sys.getsizeof(key) + sys.getsizeof(found) + 100
+        if size < self.most >> 8:
+            self.held += size
+            if 2 * self.held > self.most:
+                self.older = dict(self)
+                self.clear()
+                self.held = size
+            self[key] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.older = 0, {}
+
+
+def give_back() -> None:
+    """At the end of a task: forgets what was remembered and gives free memory back to the system."""
+    for memory in list(Memory.every):
+        memory.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it decides for itself
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose tasks give their memory back when they end."""
+    ship(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, and bounds what Python holds."""
     for key, most in BATCH_LIMITS.items():
@@ -81,7 +183,6 @@ def map_text(docs: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
     ``make()`` runs once in each task and returns a function from a batch's values of ``uses`` (a
     list) to one list for each of ``fields``.
     """
-    ship(docs.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [f for f in docs.schema.fields if f.name.lower() not in new]
     frame = docs if uses.lower() not in new else docs.withColumnRenamed(uses, uses := f"_{uses}_in")
@@ -96,7 +197,7 @@ def map_text(docs: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
             arrays += [pa.array(v, t) for v, (_, t) in zip(found, targets, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in targets])
 
-    return frame.mapInArrow(run, schema)
+    return mapped(frame, run, schema)
 
 
 def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:

@@ -5,23 +5,15 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tidemark.llm.common import Memory
+
 SIZE = 5
-REMEMBERED = 100_000
 #: Odd multipliers of the polynomial over word hashes and of the final mixing.
 P, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; starts anew at a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_WORDS = WordHashes()
+#: word -> 64-bit hash.
+_WORDS = Memory(xxhash.xxh64_intdigest, 8 << 20)
 
 
 def word_hashes(text: str | None) -> np.ndarray:

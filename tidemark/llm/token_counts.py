@@ -2,7 +2,7 @@
 
 Each piece of text starts as one symbol a byte. The adjacent pair of lowest rank is popped again and
 again; every merge lowers the count by one, so the count is initial symbols minus merges and no
-identifiers are made. Counts of pieces are remembered in each worker, within a bound.
+identifiers are made. Counts of pieces are remembered by each task, within a bound of bytes.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are each counted; the
 vocabulary's special strings inside a text count as one token each, as the tokenizers library does by
@@ -24,8 +24,6 @@ from tidemark.llm import bpe_vocab, common
 
 VOCABULARY = "byte_bpe_50k.json"
 CONTEXT = 1024
-#: Pieces that a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 64
 
 
 def merge_count(symbols: list[int], pairs: dict[int, int]) -> int:
@@ -62,24 +60,19 @@ def merge_count(symbols: list[int], pairs: dict[int, int]) -> int:
     return left
 
 
-class Counter(dict):
-    """Remembers the count of each short piece, up to a bound; then it starts anew."""
+class Counter:
+    """Counts texts; the counts of pieces are remembered within a bound."""
 
     def __init__(self, vocabulary: bpe_vocab.Vocabulary) -> None:
-        super().__init__()
         self.vocabulary = vocabulary
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         strings = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, strings))) if strings else None
+        self.known = common.Memory(self.count_piece)
 
-    def __missing__(self, piece: str) -> int:
+    def count_piece(self, piece: str) -> int:
         first = self.vocabulary.first
-        count = merge_count([first[b] for b in piece.encode()], self.vocabulary.pairs)
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = count
-        return count
+        return merge_count([first[b] for b in piece.encode()], self.vocabulary.pairs)
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -87,17 +80,7 @@ class Counter(dict):
         if self.special is not None and self.special.search(text):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(self.count(part) for part in parts)
-        return sum(map(self.__getitem__, self.pieces(text)))
-
-
-_COUNTERS: dict[int, Counter] = {}
-
-
-def counter(raw: bytes) -> Counter:
-    key = hash(raw)
-    if key not in _COUNTERS:
-        _COUNTERS[key] = Counter(bpe_vocab.parse(raw))
-    return _COUNTERS[key]
+        return sum(map(self.known.__getitem__, self.pieces(text)))
 
 
 def with_token_counts(docs: DataFrame, path: str | None = None, text: str = "text", name: str = "n_tokens") -> DataFrame:
@@ -105,7 +88,7 @@ def with_token_counts(docs: DataFrame, path: str | None = None, text: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast(bpe_vocab.read(path or public_tokenizers.path(VOCABULARY)))
 
     def make():
-        count = counter(sent.value).count
+        count = Counter(bpe_vocab.parse(sent.value)).count
         return lambda texts: [[count(t) for t in texts]]
 
     return common.map_text(docs, make, [common.field(name, T.LongType())], text)
