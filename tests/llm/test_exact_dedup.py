@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import defaultdict
 
@@ -28,8 +29,10 @@ def test_edge_cases(spark):
 
 def test_only_one_of_repeated_rows_stays_and_columns_are_kept(spark):
     docs = cases.edge(spark, extra=True)
-    left = exact_dedup.without_duplicates(docs.drop("_digest"))
-    assert left.columns == docs.drop("_digest").columns
+    for name in ("_text", "_points", "_id", "_file", "_row", "_metadata", "_c0", "_best"):
+        docs = docs.withColumn(name, F.lit("own"))
+    left = exact_dedup.without_duplicates(docs)
+    assert left.columns == docs.columns and {tuple(r[-8:]) for r in left.collect()} == {("own",) * 8}
     assert sorted([r.doc_id for r in left.collect() if r.doc_id]) == [3, 4, 5, 6, 7, 8, 9, 10, 11]
 
 
@@ -53,6 +56,19 @@ def test_several_micro_batches_and_a_second_stream_over_the_same_state(spark):
         assert (held["_n"], held["_best"]["_points"]) == (10 * times, 9)
 
 
+def test_a_later_stream_is_checked_against_the_texts_of_the_state(spark):
+    state, weak = common.scratch(spark, "kept-state"), lambda t: F.substring(F.sha2(t, 256), 1, 1)
+    first = [(k, f"text {k}") for k in range(40)]
+    exact_dedup.exact_duplicates(spark.createDataFrame(first, cases.DOCS), state=state).collect()
+    again = exact_dedup.exact_duplicates(spark.createDataFrame([(100, "text 3"), (101, "new"), (102, "te xt 7")], cases.DOCS), state=state)
+    assert cases.rows(again, "doc_id", "keep_id", "group_size", "kept") == [(100, 3, 2, False), (101, 101, 1, True), (102, 102, 2, True)]
+    state = common.scratch(spark, "weak-state")
+    exact_dedup.exact_duplicates(spark.createDataFrame([(1, "a longer text")], cases.DOCS), state=state, digest=weak).collect()
+    other = next(t for t in (f"t{k}" for k in range(500)) if hashlib.sha256(t.encode()).hexdigest()[0] == hashlib.sha256(b"alongertext").hexdigest()[0])
+    clash = exact_dedup.exact_duplicates(spark.createDataFrame([(2, other), (3, "along er text")], cases.DOCS), state=state, digest=weak)
+    assert cases.rows(clash, "doc_id", "keep_id", "group_size") == [(2, 2, 1), (3, 1, 2)]
+
+
 def test_the_plan_has_no_python(spark, tiny):
     plan = exact_dedup.op2_exact_dedup(spark, tiny)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
