@@ -20,19 +20,62 @@ def test_held_out_accuracy(spark):
     assert caught > 0.7 and wrong < 0.005
 
 
-def test_pairs_are_learnt_that_additive_weights_miss():
+def pair_data(rule, share=0.5, n=3000):
     rng = np.random.default_rng(0)
     a, b, noise = toxicity.slot(b"insult"), toxicity.slot(b"group"), [toxicity.slot(f"n{k}".encode()) for k in range(50)]
     rows, labels = [], []
-    for _ in range(3000):
-        x, y = rng.random() < 0.5, rng.random() < 0.5
+    for _ in range(n):
+        x, y = rng.random() < share, rng.random() < share
         own = {int(s) for s in rng.choice(noise, 5)} | ({a} if x else set()) | ({b} if y else set())
         rows.append(np.array(sorted(own), np.int32))
-        labels.append(int(x == y))
-    model = toxicity.train(rows, np.array(labels), epochs=150, evidence=1e-6)
+        labels.append(int(rule(x, y)))
+    return rows, np.array(labels)
+
+
+def test_pairs_are_learnt_that_additive_weights_miss():
+    model = toxicity.train(*pair_data(lambda x, y: x == y))
     # texts like those that were learnt from: five other words, with none, one or both of the pair
     score, rest = model.scorer(), "n1 n12 n23 n34 n45 "
     assert min(score(rest + "insult group"), score(rest)) > 0.8 and max(score(rest + "insult"), score(rest + "group")) < 0.2
+    score = toxicity.train(*pair_data(lambda x, y: x and y, 0.3)).scorer()
+    assert score(rest + "insult group") > 0.8 and max(score(rest), score(rest + "insult"), score(rest + "group")) < 0.2
+
+
+def test_words_without_evidence_stay_out():
+    rng = np.random.default_rng(1)
+    rows, labels = pair_data(lambda x, y: rng.random() < 0.3)
+    assert not len(toxicity.informative(rows, labels.astype(float)))
+
+
+def test_scores_equal_the_sum_over_all_pairs():
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(30)]
+    slots = sorted({toxicity.slot(w.encode()) for w in words[:20]})
+    model = toxicity.Machine(0.3, np.array(slots), rng.normal(size=len(slots)), rng.normal(size=(len(slots), 4)))
+    for size in (0, 1, 2, 7, 30):
+        text = " ".join(rng.choice(words, size))
+        own = sorted({slots.index(s) for s in map(toxicity.slot, text.encode().split()) if s in slots})
+        logit = 0.3 + sum(model.weights[i] for i in own) + sum(float(model.factors[i] @ model.factors[j]) for i in own for j in own if i < j)
+        assert abs(model.scorer()(text) - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+def test_pair_evidence_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLOT_BLOCK", 7)
+    monkeypatch.setattr(toxicity, "TEXT_BLOCK", 100)
+    rows, labels = pair_data(lambda x, y: x == y, n=400)
+
+    def g2(states):
+        n = len(labels)
+        return 2 * sum(c * np.log(c * n / ((states == s).sum() * (labels == y).sum())) for s in set(states) for y in (0, 1) if (c := ((states == s) & (labels == y)).sum()))
+
+    tested = np.unique(np.concatenate(rows))
+    has = np.array([np.isin(tested, r) for r in rows])
+    alone = np.array([g2(has[:, k].astype(int)) for k in range(len(tested))])
+    brute = {(i, j) for i in range(len(tested)) for j in range(i + 1, len(tested)) if g2(2 * has[:, i] + has[:, j]) - alone[i] - alone[j] >= toxicity.PAIR_EVIDENCE}
+    have = np.array([has[labels == k].sum(0) for k in (0, 1)], float)
+    total = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    found = toxicity.pairs_with_evidence(rows, labels, tested, have, total, alone)
+    assert {tuple(p) for p in found.tolist()} == brute and len(brute) == 1
 
 
 def test_edge_cases(spark):

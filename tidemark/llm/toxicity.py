@@ -2,9 +2,13 @@
 
 A document is its set of distinct terms, hashed to slots. The score is the logistic function of
 ``b + sum w_i + sum_{i<j} <v_i, v_j>``: the pairwise part learns combinations, such as an insult
-together with a group mention, that additive weights miss. Only slots with evidence get weights: their
-presence must depend on the label by a log-likelihood ratio of ``EVIDENCE``. Weights and factors of
-these slots are fitted together by Adam with decay. Training takes a bounded sample of
+together with a group mention, that additive weights miss. Slots get weights and factors if there is
+evidence for them in the sample's distinct texts: their presence depends on the label (log-likelihood
+ratio of ``EVIDENCE``), or their presence together with another slot's depends on it beyond what both
+tell alone (``PAIR_EVIDENCE``, above what the millions of pairs tested give by chance). Pairs are tested
+among the ``PAIR_SLOTS`` slots that most texts of the rarer label have, and the ``PAIRS`` strongest are
+taken: the model's capacity, not a limit on data. Weights and factors are fitted together by Adam with
+decay. Training takes a bounded sample of
 labelled rows (``SAMPLE``, a parameter) in the order of a hash of the id, so the same tables give the
 same model; scoring reads every whole text of all rows in one pass without a shuffle.
 
@@ -27,9 +31,12 @@ from tidemark.llm import common
 
 SLOT_BITS, FACTORS, SAMPLE = 20, 4, 20_000
 THRESHOLD = 0.7
-#: Evidence (G2, one degree of freedom) that gives a slot weights, and the decay of weights and factors.
-EVIDENCE, DECAY = 20.0, 1e-4
-REMEMBERED = 100_000
+#: Evidence (G2) of a slot and of a pair of slots that gives them weights, and the decay of weights and factors.
+EVIDENCE, PAIR_EVIDENCE, DECAY = 20.0, 45.0, 1e-4
+#: Slots whose pairs are tested, the most pairs that are taken, and slots and texts counted at a time.
+PAIR_SLOTS, PAIRS, SLOT_BLOCK, TEXT_BLOCK = 3072, 512, 256, 1024
+#: Passes over the sample, and steps at least if it is small.
+EPOCHS, STEPS = 30, 1800
 #: Words end at ASCII characters other than letters and digits.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -54,15 +61,7 @@ class Machine:
     def scorer(self):
         """A function from texts to scores, which remembers which terms matter."""
         row_of = {int(s): k for k, s in enumerate(self.active)}
-
-        class Rows(dict):
-            def __missing__(rows, term: bytes) -> int:
-                if len(rows) >= REMEMBERED:
-                    rows.clear()
-                rows[term] = found = row_of.get(slot(term), -1)
-                return found
-
-        rows = Rows()
+        rows = common.Memory(lambda term: row_of.get(slot(term), -1), 16 << 20)
 
         def score(text: str | None) -> float:
             logit = self.bias
@@ -83,21 +82,22 @@ def constant(share: float) -> Machine:
     return Machine(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, evidence: float = EVIDENCE, seed: int = 7) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    active = informative(rows, y, evidence)
+    active = informative(rows, y)
     row_of = np.full(1 << SLOT_BITS, -1, np.int64)
     row_of[active] = np.arange(len(active))
     kept = [k[k >= 0] for k in (row_of[r] for r in rows)]
     bias, w, v = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(active)), rng.normal(0, 0.01, (len(active), FACTORS))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v)]
     step = 0
-    for _ in range(epochs):
+    batches = max(1, len(kept) // 250)
+    for _ in range(max(EPOCHS, -(-STEPS // batches))):
         order = rng.permutation(len(kept))
-        for batch in np.array_split(order, max(1, len(order) // 250)):
+        for batch in np.array_split(order, batches):
             step += 1
             sizes = np.array([len(kept[k]) for k in batch])
             flat = np.concatenate([kept[k] for k in batch])
@@ -120,17 +120,56 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, evidence
     return Machine(bias, active, w, v)
 
 
-def informative(rows: list[np.ndarray], y: np.ndarray, evidence: float) -> np.ndarray:
-    """Slots whose presence depends on the label: log-likelihood ratio G2 of their 2x2 table of at least ``evidence``."""
-    n, flat = 1 << SLOT_BITS, np.concatenate(rows)
-    sizes = np.array([len(r) for r in rows])
-    have = np.array([np.bincount(flat, np.repeat(y == k, sizes), n) for k in (0, 1)])
-    total = np.array([[(y == 0).sum()], [(y == 1).sum()]], float)
-    cells = np.stack([have, total - have])
-    expected = cells.sum(1, keepdims=True) * (total / total.sum())[None]
+def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Slots with evidence of their own or together with another slot, from the distinct texts."""
+    distinct = sorted({(r.tobytes(), t) for r, t in zip(rows, y.tolist(), strict=True)})
+    rows, y = [np.frombuffer(r, np.int32) for r, _ in distinct], np.array([t for _, t in distinct])
+    sizes, n = np.array([len(r) for r in rows]), 1 << SLOT_BITS
+    have = np.array([np.bincount(np.concatenate(rows), np.repeat(y == k, sizes), n) for k in (0, 1)])
+    total = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    alone = likelihood_ratio(have[:, None], total) if total.all() else np.zeros(n)
+    own = np.flatnonzero(alone >= EVIDENCE)
+    rarer = int(total[1] < total[0])
+    tested = np.sort(np.argsort(-have[rarer], kind="stable")[:PAIR_SLOTS])
+    tested = tested[have[rarer][tested] > 0]
+    found = pairs_with_evidence(rows, y, tested, have[:, tested], total, alone[tested])
+    return np.union1d(own, tested[found.ravel()])
+
+
+def likelihood_ratio(have: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """G2 of label against state, where ``have`` (label, state, ...) counts all states but the last, the rest."""
+    cells = np.concatenate([have, total.reshape(2, 1, *[1] * (have.ndim - 2)) - have.sum(1, keepdims=True)], axis=1)
+    expected = cells.sum(0) * (total / total.sum()).reshape(2, 1, *[1] * (have.ndim - 2))
     with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = 2 * np.where(cells > 0, cells * np.log(cells / expected), 0).sum((0, 1))
-    return np.flatnonzero(g2 >= evidence)
+        return 2 * np.where(cells > 0, cells * np.log(cells / expected), 0).sum((0, 1))
+
+
+def pairs_with_evidence(rows: list[np.ndarray], y: np.ndarray, tested: np.ndarray, have: np.ndarray, total: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of places in ``tested`` that tell about the label together what they don't tell alone."""
+    if not total.all() or len(tested) < 2:
+        return np.empty((0, 2), np.int64)
+    place = np.full(1 << SLOT_BITS, -1, np.int64)
+    place[tested] = np.arange(len(tested))
+    kept = [k[k >= 0] for k in (place[r] for r in rows)]
+    strongest: list[tuple[float, int, int]] = []
+    for start in range(0, len(tested), SLOT_BLOCK):
+        stop = min(len(tested), start + SLOT_BLOCK)
+        # the pairs of these slots with themselves and those after them
+        both = np.zeros((2, stop - start, len(tested) - start), np.float32)
+        for label in (0, 1):
+            own = [r for r, t in zip(kept, y, strict=True) if t == label]
+            for k in range(0, len(own), TEXT_BLOCK):
+                texts = own[k : k + TEXT_BLOCK]
+                dense = np.zeros((len(texts), len(tested)), np.float32)
+                dense[np.repeat(np.arange(len(texts)), [len(r) for r in texts]), np.concatenate(texts)] = 1
+                both[label] += dense[:, start:stop].T @ dense[:, start:]
+        # label x (both, only i, only j) x i x j; the rest is neither
+        states = np.stack([both, have[:, start:stop, None] - both, have[:, None, start:] - both], axis=1)
+        more = likelihood_ratio(states, total) - alone[start:stop, None] - alone[None, start:]
+        i, j = np.nonzero(np.triu(more, 1) >= PAIR_EVIDENCE)
+        strongest += zip(more[i, j].tolist(), (i + start).tolist(), (j + start).tolist(), strict=True)
+        strongest = sorted(strongest, key=lambda x: (-x[0], x[1:]))[:PAIRS]
+    return np.array([x[1:] for x in strongest], np.int64).reshape(-1, 2)
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out: int | None = 1, folds: int = 3, sample: int = SAMPLE) -> Machine:
