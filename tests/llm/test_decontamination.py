@@ -60,17 +60,46 @@ def test_hits_equal_brute_force(spark, tmp_path):
 def test_blocks_and_shards_change_nothing(spark, monkeypatch):
     docs, items = planted(7)
     docs_df, bench = spark.createDataFrame(docs, cases.DOCS), spark.createDataFrame(items, "item_id long, text string")
-    one = cases.rows(decontamination.with_hits(docs_df, bench).select("doc_id", "n_hit", "hit_items"))
-    monkeypatch.setattr(decontamination, "SHARD_WORDS", 50)
-    assert cases.rows(decontamination.with_hits(docs_df, bench, block_bytes=60).select("doc_id", "n_hit", "hit_items")) == one
+    monkeypatch.setattr(decontamination, "SHARD_BYTES", 300)
+    monkeypatch.setattr(decontamination, "FOLLOWED", 5)
+    names = ["doc_id", "n_words", "n_hit", "hit_items", "contaminated", "longest_match", "longest_item", "longest_doc_word"]
+    one = cases.rows(decontamination.with_hits(docs_df, bench).select(names))
+    assert cases.rows(decontamination.with_hits(docs_df, bench, block_bytes=600).select(names)) == one
 
 
-def test_longest_matches(spark):
+def brute_matches(docs, items):
+    """(item, item word) -> (words, -doc, -word) of the longest match of at least a window."""
+    best = {}
+    for name, text in {(("" if i is None else str(i)), t) for i, t in items}:
+        own = words(text)
+        least = min(13, len(own))
+        for at in range(len(own) - least + 1 if own else 0):
+            for doc, other in docs:
+                there = words(other)
+                for place in range(len(there)):
+                    n = 0
+                    while at + n < len(own) and place + n < len(there) and own[at + n] == there[place + n]:
+                        n += 1
+                    if n >= least:
+                        best[name, at] = max(best.get((name, at), (0, 0, 0)), (n, -doc, -place))
+    return best
+
+
+def test_longest_matches_equal_brute_force(spark):
+    for seed in range(2):
+        docs, items = planted(seed)
+        docs = [(d, t) for d, t in docs[:40]]
+        docs_df, bench = spark.createDataFrame(docs, cases.DOCS), spark.createDataFrame(items, "item_id long, text string")
+        for size in (1 << 20, 700):
+            found = {(r.item_id, r.item_word): (r.n_words, -r.doc_id, -r.doc_word) for r in decontamination.longest_matches(docs_df, bench, block_bytes=size).collect()}
+            assert found == brute_matches(docs, items)
+
+
+def test_a_documents_longest_match(spark):
     item = " ".join(f"w{k}" for k in range(60))
-    docs = spark.createDataFrame([(1, "x " + " ".join(item.split()[5:50]) + " y"), (2, " ".join(item.split()[5:20]))], cases.DOCS)
-    found = decontamination.longest_matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    best = {r.item_word: (r.doc_id, r.doc_word, r.n_words) for r in found.collect()}
-    assert best[5] == (1, 1, 45) and best[10] == (1, 6, 40) and 40 not in best
+    docs = spark.createDataFrame([(1, "x " + " ".join(item.split()[5:50]) + " y " + " ".join(item.split()[:20])), (2, " ".join(item.split()[5:20])), (3, "clean")], cases.DOCS)
+    found = decontamination.with_hits(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert cases.rows(found, "doc_id", "longest_match", "longest_item", "longest_item_word", "longest_doc_word") == [(1, 45, "1", 5, 1), (2, 15, "1", 5, 0), (3, 0, None, None, None)]
 
 
 def test_removal_and_edge_cases(spark):

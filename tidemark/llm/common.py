@@ -22,6 +22,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,11 +178,11 @@ def lookup_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
-def map_text(docs: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], uses: str = "text") -> DataFrame:
+def map_text(docs: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], uses: str = "text", gather: int = 0) -> DataFrame:
     """Appends computed columns to each row in Arrow batches.
 
-    ``make()`` runs once in each task and returns a function from a batch's values of ``uses`` (a
-    list) to one list for each of ``fields``.
+    ``make()`` runs once in each task and returns a function from the values of ``uses`` (a list) to one
+    list for each of ``fields``. With ``gather`` it gets batches together up to about so many bytes.
     """
     new = {f.name.lower() for f in fields}
     kept = [f for f in docs.schema.fields if f.name.lower() not in new]
@@ -190,16 +191,49 @@ def map_text(docs: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
     names, targets = [f.name for f in kept], [(f.name, to_arrow(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = make()
+        compute, held, size = make(), [], 0
+
+        def computed() -> Iterator[pa.RecordBatch]:
+            found, at = compute([t for b in held for t in b.column(b.schema.get_field_index(uses)).to_pylist()]), 0
+            for batch in held:
+                arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                arrays += [pa.array(v[at : at + batch.num_rows], t) for v, (_, t) in zip(found, targets, strict=True)]
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in targets])
+
         for batch in batches:
-            found = compute(batch.column(batch.schema.get_field_index(uses)).to_pylist())
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            arrays += [pa.array(v, t) for v, (_, t) in zip(found, targets, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in targets])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= gather:
+                yield from computed()
+                held, size = [], 0
+        if held:
+            yield from computed()
 
     return mapped(frame, run, schema)
 
 
+def locator() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
+def located(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The rows with neutral column names and their content locator, and the new names of ``names``.
+
+    Rows that aren't read from Parquet files are first written to some.
+    """
+    plain = [f"_c{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, plain, strict=True))
+    try:
+        found = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], *locator())
+    except AnalysisException:
+        # a column of the input may hide the files' own metadata
+        kept = [own[c] if c.lower() == "_metadata" else c for c in docs.columns]
+        found = staged(docs.toDF(*kept), "located").toDF(*kept)
+        found = found.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(kept, plain, strict=True)], *locator())
+    return found, [own[n] for n in names]
+
+
 def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     """``docs`` with neutral column names, which clash with no result, and the new names of ``names``."""
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}

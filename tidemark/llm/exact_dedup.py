@@ -25,7 +25,6 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +47,6 @@ FILES_PER_BATCH = 1000
 ARRIVAL = "_digest string, _points long, _id long, _file string, _row long"
 
 
-def locator() -> list[Column]:
-    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-
-
 def best() -> Column:
     """Of arrivals with one digest: most code points, then the smallest id, then the last locator."""
     return F.max(F.struct("_points", (-F.col("_id")).alias("_minus"), "_file", "_row")).alias("_best")
@@ -65,24 +60,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
-    """The rows with neutral column names and their content locator, and the new names of ``names``.
-
-    Rows that aren't read from Parquet files are first written to some.
-    """
-    plain = [f"_c{k}" for k in range(len(docs.columns))]
-    own = dict(zip(docs.columns, plain, strict=True))
-    renamed = [F.col(f"`{c}`").alias(n) for c, n in own.items()]
-    try:
-        found = docs.select(*renamed, *locator())
-    except AnalysisException:
-        # a column of the input may hide the files' own metadata
-        kept = [own[c] if c.lower() == "_metadata" else c for c in docs.columns]
-        found = common.staged(docs.toDF(*kept), "dedup-texts").toDF(*kept)
-        found = found.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(kept, plain, strict=True)], *locator())
-    return found, [own[n] for n in names]
-
-
 @contextmanager
 def rocksdb(spark: SparkSession):
     before = {k: spark.conf.get(k, None) for k in STORES}
@@ -130,14 +107,14 @@ def retained_elsewhere(groups: DataFrame, rows: DataFrame, text: str) -> DataFra
     if not there:
         return None
     wanted = kept.where(F.col("_file").isin(there)).select("_digest", (-F.col("_minus")).alias("_id"), "_file", "_row")
-    found = spark.read.parquet(*there).select(F.col(text).alias("_in"), *locator()).join(wanted, ["_file", "_row"])
+    found = spark.read.parquet(*there).select(F.col(text).alias("_in"), *common.locator()).join(wanted, ["_file", "_row"])
     return texts_of(found.select("_in", "_id", "_file", "_row", "_digest"), "_in").join(wanted.select("_file", "_row", "_digest"), ["_file", "_row"])
 
 
 def decided(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, files_per_batch: int = FILES_PER_BATCH, state: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The located documents, and for each of their rows what was decided, by locator."""
     spark = docs.sparkSession
-    rows, (own_id, own_text) = located(docs, doc_id, text)
+    rows, (own_id, own_text) = common.located(docs, doc_id, text)
     keyed = texts_of(rows.withColumn("_id", F.col(own_id).cast("long")), own_text).withColumn("_digest", digest(F.col("_text")))
     root = state or common.scratch(spark, "dedup-state")
     arrivals = f"{root}/arrivals/{uuid.uuid4().hex}"
