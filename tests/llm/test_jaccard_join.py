@@ -43,8 +43,9 @@ def test_components_equal_brute_force(spark, seed):
     assert found(spark.createDataFrame(rows, cases.DOCS)) == brute(rows)
 
 
-def test_small_buckets_blocks_and_many_frequent_tokens(spark, monkeypatch):
-    for name, value in (("BUCKET_TOKENS", 50), ("BLOCK", 2), ("SLICE", 3), ("FIRST_TRY", 1), ("HOT", 2), ("HELD_TOKENS", 40), ("AGREE", 8)):
+@pytest.mark.parametrize("cell", [2, 5, 2048])
+def test_small_buckets_blocks_and_many_frequent_tokens(spark, monkeypatch, cell):
+    for name, value in (("BUCKET_TOKENS", 50), ("BLOCK", 2), ("SLICE", 3), ("FIRST_TRY", 1), ("HOT", 2), ("HELD_TOKENS", 40), ("AGREE", 8), ("CELL", cell)):
         monkeypatch.setattr(jaccard_join, name, value)
     rows = cases.family(11, bases=14, most=14)
     assert found(spark.createDataFrame(rows, cases.DOCS)) == brute(rows)
@@ -91,6 +92,22 @@ def test_one_of_each_group_stays(spark):
     rows = cases.family(5)
     left = jaccard_join.one_of_each(spark.createDataFrame(rows, cases.DOCS))
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in brute(rows)})
+    clashing = spark.createDataFrame([(1, "a b c", "x", 5), (2, "a b c", "y", 6), (None, "a b c", "z", 1)], "doc_id long, text string, _gone string, gone long")
+    left = jaccard_join.one_of_each(clashing)
+    assert left.columns == clashing.columns and cases.rows(left, "_gone") == [("x",), ("z",)]
+
+
+def test_cells_pair_every_two_groups_of_a_token_once():
+    rng = np.random.default_rng(3)
+    late = np.zeros(60, jaccard_join.LATE)
+    late["token"], late["group"] = 77, rng.permutation(1000)[:60]
+    entries, cells = jaccard_join.in_cells(late, np.full(60, 4))
+    part, seen = jaccard_join.slice_of(entries, 4), []
+    for cell in set(cells.tolist()):
+        own = np.flatnonzero(cells == cell)
+        seen += [tuple(sorted((entries["group"][i], entries["group"][j]))) for i in own for j in own if i < j and (part[i] != part[j]) == (cell & 1 == 1)]
+    groups = sorted(late["group"].tolist())
+    assert sorted(seen) == [(a, b) for k, a in enumerate(groups) for b in groups[k + 1 :]]
 
 
 def test_components_of_a_chain(spark):

@@ -65,14 +65,16 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
 
 
 @contextmanager
 def clearing(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes at its end the scratch folders that were made within it and are still on the list it gives.
 
-    What leaves the block must not read them: it is staged outside, or its path is taken off the list.
+    What leaves the block must not read them but for those that are taken off the list (``kept``).
     """
     context = spark.sparkContext
     if not hasattr(context, "_tidemark_stages"):
@@ -92,9 +94,10 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def paths_of(df: DataFrame) -> set[str]:
-    """The folders of the staged table that ``df`` was read from."""
-    return {os.path.dirname(f.removeprefix("file://").removeprefix("file:")) for f in df.inputFiles()}
+def kept(made: list[str], table: DataFrame) -> DataFrame:
+    """``table``, a staged one, whose folder is taken off the list of those to be deleted."""
+    made.remove(table.staged_at)
+    return table
 
 
 class Memory(dict):

@@ -31,7 +31,9 @@ def connected(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour, and the node itself, goes to the smallest one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last = stars
         stars = common.staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        common.delete(links.sparkSession, last.staged_at)
         now = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before:
             break

@@ -53,9 +53,13 @@ BLOCK, SLICE, FIRST_TRY = 64, 256, 8
 #: Groups that hold a token, from which it counts as frequent, and the most tokens that do.
 HOT, FREQUENT = 8, 1 << 20
 #: Tokens of a bucket of the matrix, and tokens that a task holds before it sends them.
-BUCKET_TOKENS, HELD_TOKENS = 1_000_000, 400_000
+BUCKET_TOKENS, HELD_TOKENS = 500_000, 200_000
 #: Pairs that a task adds up before it sends them.
-HELD_PAIRS = 200_000
+HELD_PAIRS = 100_000
+#: Groups of a token that are paired in one place; those of a token with more are dealt over a triangle of cells.
+CELL = 2048
+#: Where the numbers of cells begin, after those of buckets.
+CELLS = 1 << 60
 
 MULTIPLIERS = (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 #: What a token brings to the matrix: a group, its least and most sizes, how many frequent tokens it
@@ -65,6 +69,8 @@ MANY = 1 << 30
 #: Frequent tokens come with the parities of their set's tokens in so many places as well.
 PLACES = 1024
 LATE = np.dtype([*ENTRY.descr, ("bits", "<u8", (PLACES // 64,))])
+#: How many more groups of a task have a token.
+MORE = np.dtype([("token", "<u8"), ("n", "<u4")])
 REMIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -156,18 +162,18 @@ def opened(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return common.staged(ordered.mapInArrow(run, "a long, b long"), "found")
+    return common.staged(common.mapped(ordered, run, "a long, b long"), "found")
 
 
 def blobs(docs: DataFrame, roles: DataFrame, bits: int, first, entries: bool) -> DataFrame:
     """Tokens of the documents in packed blobs, dealt by a hash: (bucket, entries, late).
 
-    ``first()`` gives a function from a set to the tokens it sends and how many of them, the last, are
-    frequent. With ``entries`` every member of a group sends its tokens, each with the group's facts
-    (see ``ENTRY``); without, one member of each group sends the upper 32 bits of its tokens within the
-    bucket.
+    ``first()`` gives a function from a set to the tokens it sends, how many of them, the last, are
+    frequent, and over how many slices each frequent one's groups are dealt. With ``entries`` every
+    member of a group sends its tokens, each with the group's facts (see ``ENTRY``); without, one member
+    of each group sends the upper 32 bits of its tokens within the bucket, each once for all that a task
+    holds, and how many more there were of those that several groups have.
     """
-    common.ship(docs.sparkSession)
 
     def packed(held: list, facts: list, parities: list):
         tokens, late = np.concatenate(held) * REMIX, np.empty(0, LATE)
@@ -183,11 +189,26 @@ def blobs(docs: DataFrame, roles: DataFrame, bits: int, first, entries: bool) ->
             for name in ENTRY.names:
                 late[name] = rows[name][at]
             late["bits"] = np.array(parities, "<u8")[np.repeat(np.arange(len(held)), sizes)[at]]
-            rows, late = distinct_entries(rows[rows["late"] == 0]), distinct_entries(late)
+            slices = np.concatenate([f[-2] for f in facts])[at]
+            rows, late = distinct_entries(rows[rows["late"] == 0]), in_cells(late, slices)
         else:
-            rows = np.sort(tokens)
+            rows, n = np.unique(tokens, return_counts=True)
+            late = np.zeros(int((n > 1).sum()), MORE)
+            late["token"], late["n"] = rows[n > 1], n[n > 1] - 1
         sent = rows if entries else (rows >> np.uint64(32 - bits)).astype(np.uint32)
         parts = {}
+        if entries:
+            # very frequent tokens: a bucket for each cell
+            late, cells = late
+            order = np.argsort(cells, kind="stable")
+            late, cells = late[order], cells[order]
+            edges = [*np.flatnonzero(np.append(True, cells[1:] != cells[:-1])).tolist(), len(cells)] if len(cells) else [0]
+            dealt, late = late, np.empty(0, LATE)
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if cells[start] < 0:
+                    late = distinct_entries(dealt[start:end])
+                else:
+                    parts[int(cells[start])] = [b"", distinct_entries(dealt[start:end]).tobytes()]
         for k, (own, what) in enumerate(((rows["token"] if entries else rows, sent), (late["token"], late))):
             bucket = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
             cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(own)] if len(own) else [0]
@@ -207,10 +228,10 @@ def blobs(docs: DataFrame, roles: DataFrame, bits: int, first, entries: bool) ->
                 tokens = shingle_set(text)
                 if not len(tokens):
                     continue
-                chosen, late = pick(tokens)
+                chosen, late, slices = pick(tokens)
                 held.append(chosen)
                 # a group's facts hold for all its members, so that they don't depend on who sends a token
-                facts.append((group, len(tokens), len(tokens), late, late) if single else (group, least, most, MANY, late))
+                facts.append((group, len(tokens), len(tokens), late, slices, late) if single else (group, least, most, MANY, slices, late))
                 parities.append(parity(tokens) if single and late else NO_PARITY)
                 n += len(chosen)
                 if n >= HELD_TOKENS:
@@ -220,7 +241,31 @@ def blobs(docs: DataFrame, roles: DataFrame, bits: int, first, entries: bool) ->
             yield packed(held, facts, parities)
 
     placed = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(roles, "node", "left").select("node", "text", "comp", "skip", "least", "most")
-    return placed.mapInArrow(run, "bucket long, entries binary, late binary")
+    return common.mapped(placed, run, "bucket long, entries binary, late binary")
+
+
+def in_cells(late: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries with the bucket of each (-1: that of the token's hash).
+
+    The groups of a token with s > 1 slices are dealt by hash, and slice x goes to the cells (x, y) for
+    all y: two groups of one slice are paired in (x, x), others in the cell of both. A cell has about
+    2 ``CELL`` groups at most, however many have the token; its number's last bit tells the two kinds apart.
+    """
+    kept, cells = [late[slices <= 1]], [np.full(int((slices <= 1).sum()), -1, np.int64)]
+    for s in np.unique(slices[slices > 1]).tolist():
+        own = late[slices == s]
+        x = slice_of(own, s)
+        for y in range(s):
+            low, high = np.minimum(x, y).astype(np.uint64), np.maximum(x, y).astype(np.uint64)
+            mixed = (own["token"] ^ (low << np.uint64(32)) ^ high) * REMIX >> np.uint64(8)
+            kept.append(own)
+            cells.append(CELLS + 2 * mixed.astype(np.int64) + (low != high))
+    return np.concatenate(kept), np.concatenate(cells)
+
+
+def slice_of(entries: np.ndarray, slices: np.ndarray | int) -> np.ndarray:
+    mixed = entries["group"].astype(np.uint64) * REMIX >> np.uint64(33)
+    return (mixed % np.asarray(slices, np.uint64)).astype(np.int64)
 
 
 NO_PARITY = np.zeros(PLACES // 64, "<u8")
@@ -250,19 +295,24 @@ def by_bucket(batches):
 
 
 def frequent(docs: DataFrame, roles: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (bucket and 32 bits) that many groups have, ascending, and how many do."""
+    """Tokens (bucket and 32 bits) that many groups have, ascending, and how many do.
+
+    Tasks add up before they send, so a token that very many groups have brings an entry for each task.
+    """
 
     def first():
-        return lambda tokens: (tokens, 0)
+        return lambda tokens: (tokens, 0, None)
 
     def count(batches):
-        for bucket, tokens, _ in by_bucket(batches):
+        for bucket, tokens, more in by_bucket(batches):
             kinds, n = np.unique(np.frombuffer(tokens, np.uint32), return_counts=True)
+            more = np.frombuffer(more, MORE)
+            np.add.at(n, np.searchsorted(kinds, (more["token"] >> np.uint64(32 - bits)).astype(np.uint32)), more["n"])
             many = n >= HOT
             yield pa.RecordBatch.from_arrays([pa.array(kinds[many].astype(np.int64) | (bucket << 32), pa.int64()), pa.array(n[many], pa.int64())], names=["token", "n"])
 
     dealt = blobs(docs, roles, bits, first, False).repartition("bucket").sortWithinPartitions("bucket")
-    top = dealt.mapInArrow(count, "token long, n long").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    top = common.mapped(dealt, count, "token long, n long").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     tokens, n = (np.asarray(top[c].to_numpy(), np.int64) for c in ("token", "n"))
     order = np.argsort(tokens)
     return tokens[order], n[order]
@@ -321,18 +371,19 @@ def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, co
 
         def pick(tokens: np.ndarray) -> tuple[np.ndarray, int]:
             size = len(tokens) - least_overlap(len(tokens)) + 1
+            none = np.zeros(size, np.int64)
             if not len(keys):
-                return tokens[:size], 0
+                return tokens[:size], 0, none
             own = ((tokens * REMIX) >> np.uint64(32 - bits)).astype(np.int64)
             maybe = np.flatnonzero(seen[own & ((1 << 22) - 1)])
             at = np.minimum(np.searchsorted(keys, own[maybe]), len(keys) - 1)
             hit = keys[at] == own[maybe]
             if not hit.any():
-                return tokens[:size], 0
+                return tokens[:size], 0, none
             late = np.zeros(len(tokens), np.int64)
             late[maybe[hit]] = n[at[hit]]
             order = np.argsort(late, kind="stable")[:size]
-            return tokens[order], int((late[order] > 0).sum())
+            return tokens[order], int((late[order] > 0).sum()), -(-late[order] // CELL)
 
         return pick
 
@@ -345,11 +396,14 @@ def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, co
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[at], b[at], n, need[at])], names=["a", "b", "n", "need"])
 
     def pairs(batches):
-        held, n = [], 0
-        for _, *parts in by_bucket(batches):
+        held, n, (keys, numbers) = [], 0, sent.value
+        for bucket, *parts in by_bucket(batches):
             for blob, kind in zip(parts, (ENTRY, LATE), strict=True):
                 rows = distinct_entries(np.frombuffer(blob, kind))
                 rows = rows[can_pair(rows)]
+                if bucket >= CELLS and len(rows):
+                    at = np.searchsorted(keys, (rows["token"] >> np.uint64(32 - bits)).astype(np.int64))
+                    part = slice_of(rows, -(-numbers[at] // CELL))
                 starts = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])) if len(rows) else np.empty(0, np.int64)
                 sizes = np.diff(np.append(starts, len(rows)))
                 for size in np.unique(sizes[sizes > 1]).tolist():
@@ -360,6 +414,8 @@ def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, co
                             place = (own[k : k + step, None] + np.arange(size - at)[None]).ravel()
                             a, b = rows[place], rows[place + at]
                             some, need = offered(a, b)
+                            if bucket >= CELLS:
+                                some &= (part[place] != part[place + at]) == (bucket & 1 == 1)
                             held.append((a["group"][some], b["group"][some], need[some]))
                             n += int(some.sum())
                             if n >= HELD_PAIRS:
@@ -369,7 +425,7 @@ def candidates(docs: DataFrame, roles: DataFrame, bits: int, hot: np.ndarray, co
             yield counted(held)
 
     dealt = blobs(docs, roles, bits, first, True).repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(pairs, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    found = common.mapped(dealt, pairs, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     return found.where("n >= need").select("a", "b")
 
 
@@ -396,7 +452,8 @@ def compared(docs: DataFrame, pairs: DataFrame, members: DataFrame, quick: bool)
     queries = pairs.join(members.select(F.col("comp").alias("own"), "node"), "own")
     queries = queries.where(spread) if quick else queries
     queries = common.staged(queries.select("g", "gsize", "own", "node"), "asked")
-    slices = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
+    slices = common.staged(queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")), "slices")
+    slices = common.lookup_side(slices, slices.count())
     blocks = F.ceil(F.col("gsize") / BLOCK)
     placed = queries.join(slices, "g").select("g", "own", "node", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "slices").alias("slice"))
     places = placed.select("g", "block", "slice").distinct()
@@ -434,11 +491,20 @@ def component_ids(docs: DataFrame) -> DataFrame:
     classes = common.staged(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("mins").alias("mins")), "classes")
     copied = classes.where("copies > 1").select("digest", F.col("node").alias("first"))
     first_of = common.lookup_side(copied, copied.count())
+    with common.clearing(docs.sparkSession) as own:
+        final = common.kept(own, joined_classes(docs, real, classes, first_of))
+    rows = found.join(first_of, "digest", "left").withColumn("node", F.coalesce("first", "doc_id"))
+    rows = rows.join(common.lookup_side(final, final.count()), "node", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("final", "node").alias("component_id"))
 
+
+def joined_classes(docs: DataFrame, real: DataFrame, classes: DataFrame, first_of: DataFrame) -> DataFrame:
+    """(node, final): classes whose component has a smaller id than theirs."""
     # groups: stars around the smallest class of a min-hash
     stars = star_pairs(classes).withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
     stars = common.staged(stars, "stars")
-    many = stars.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
+    many = common.staged(stars.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")), "slices")
+    many = common.lookup_side(many, many.count())
     placed = stars.join(many, "g").select("g", F.lit(0).alias("block"), (F.col("slice") % F.col("slices")).alias("slice"), "node", F.col("node").alias("own"))
     links = opened(docs, placed.select("g", "block", "slice", F.col("g").alias("node")).distinct(), placed)
     label = common.staged(connected(links), "groups")
@@ -455,17 +521,16 @@ def component_ids(docs: DataFrame) -> DataFrame:
 
     joined = connected(more).select(F.col("node").alias("comp"), F.col("label").alias("final"))
     final = members.join(joined, "comp", "left").select("node", F.coalesce("final", "comp").alias("final")).where("node <> final")
-    final = common.staged(final, "final")
-    rows = found.join(first_of, "digest", "left").withColumn("node", F.coalesce("first", "doc_id"))
-    rows = rows.join(common.lookup_side(final, final.count()), "node", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("final", "node").alias("component_id"))
+    return common.staged(final, "final")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows whose id is the smallest of their component, with the columns of ``docs``."""
-    gone = component_ids(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = common.staged(gone, "gone")
-    return docs.join(common.lookup_side(gone, gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = component_ids(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = common.staged(gone.withColumnRenamed("doc_id", "gone"), "gone")
+    plain, (doc_id,) = common.numbered(docs, "doc_id")
+    left = plain.join(common.lookup_side(gone, gone.count()), plain[doc_id].cast("long") == F.col("gone"), "left_anti")
+    return left.toDF(*docs.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
