@@ -51,6 +51,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # what a stage wrote on its way, and its input if that is ours, go once its result is written
+        with common.clearing(spark) as made:
+            docs = common.kept(made, common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            common.delete(spark, before)
+        before = docs.staged_at
     return docs
