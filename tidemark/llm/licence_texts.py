@@ -48,3 +48,20 @@ The above copyright notice and this permission notice shall be included in all c
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
 ]
+
+#: Canonical digests of the full published texts of longer licences.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "e99a5f52544571f7ff475cb2bd25c2ab15fa86969d47e994a2fa2bfbc377a03b"),
+    ("Artistic-1.0-Perl", "7b8fc42b4e14e24683a89fd1a844944a58fdc09b330d6b3817f83b298f94afe1"),
+    ("CC0-1.0", "8a58796fb749d87126983cebc26e6619b99601332e2fee24acbad509518cad3f"),
+    ("GFDL-1.2", "7457c85c8a91ebda99a290734c7a2634aee2e45acae62375e44c50339bdb016c"),
+    ("GFDL-1.3", "8a432774852d4eb6af87f60e8d2b93744cedaf734a65a7244c27c598efa1856b"),
+    ("GPL-1.0", "37821fa2108a81e24bd78f49fa06d218dff42ae8f6b027b74560159b0bca978b"),
+    ("GPL-2.0", "3d2bf885461fba6fb480176365175348539757b12bd149ba06e25e87dcfc250e"),
+    ("GPL-3.0", "46bab6d7008bd0d2bb6c2ca2254205206c09640cc53bd24208270acd607b64af"),
+    ("LGPL-2.0", "c3c302459eccafae13847fa777b9e28700b244106a6cc26eb627f52163fd1cf4"),
+    ("LGPL-2.1", "8cc9f02ad2662199367a4cc364df5f3bd0723333ff597a36eae942cc0cd07f33"),
+    ("LGPL-3.0", "d33eeaa77eec4b5f2546d3bfe95c21d2d548188ebdcd41595fd1d29894a2bd62"),
+    ("MPL-1.1", "4b0c7f329abfc8da35385a7fea0bfd5c49768cedc4e7bf27d934788cc335263b"),
+    ("MPL-2.0", "7b5982c148450518302bb3bb12b9b154f0f34d5628b3f775133a4259000cb8a6"),
+]
