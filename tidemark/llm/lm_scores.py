@@ -1,49 +1,49 @@
 """LM scoring (operator 8): stupid backoff from n-gram count tables partitioned by hash.
 
-Relations: documents are dealt into shards by a hash of id and text. Each shard explodes its n-grams of
-every order, merges equal ones and asks for them: (bucket, shard, n-gram hashes, counts), where the
-bucket is a hash range of the count table. Each bucket sums what all shards send, which is its part of
-the table over the whole corpus, and answers every request with the counts in the order asked. Each
-shard joins the answers to its documents' n-grams and sums per document.
-
-S(w | context) = c(context w) / c(context) if c(context w) >= ``LEAST``, else ``BACKOFF`` * S(w | shorter
-context), down to c(w) / N. A document's score is the sum of ln S over its words.
-
-An n-gram travels once for each shard that has it, as the difference from the hash before it and a
-count, both laid out by bytes so that they compress, so frequent n-grams and
-copies add little and no key is hot: a bucket holds a hash range, and an entry for each shard at most.
-Shards and buckets are sized from the corpus. Words are runs of anything but ASCII white space, with A-Z
-lower-cased; n-grams are told apart by 64-bit hashes and don't span documents.
+Relations, with the columns that are packed into one value marked by *:
+
+* shards (shard, *documents): the documents of a task, about ``SHARD_BYTES`` of text each, compressed;
+* exploded (bucket, shard, n, *gram, *count): the n-grams of every order of a shard's documents, equal
+  ones added up; the bucket is a range of the gram's hash;
+* counts (bucket, n, *gram, *count): the count table of the whole corpus, partitioned by bucket;
+* joined (shard, n, bucket, *count): exploded joined to counts on bucket, n and gram, in exploded's order;
+* scores (doc_id, ...): shards joined to ``joined`` on the shard and summed per document.
+
+A row for each n-gram occurrence would take several times the text on disk; packed by (bucket, shard, n)
+a gram takes what its hash differs from the one before it and a small count, laid out by bytes so that
+they compress. A gram travels once for each shard that has it, so no key is hot: a bucket holds a hash
+range of grams, and an entry for each shard at most. Shards and buckets are sized from the corpus.
+
+Counts leave out the occurrence that is scored, as the scored texts are the corpus itself:
+S(w | context) = (c(context w) - 1) / (c(context) - 1) if the n-gram occurs elsewhere, else ``BACKOFF`` *
+S(w | shorter context), down to c(w) / N. A document's score is the sum of ln S over its words. Words are
+runs of anything but ASCII white space, with A-Z lower-cased; n-grams don't span documents and are told
+apart by 64-bit hashes (two of a billion n-grams collide with a chance of 3 %, which changes the scores
+of the texts that hold them).
 
 Defined results: a null text or one without words has 0 words, score 0 and a null mean; repeated rows
-count as text of their own and are each scored; a null id is carried.
+count as text of their own and are each scored; a null id is carried; other columns of the input are
+left out, whatever their names. The rows of a partition must come in the same order when a lost task is
+run again, as rows read from files do: shards are told apart by it.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 from tidemark.llm.shingles import grams, word_hashes
 
-#: Words of the longest n-gram, the factor of a backoff, and the least count of an n-gram that is used.
-ORDER, BACKOFF, LEAST = 2, 0.4, 2
-SHARD_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
-
-
-def orders(text: str | None, order: int) -> list[np.ndarray]:
-    """Hashes of the document's n-grams, for each n up to ``order``."""
-    hashes = word_hashes(text)
-    return [grams(hashes, n) for n in range(1, order + 1)]
-
-
-def distinct(texts: list, order: int) -> tuple[list[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """n-grams of each document, and for each order the distinct ones with places and counts."""
-    found = [orders(t, order) for t in texts]
-    return found, [np.unique(np.concatenate([d[n] for d in found]), return_inverse=True, return_counts=True) for n in range(order)]
+#: Words of the longest n-gram and the factor of a backoff.
+ORDER, BACKOFF = 3, 0.4
+SHARD_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 
 
 def cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -62,111 +62,147 @@ def from_planes(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def document_scores(found: list[list[np.ndarray]], kinds: list, counts: list[np.ndarray], total: int, backoff: float, least: int) -> list[tuple[int, float]]:
-    """(words, score) of each document, from the corpus counts of the distinct n-grams."""
-    order, per_place, at = len(kinds), [], [0] * len(kinds)
-    for (_, inverse, _), n in zip(kinds, counts, strict=True):
-        per_place.append(n[inverse])
-    out = []
-    for doc in found:
-        sizes = [len(d) for d in doc]
-        own = [per_place[n][at[n] : at[n] + sizes[n]] for n in range(order)]
-        at = [a + s for a, s in zip(at, sizes, strict=True)]
-        # order by order, the log of S for each word, given up to n - 1 words before it
-        logs = np.log(own[0] / total) if sizes[0] else np.empty(0)
-        for n in range(1, order):
-            if not sizes[n]:
-                break
-            longer = logs.copy()
-            seen = own[n] >= least
-            longer[n:] = np.where(seen, np.log(own[n] / own[n - 1][: sizes[n]]), np.log(backoff) + logs[n:])
-            logs = longer
-        out.append((sizes[0], float(logs.sum())))
-    return out
-
-
-def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts in a row, and the number of words of each."""
+    words = [word_hashes(t) for t in texts]
+    return np.concatenate([np.empty(0, np.uint64), *words]), np.array([len(w) for w in words], np.int64)
+
+
+def occurrences(words: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of all texts in a row; a text of k words has k - n + 1, or none."""
+    ends = np.cumsum(sizes)
+    return np.concatenate([np.empty(0, np.uint64), *(grams(words[e - s : e], n) for s, e in zip(sizes, ends, strict=True) if s >= n)])
+
+
+def scores(words: np.ndarray, sizes: np.ndarray, count, total: int, order: int, backoff: float) -> np.ndarray:
+    """Sum of ln S of each text; ``count(n)`` gives the corpus counts of its n-grams, in their order."""
+    ends = np.cumsum(sizes)
+    # how many words of its text stand before each word
+    before = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+    shorter = count(1)
+    logs = np.log(shorter / total) if len(words) else np.empty(0)
+    for n in range(2, order + 1):
+        own, at = count(n), np.flatnonzero(before >= n - 1)
+        # a gram's context is the one that begins with it: all but the last of a text's shorter grams
+        context = shorter[np.flatnonzero(before[before >= n - 2] < np.repeat(sizes, np.maximum(0, sizes - n + 2)) - 1)]
+        seen = own > 1
+        longer = np.full(len(at), np.log(backoff)) + logs[at]
+        longer[seen] = np.log((own[seen] - 1) / (context[seen] - 1))
+        logs[at] = longer
+        shorter = own
+    return np.add.reduceat(np.append(logs, 0.0), ends - sizes) * (sizes > 0) if len(sizes) else np.empty(0)
+
+
+def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score; the corpus is ``docs`` itself."""
-    common.ship(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(1, -(-size // shard_bytes))
     # about a word in six bytes, and eight bytes for an n-gram of each order
     bits = max(0, (size * order * 9 // 6 // bucket_bytes).bit_length())
-    placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def ask(table: pa.Table) -> pa.Table:
-        shard, rows = table["shard"][0].as_py(), []
-        found, kinds = distinct(table["text"].to_pylist(), order)
-        words = sum(len(d[0]) for d in found)
-        for n, (hashes, _, counts) in enumerate(kinds):
-            edges = cuts(hashes, bits)
-            for bucket in np.flatnonzero(np.diff(edges)).tolist():
-                part = slice(edges[bucket], edges[bucket + 1])
-                rows.append((bucket, shard, n, planes(np.diff(hashes[part], prepend=np.uint64(0))), planes(counts[part].astype(np.uint32))))
-        # the number of all words is asked for as the n-gram of no words
-        rows.append((0, shard, -1, np.zeros(1, np.uint64).tobytes(), np.array([words], np.int64).tobytes()))
+
+    def sharded(batches):
+        """Rows of a task in shards that its number and their order tell apart."""
+        ids, texts, held, made = [], [], 0, 0
+
+        def shard():
+            packed = zstandard.ZstdCompressor(3).compress(pickle.dumps((ids, texts)))
+            number = TaskContext.get().partitionId() << 32 | made
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed], pa.binary())], names=["shard", "documents"])
+
+        for batch in batches:
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                held += len(text)
+                if held >= shard_bytes:
+                    yield shard()
+                    ids, texts, held, made = [], [], 0, made + 1
+        if ids:
+            yield shard()
+
+    def unpacked(packed: bytes) -> tuple[list, list]:
+        return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+
+    def explode(shards: pa.Table) -> pa.Table:
+        rows = []
+        for shard, packed in zip(*(shards[c].to_pylist() for c in ("shard", "documents")), strict=True):
+            words, sizes = hashed(unpacked(packed)[1])
+            for n in range(1, order + 1):
+                kinds, counts = np.unique(occurrences(words, sizes, n), return_counts=True)
+                counts, edges = counts.astype(np.uint32), cuts(kinds, bits)
+                for bucket in np.flatnonzero(np.diff(edges)).tolist():
+                    part = slice(edges[bucket], edges[bucket + 1])
+                    rows.append((bucket, shard, n, planes(np.diff(kinds[part], prepend=np.uint64(0))), planes(counts[part])))
+            # the number of all words is looked up as the gram of no words
+            rows.append((0, shard, 0, planes(np.zeros(1, np.uint64)), planes(np.array([len(words)], np.uint32))))
+        common.give_back()
         columns = zip(*rows, strict=True)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "shard", "n", "hashes", "counts"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "shard", "n", "grams", "counts"])
 
-    def answer(table: pa.Table) -> pa.Table:
-        ns, rows = np.array(table["n"].to_pylist()), []
-        shards, hashes, counts = (table[c].to_pylist() for c in ("shard", "hashes", "counts"))
+    def count_and_join(exploded: pa.Table) -> pa.Table:
+        """One bucket: its part of the count table, made of all shards' grams and joined to each of them."""
+        ns, rows = np.array(exploded["n"].to_pylist()), []
         for n in np.unique(ns).tolist():
-            own = np.flatnonzero(ns == n)
-            if n < 0:
-                total = sum(int(np.frombuffer(counts[k], np.int64)[0]) for k in own)
-                rows += [(shards[k], n, table["bucket"][0].as_py(), np.array([total], np.int64).tobytes()) for k in own]
-                continue
-            asked = [np.cumsum(from_planes(hashes[k], np.uint64), dtype=np.uint64) for k in own]
-            _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-            sums = np.bincount(inverse, np.concatenate([from_planes(counts[k], np.uint32) for k in own]))[inverse].astype(np.int64)
+            own = exploded.filter(pa.array(ns == n))
+            asked = [np.cumsum(from_planes(g, np.uint64), dtype=np.uint64) for g in own["grams"].to_pylist()]
             borders = np.cumsum([0, *map(len, asked)])
-            rows += [(shards[k], n, table["bucket"][0].as_py(), planes(sums[borders[j] : borders[j + 1]])) for j, k in enumerate(own)]
+            table, place = np.unique(np.concatenate(asked), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([from_planes(c, np.uint32) for c in own["counts"].to_pylist()]), len(table)).astype(np.uint64)
+            joined = counts[place]
+            rows += [(shard, n, bucket, planes(joined[a:b])) for shard, bucket, a, b in zip(own["shard"].to_pylist(), own["bucket"].to_pylist(), borders[:-1], borders[1:], strict=True)]
+        common.give_back()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["shard", "n", "bucket", "counts"])
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found, kinds = distinct(texts["text"].to_pylist(), order)
-        got = sorted(zip(*(answers[c].to_pylist() for c in ("n", "bucket", "counts")), strict=True), key=lambda r: r[:2])
-        total = next((int(np.frombuffer(c, np.int64)[0]) for n, _, c in got if n < 0), 0)
-        counts = [np.concatenate([np.empty(0, np.int64), *(from_planes(c, np.int64) for m, _, c in got if m == n)]) for n in range(order)]
-        scored = document_scores(found, kinds, counts, total, backoff, least)
-        words, logs = zip(*scored, strict=True) if scored else ((), ())
-        return pa.table([texts["doc_id"], pa.array(words, pa.int64()), pa.array(logs, pa.float64())], names=["doc_id", "n_words", "log_score"])
-
-    # both uses read one exchange of the texts
-    asked = placed.groupBy("shard").applyInArrow(ask, "bucket long, shard long, n int, hashes binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "shard long, n int, bucket long, counts binary")
-    scored = placed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    def add_up(shards: pa.Table, joined: pa.Table) -> pa.Table:
+        found = [[], [], []]
+        for packed in shards["documents"].to_pylist():
+            ids, texts = unpacked(packed)
+            words, sizes = hashed(texts)
+            parts: dict[int, list] = {}
+            for n, bucket, counts in zip(*(joined[c].to_pylist() for c in ("n", "bucket", "counts")), strict=True):
+                parts.setdefault(n, []).append((bucket, counts))
+
+            def count(n: int) -> np.ndarray:
+                own = [from_planes(c, np.uint64) for _, c in sorted(parts.get(n, ()))]  # noqa: B023
+                kinds, place = np.unique(occurrences(words, sizes, n), return_inverse=True)  # noqa: B023
+                return np.concatenate([np.empty(0, np.uint64), *own])[place].astype(np.float64)
+
+            total = int(from_planes(parts[0][0][1], np.uint64)[0])
+            found[0] += ids
+            found[1] += sizes.tolist()
+            found[2] += scores(words, sizes, count, total, order, backoff).tolist()
+        common.give_back()
+        return pa.table([pa.array(c, t) for c, t in zip(found, [pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["doc_id", "n_words", "log_score"])
+
+    # both uses read one exchange of the shards
+    shards = common.mapped(docs, sharded, "shard long, documents binary")
+    exploded = shards.groupBy("shard").applyInArrow(explode, "bucket long, shard long, n int, grams binary, counts binary")
+    joined = exploded.groupBy("bucket").applyInArrow(count_and_join, "shard long, n int, bucket long, counts binary")
+    scored = shards.groupBy("shard").cogroup(joined.groupBy("shard")).applyInArrow(add_up, "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
-def rounded(scored: DataFrame) -> DataFrame:
-    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
-
-
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(with_lm_scores(common.documents(spark, sf_dir)))
-
-
-def op8_lm_scores_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores with two backoff steps, from trigrams to bigrams to words."""
-    return rounded(with_lm_scores(common.documents(spark, sf_dir), order=3))
+    scored = with_lm_scores(common.documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-QUERIES = {"op8_lm_scores": op8_lm_scores, "op8_lm_scores_trigram": op8_lm_scores_trigram}
+QUERIES = {"op8_lm_scores": op8_lm_scores}
 ORACLE_SQL = {
     "op8_lm_scores": r"""
     WITH d AS (
         SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    u AS (SELECT r, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    u AS (SELECT r, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev, CASE WHEN i > 2 THEN w[i - 2] END AS prior FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
     one AS (SELECT word, count(*) AS c FROM u GROUP BY word),
     two AS (SELECT prev, word, count(*) AS c FROM u WHERE prev IS NOT NULL GROUP BY prev, word),
+    three AS (SELECT prior, prev, word, count(*) AS c FROM u WHERE prior IS NOT NULL GROUP BY prior, prev, word),
     s AS (
-        SELECT u.r, CASE WHEN two.c >= 2 THEN ln(two.c / p.c)
-                         WHEN two.c IS NOT NULL THEN ln(CAST(0.4 AS DOUBLE)) + ln(one.c / (SELECT count(*) FROM u))
-                         ELSE ln(one.c / (SELECT count(*) FROM u)) END AS x
-        FROM u JOIN one ON u.word = one.word LEFT JOIN two ON u.prev = two.prev AND u.word = two.word LEFT JOIN one p ON u.prev = p.word),
+        SELECT u.r, CASE WHEN three.c > 1 THEN ln((three.c - 1) / (context.c - 1))
+                         ELSE CASE WHEN three.c IS NOT NULL THEN ln(CAST(0.4 AS DOUBLE)) ELSE 0 END
+                            + CASE WHEN two.c > 1 THEN ln((two.c - 1) / (p.c - 1))
+                                   ELSE CASE WHEN two.c IS NOT NULL THEN ln(CAST(0.4 AS DOUBLE)) ELSE 0 END + ln(one.c / (SELECT count(*) FROM u)) END END AS x
+        FROM u JOIN one ON u.word = one.word LEFT JOIN two ON u.prev = two.prev AND u.word = two.word LEFT JOIN one p ON u.prev = p.word
+             LEFT JOIN three ON u.prior = three.prior AND u.prev = three.prev AND u.word = three.word LEFT JOIN two context ON u.prior = context.prev AND u.prev = context.word),
     t AS (SELECT r, sum(x) AS log_score FROM s GROUP BY r)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(log_score, 0), 4) AS log_score,
            round(CASE WHEN len(w) > 0 THEN log_score / len(w) END, 6) AS mean_log_score
