@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import pickle
 import sys
 import tempfile
 import uuid
@@ -216,6 +217,20 @@ def map_text(docs: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
     return mapped(frame, run, schema)
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """What ``fit`` makes of the rows of a sample, whose size a parameter bounds.
+
+    One task does it, with the threads that Spark gives to a task: the driver's linear algebra would
+    take all cores of its machine for matrices that are too small for that.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = mapped(sample.repartition(1), run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fit([])
+
+
 def locator() -> list[Column]:
     return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
 

@@ -3,7 +3,7 @@
 A text, with A-Z lower-cased, is cut into fixed-length windows of bytes. Bytes are embedded, filters of several widths slide
 over a window, max pooling keeps each filter's strongest response and a softmax gives the language. A
 document's distribution is the mean over all its windows, weighted by their bytes, so whole texts
-count. The network is trained by the driver on windows of a bounded sample of labelled rows
+count. The network is trained in one task on all windows of a bounded sample of labelled rows
 (``SAMPLE``, a parameter), which weights rare languages up, in the order of a hash of the id; scoring
 is one pass over all rows in batches of windows, without a shuffle.
 
@@ -27,7 +27,7 @@ from tidemark.llm import common
 
 UNKNOWN = "und"
 WINDOW, WIDTHS, FILTERS, EMBEDDED = 256, (2, 3, 4), 16, 8
-SAMPLE, PER_DOCUMENT = 3000, 4
+SAMPLE = 2000
 #: Windows that are convolved at a time: few enough for the caches.
 BATCH = 32
 
@@ -73,7 +73,7 @@ def forward(net: Network, windows: np.ndarray) -> np.ndarray:
     return softmax(np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, seed: int = 11) -> Network:
+def train(windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, languages: list[str], epochs: int = 3, seed: int = 11) -> Network:
     rng = np.random.default_rng(seed)
     mask, k = filter_mask(), len(languages)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
@@ -93,7 +93,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
             active = np.maximum(pooled, 0)
             error = softmax(active @ net.out + net.out_bias)
             error[np.arange(n), labels[order[at : at + 64]]] -= 1
-            error /= n
+            error *= (weights[order[at : at + 64]] / n)[:, None]
             back = (error @ net.out.T) * (pooled > 0)
             picked = flat[np.arange(n)[:, None], where]
             g_filters = np.einsum("nf,nfd->df", back, picked) * mask
@@ -118,19 +118,20 @@ def cut(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """A few windows of each text, spread over all of it, and a short one; with the text's number."""
-    windows, owner = [], []
+def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of each whole text and a short one; with the text's number and weights that add up alike for each text."""
+    windows, owner, weight = [], [], []
     for k, text in enumerate(texts):
         raw = text.encode().lower()
-        starts = {int(s) for s in np.linspace(0, max(0, len(raw) - WINDOW), PER_DOCUMENT)}
-        pieces = [raw[s : s + WINDOW] for s in sorted(starts)]
+        own = cut(raw)
         start = int(rng.integers(0, max(1, len(raw) - 8)))
-        pieces.append(raw[start : start + int(rng.integers(8, 97))])
-        for piece in pieces:
-            windows.append(np.frombuffer(piece.ljust(WINDOW, b"\0"), np.uint8))
-            owner.append(k)
-    return np.array(windows), np.array(owner)
+        short = raw[start : start + int(rng.integers(8, 97))]
+        windows += [own, np.frombuffer(short.ljust(WINDOW, b"\0"), np.uint8)[None]]
+        owner += [k] * (len(own) + 1)
+        # half for the short window: short texts are to be told as well
+        weight += [0.5 / len(own)] * len(own) + [0.5]
+    weights = np.array(weight, np.float32)
+    return np.concatenate(windows), np.array(owner), weights / weights.mean()
 
 
 def learn(docs: DataFrame, held_out: int | None = 2, folds: int = 4, sample: int = SAMPLE) -> Network | None:
@@ -142,12 +143,17 @@ def learn(docs: DataFrame, held_out: int | None = 2, folds: int = 4, sample: int
     place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") * F.col("count")
     chosen = known.select("doc_id", "lang").join(share, "lang").orderBy(place, "doc_id").limit(sample).select("doc_id")
     # the sample is bounded by a parameter, so this side is as well
-    rows = sorted(set(map(tuple, known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id").collect())), key=str)
+    return common.fitted(known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id"), fit)
+
+
+def fit(rows: list[tuple]) -> Network | None:
+    """The network of (doc_id, lang, text) rows."""
+    rows = sorted(set(rows), key=str)
     if not rows:
         return None
     languages = sorted({lang for _, lang, _ in rows})
-    windows, owner = training_windows([t for _, _, t in rows], np.random.default_rng(5))
-    return train(windows, np.array([languages.index(lang) for _, lang, _ in rows])[owner], languages)
+    windows, owner, weights = training_windows([t for _, _, t in rows], np.random.default_rng(5))
+    return train(windows, np.array([languages.index(lang) for _, lang, _ in rows])[owner], weights, languages)
 
 
 def predictor(net: Network | None):

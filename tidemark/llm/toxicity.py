@@ -174,7 +174,6 @@ def pairs_with_evidence(rows: list[np.ndarray], y: np.ndarray, tested: np.ndarra
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out: int | None = 1, folds: int = 3, sample: int = SAMPLE) -> Machine:
     """Fits on at most ``sample`` labelled documents outside the held-out fold."""
-    common.ship(docs.sparkSession)
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_y"))
     if held_out is not None:
         known = known.where(common.fold(known, "doc_id", folds) != held_out)
@@ -182,16 +181,14 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out: i
     # the sample is bounded by a parameter, so this side is as well
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def run(batches):
-        import pyarrow as pa
+    marked = common.map_text(joined, lambda: lambda texts: [[slots(t).tobytes() for t in texts]], [common.field("_slots", T.BinaryType())])
+    return common.fitted(marked.select(F.col("doc_id").cast("long"), F.col("_y").cast("int"), "_slots"), fit)
 
-        for b in batches:
-            packed = [slots(t).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "y", "slots"])
 
-    found = joined.select(F.col("doc_id").cast("long"), "text", F.col("_y").cast("int")).mapInArrow(run, "doc_id long, y int, slots binary").toArrow()
-    rows = sorted(zip(found["doc_id"].to_pylist(), found["slots"].to_pylist(), found["y"].to_pylist(), strict=True))
-    return train([np.frombuffer(s, np.int32) for _, s, _ in rows], np.array([y for _, _, y in rows]))
+def fit(rows: list[tuple]) -> Machine:
+    """The machine of (doc_id, label, packed slots) rows."""
+    found = sorted(rows)
+    return train([np.frombuffer(s, np.int32) for _, _, s in found], np.array([y for _, y, _ in found]))
 
 
 def with_scores(docs: DataFrame, model: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
