@@ -10,8 +10,8 @@ from tidemark.operators.sessions import CUTOFF, align_forward, session_as_of
 from tidemark.schemas import finite
 
 WINDOW = 5
-#: A memory of so many sessions is exact to below 1e-20 for the spans in use.
-EWM_ROWS = 128
+#: Rows of a ticker that an exponentially weighted mean folds at a time.
+EWM_BLOCK = 256
 #: Probabilities may miss a sum of one by this much (absolute tolerance plus the default relative one).
 SUM_TOLERANCE = 1.01e-3
 
@@ -89,21 +89,36 @@ def fill_no_news(panel: DataFrame) -> DataFrame:
     return panel.withColumns({c: F.coalesce(c, v) for c, v in fills.items()})
 
 
-def ewm(column: str, span: int, frame) -> Column:
-    """y0 = x0, y_t = (1 - a) y_{t-1} + a x_t with a = 2 / (span + 1)."""
-    alpha = 2.0 / (span + 1)
-    values = F.collect_list(column).over(frame.rowsBetween(1 - EWM_ROWS, 0))
-    return F.aggregate(values, F.lit(None).cast("double"), lambda y, x: F.coalesce(y * (1 - alpha) + x * alpha, x))
+def ewm(rows: DataFrame, column: str, span: int, name: str, order: str = "observation_date", key: str = "ticker") -> DataFrame:
+    """Adds y0 = x0, y_t = (1 - a) y_{t-1} + a x_t with a = 2 / (span + 1), over all rows of a key.
+
+    Rows are folded in blocks of ``EWM_BLOCK``; blocks are then chained by what each ends with, a row for
+    each block, so a long history neither is cut nor lies in one array. A null keeps the value before it.
+    """
+    keep = 1 - 2.0 / (span + 1)
+    own = Window.partitionBy(key).orderBy(order)
+    x = F.col(column).cast("double")
+    # values before this row, so that the first value of all is known by its zero
+    placed = rows.withColumns({"_b": F.floor((F.row_number().over(own) - 1) / EWM_BLOCK), "_k": F.count(x).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    share = F.when(F.col("_k") == 1, x).otherwise(x * (1 - keep))
+    inside = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    values = F.collect_list(F.when(x.isNotNull(), share)).over(inside)
+    local = placed.withColumns({"_y": F.aggregate(values, F.lit(0.0), lambda y, v: y * keep + v), "_n": F.size(values)})
+    ends = local.groupBy(key, "_b").agg(F.max_by("_y", order).alias("y"), F.max("_n").alias("n"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    chained = F.aggregate(F.collect_list(F.struct("y", "n")).over(before), F.lit(0.0), lambda s, e: s * F.pow(F.lit(keep), e["n"]) + e["y"])
+    carried = ends.select(key, "_b", chained.alias("_carry"))
+    joined = local.join(carried, [key, "_b"])
+    return joined.select(*rows.columns, F.when(F.col("_k") > 0, F.col("_y") + F.pow(F.lit(keep), "_n") * F.col("_carry")).alias(name))
 
 
 def rolling_sentiment(panel: DataFrame, window: int = WINDOW) -> DataFrame:
     """Causal rolling and exponentially weighted features; fewer rows than the window are enough."""
     own = by_session()
     over = own.rowsBetween(1 - window, 0)
-    return panel.withColumns(
+    return ewm(panel, "sent_pos_minus_neg", window, "sent_pos_minus_neg_ewm").withColumns(
         {
             "sent_pos_minus_neg_roll": F.avg("sent_pos_minus_neg").over(over),
-            "sent_pos_minus_neg_ewm": ewm("sent_pos_minus_neg", window, own),
             "news_count_roll_sum": F.sum("news_count").over(over).cast("double"),
             "has_news_roll_mean": F.avg("has_news").over(over),
         }

@@ -14,19 +14,22 @@ from tidemark.functions.draws import draw, sql_hash, sql_uniform, uniform
 from tidemark.functions.metrics import per_class
 from tidemark.operators import backtest, evaluation, ic, ladder, quality, serving, splits
 from tidemark.plans.catalog import Catalog
-from tidemark.plans.panel import BAR_DATES, FEATURES, TO_LABELS, full_panel, labelled
+from tidemark.plans.panel import FEATURES, TO_LABELS, WORLD, full_panel, labelled
 from tidemark.schemas import CLASSES
-from tidemark.sources.derived import BARS, bars
+from tidemark.sources.derived import BARS, bars, inputs
+from tidemark.sources.staging import once
 
 CATALOG = Catalog()
 query = CATALOG.query
 
 ARMS = {"price": 35, "price_sentiment": 45, "neutral": 38}
 SEEDS = (42, 43)
-DRAWS = 100
+#: The study's layout: test windows and their dates, validation dates, bootstrap draws and shuffles.
+WINDOWS, TEST, VAL = 5, 60, 60
+DRAWS, SHUFFLES = 2000, 200
 KEYS = ("arm", "seed", "ticker", "CAST(target_date AS VARCHAR)")
 PREDICTIONS = f"""tests AS (
-    SELECT CAST(w AS INTEGER) AS window, date FROM dates, (SELECT unnest(range(3)) AS w) WHERE rank - 1 >= n - 80 + w * 20 + 20 AND rank - 1 < n - 80 + w * 20 + 40),
+    SELECT CAST(w AS INTEGER) AS window, date FROM dates, (SELECT unnest(range({WINDOWS})) AS w) WHERE rank > n - {TEST} * ({WINDOWS} - w) AND rank <= n - {TEST} * ({WINDOWS} - 1 - w)),
 predictions0 AS (
     SELECT t.window, a.arm, s.seed, ticker, observation_date, target_date, target_label AS y_true, has_news, a.acc, q_low, q_high
     FROM labelled JOIN tests t ON target_date = t.date, (VALUES {', '.join(f"('{a}', {p})" for a, p in ARMS.items())}) AS a(arm, acc), (VALUES (42), (43)) AS s(seed)),
@@ -39,8 +42,13 @@ TO_PREDICTIONS = (*TO_LABELS, PREDICTIONS)
 
 
 def predictions(spark, d):
+    """As many rows as test sessions, arms and seeds: made once for the tables they come from."""
+    return once(spark, "predictions", inputs(d, *WORLD), lambda: made_predictions(spark, d))
+
+
+def made_predictions(spark, d):
     rows = labelled(spark, d)
-    windows = splits.walk_forward(rows, 3, 20, 20).where("split = 'test'")
+    windows = splits.walk_forward(rows, WINDOWS, TEST, VAL).where("split = 'test'")
     rows = splits.assign(rows, windows).where("target_label is not null").withColumnRenamed("target_label", "y_true")
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(p).alias("acc")) for a, p in ARMS.items()])
     rows = rows.select("*", F.inline(arms)).select("*", F.explode(F.array(*map(F.lit, SEEDS))).alias("seed"))
@@ -87,14 +95,14 @@ def derived_predictions(spark, d):
 
 
 @query(
-    """SELECT t.window, arg_min(target_label, {'a': -k, 'b': list_position(['DOWN', 'FLAT', 'UP'], target_label)}) AS y_pred FROM
-       (SELECT w AS window, target_label, count(*) AS k FROM labelled, (SELECT CAST(unnest(range(3)) AS INTEGER) AS w), dates
-        WHERE target_date = date AND rank - 1 < n - 80 + w * 20 AND target_label IS NOT NULL GROUP BY ALL) t GROUP BY t.window""",
+    f"""SELECT t.window, arg_min(target_label, {{'a': -k, 'b': list_position(['DOWN', 'FLAT', 'UP'], target_label)}}) AS y_pred FROM
+       (SELECT w AS window, target_label, count(*) AS k FROM labelled, (SELECT CAST(unnest(range({WINDOWS})) AS INTEGER) AS w), dates
+        WHERE target_date = date AND rank <= n - {TEST} * ({WINDOWS} - w) - {VAL} AND target_label IS NOT NULL GROUP BY ALL) t GROUP BY t.window""",
     TO_LABELS,
 )
 def majority_baseline(spark, d):
     rows = labelled(spark, d)
-    return evaluation.majority_class(splits.assign(rows, splits.walk_forward(rows, 3, 20, 20)).where("split = 'train'"), "target_label", "window")
+    return evaluation.majority_class(splits.assign(rows, splits.walk_forward(rows, WINDOWS, TEST, VAL)).where("split = 'train'"), "target_label", "window")
 
 
 @query(
@@ -378,7 +386,7 @@ def session_bootstrap(spark, d):
     return evaluation.series_bootstrap(book(spark, d, 0.0).where("arm = 'price'"), "gross_return", "target_date", DRAWS, 7)
 
 
-PERMUTED = f"""every AS (SELECT p.*, draw FROM (SELECT * FROM predictions WHERE arm = 'price_sentiment') p, (SELECT unnest(range(20)) AS draw)),
+PERMUTED = f"""every AS (SELECT p.*, draw FROM (SELECT * FROM predictions WHERE arm = 'price_sentiment') p, (SELECT unnest(range({SHUFFLES})) AS draw)),
 mixed AS (
     SELECT a.seed, a.target_date, a.draw, a.ticker, b.y_pred FROM (SELECT *, row_number() OVER (PARTITION BY seed, target_date, draw ORDER BY ticker) AS k FROM every) a
     JOIN (SELECT *, row_number() OVER (PARTITION BY seed, target_date, draw ORDER BY {sql_hash("'7'", "CAST(seed AS VARCHAR)", "CAST(target_date AS VARCHAR)", "CAST(draw AS VARCHAR)", "ticker")}, ticker) AS k FROM every) b USING (seed, target_date, draw, k)),
@@ -390,7 +398,7 @@ shuffled AS (
 @query("SELECT draw, avg(g) / stddev_samp(g) * sqrt(252) AS sharpe FROM (SELECT draw, target_date, avg(g) AS g FROM shuffled GROUP BY ALL) GROUP BY draw", (*TO_BOOK, PERMUTED), "sharpe", places=6)
 def permutation_null(spark, d):
     own = predictions(spark, d).where("arm = 'price_sentiment'")
-    return backtest.permutation_null(own, damped(spark, d), 20, 7)
+    return backtest.permutation_null(own, damped(spark, d), SHUFFLES, 7)
 
 
 # --- information coefficients -----------------------------------------------
@@ -438,12 +446,12 @@ def ic_cross_sectional(spark, d):
     (
         *TO_IC,
         f"""own AS (SELECT observation_date, row_number() OVER (ORDER BY observation_date) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT observation_date FROM icrows)),
-    drawn AS (SELECT draw, x, y FROM (SELECT draw, {sql_hash("'7'", "CAST(draw AS VARCHAR)", "CAST(slot AS VARCHAR)")} % n AS slot FROM own, (SELECT unnest(range(20)) AS draw)) JOIN own USING (slot) JOIN icrows USING (observation_date))""",
+    drawn AS (SELECT draw, x, y FROM (SELECT draw, {sql_hash("'7'", "CAST(draw AS VARCHAR)", "CAST(slot AS VARCHAR)")} % n AS slot FROM own, (SELECT unnest(range({DRAWS})) AS draw)) JOIN own USING (slot) JOIN icrows USING (observation_date))""",
     ),
     "low high p_le_zero",
 )
 def ic_bootstrap(spark, d):
-    return ic.bootstrap_ic(signal(spark, d), 20, 7)
+    return ic.bootstrap_ic(signal(spark, d), DRAWS, 7)
 
 
 # --- fitted arms (no SQL twin) ----------------------------------------------
@@ -453,7 +461,7 @@ def ic_bootstrap(spark, d):
 def logreg_metrics(spark, d):
     """Multinomial logistic regression by window, price features with and without sentiment."""
     price = ["ret_1d", "roll_vol_5", "ma_ratio_5"]
-    found = ladder.run_ladder(full_panel(spark, d).cache(), {"price": price, "price_sentiment": [*price, "sent_pos_minus_neg", "news_count"]}, ("logreg",), 2, 20, 20)
+    found = ladder.run_ladder(full_panel(spark, d), {"price": price, "price_sentiment": [*price, "sent_pos_minus_neg", "news_count"]}, ("logreg",), 2, 20, 20)
     return evaluation.scores(found, "window", "arm", "seed")
 
 

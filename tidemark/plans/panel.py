@@ -8,7 +8,8 @@ from tidemark.operators import evaluation, panel, sessions, splits
 from tidemark.operators.quality import coverage
 from tidemark.plans.catalog import Catalog
 from tidemark.schemas import PANEL, PRICE_FEATURES, SENTIMENT_FEATURES
-from tidemark.sources.derived import BARS, NEWS, bars, news
+from tidemark.sources.derived import BARS, NEWS, bars, inputs, news
+from tidemark.sources.staging import once
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -50,7 +51,7 @@ panel AS (
            list_reduce(list(CAST(sent_pos_minus_neg AS DOUBLE)) OVER e, lambda y, x: y * (1 - 2.0::DOUBLE / 6) + x * (2.0::DOUBLE / 6)) AS sent_pos_minus_neg_ewm,
            CAST(sum(news_count) OVER w AS DOUBLE) AS news_count_roll_sum, avg(has_news) OVER w AS has_news_roll_mean
     FROM filled WINDOW w AS (PARTITION BY ticker ORDER BY observation_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
-         e AS (PARTITION BY ticker ORDER BY observation_date ROWS BETWEEN 127 PRECEDING AND CURRENT ROW))"""
+         e AS (PARTITION BY ticker ORDER BY observation_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 TO_DAILY = (BARS, NEWS, ALIGNED, DAILY)
 TO_PANEL = (*TO_DAILY, FEATURES, FILLED)
 #: The last 60 target dates are the test period; thresholds are fitted on all dates before.
@@ -65,26 +66,50 @@ SENTIMENTS = " ".join(SENTIMENT_FEATURES[2:])
 SCALED = ["ret_1d", "roll_vol_5", "sent_pos_minus_neg"]
 
 
+WORLD = ("orders", "customer", "lineitem")
+
+
 def full_panel(spark, d):
-    return panel.assemble(bars(spark, d), news(spark, d))
+    """The panel: as many rows as there are bars, made once for the tables it comes from."""
+    return once(spark, "panel", inputs(d, *WORLD), lambda: panel.build_panel(bars(spark, d), daily(spark, d)))
 
 
 def aligned(spark, d):
     return sessions.align_forward(news(spark, d), bars(spark, d))
 
 
+def daily(spark, d):
+    return panel.daily_sentiment(aligned(spark, d))
+
+
 def train_part(whole):
     return splits.assign(whole, splits.final_split(whole, 60)).where("split = 'train'").drop("split")
 
 
+def fitted(spark, d):
+    """Thresholds of the training dates: returns and dates come from the bars alone."""
+    return panel.fit_thresholds(train_part(targets(spark, d, 1)))
+
+
 def labelled(spark, d):
-    whole = full_panel(spark, d)
-    return panel.label_panel(whole, panel.fit_thresholds(train_part(whole)))
+    return panel.label_panel(full_panel(spark, d), fitted(spark, d))
 
 
-@query("SELECT ticker, count_if(target_label = 'DOWN') AS n_down, count_if(target_label = 'FLAT') AS n_flat, count_if(target_label = 'UP') AS n_up FROM labelled GROUP BY ticker", TO_LABELS)
+@query(
+    """SELECT ticker, coalesce(target_label, 'NONE') AS target_label, count(*) AS n_rows, CAST(sum(news_count) AS BIGINT) AS n_news, avg(sent_pos_minus_neg) AS mean_polarity, avg(sent_pos_minus_neg_ewm) AS mean_ewm,
+              avg(target_return) AS mean_return FROM labelled GROUP BY ALL""",
+    TO_LABELS,
+    "mean_polarity mean_ewm mean_return",
+)
 def flagship(spark, d):
-    return evaluation.label_counts(labelled(spark, d), "target_label", "ticker")
+    """Labels, news and sentiment of the whole point-in-time panel, by ticker and outcome."""
+    return labelled(spark, d).groupBy("ticker", F.coalesce("target_label", F.lit("NONE")).alias("target_label")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("news_count").alias("n_news"),
+        F.avg("sent_pos_minus_neg").alias("mean_polarity"),
+        F.avg("sent_pos_minus_neg_ewm").alias("mean_ewm"),
+        F.avg("target_return").alias("mean_return"),
+    )
 
 
 @query("SELECT * FROM bars", (BARS,), "open high low close")
@@ -114,7 +139,7 @@ def alignment_report(spark, d):
 
 @query("SELECT * FROM daily", TO_DAILY, SENTIMENTS)
 def daily_sentiment(spark, d):
-    return panel.daily_sentiment(aligned(spark, d))
+    return daily(spark, d)
 
 
 @query(
@@ -179,7 +204,7 @@ def outcome_window(spark, d):
 
 @query("SELECT q_low, q_high FROM thresholds", TO_LABELS, "q_low q_high")
 def thresholds(spark, d):
-    return panel.fit_thresholds(train_part(full_panel(spark, d)))
+    return fitted(spark, d)
 
 
 @query("SELECT ticker, observation_date, target_label FROM labelled", TO_LABELS)
