@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 
 #: Rows of ids, or of similarly narrow rows, up to which a side may be broadcast (about 32 MB).
 BROADCAST_ROWS = 1_000_000
-#: Rows and bytes of an Arrow batch: texts may be long, and two batches may be held at a time.
-BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+#: Rows and bytes of an Arrow batch. Executors hold batches outside the heap, in memory that the system
+#: hardly gets back, and workers hold two at a time.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 #: Bytes that a task's memory of computed values may hold.

@@ -38,8 +38,8 @@ STORES = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # one bound for all stores of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
