@@ -31,7 +31,10 @@ def test_links_and_times(spark):
     assert [one(spark, u, lambda c: T.allowed(c, ("a.b",))) for u in ("https://a.b/x", "http://a.b/x", "https://a.b.c/x", None)] == [True, False, False, False]
     assert one(spark, "02/01/2024", T.published_at) is None
     assert one(spark, "02/01/2024 10:30", T.published_at) == dt.datetime(2024, 1, 2, 10, 30)
-    assert one(spark, "2024-01-02T10:30:00+07:00", T.published_at) == dt.datetime(2024, 1, 2, 3, 30)
+    assert one(spark, "2024-01-02T10:30:00+07:00", T.published_at) == dt.datetime(2024, 1, 2, 10, 30)
+    assert one(spark, "2024-01-02T10:30:00Z", T.published_at) == dt.datetime(2024, 1, 2, 17, 30)
+    assert one(spark, "02-01-2024 10:30:00+09:00", T.published_at) == dt.datetime(2024, 1, 2, 8, 30)
+    assert one(spark, "2024-01-02", T.stored_time) == dt.datetime(2024, 1, 2)
     assert one(spark, "no date at all", T.published_at) is None
 
 
@@ -99,7 +102,7 @@ def test_resolution_uses_the_issued_thresholds(spark):
     issued = [("A", day, "FLAT", -0.5, 0.5, dt.datetime(2024, 1, 3, 8, 59)), ("B", day, "UP", None, None, dt.datetime(2024, 1, 3, 9, 0)), ("C", day, "UP", None, None, None)]
     rows = spark.createDataFrame(issued, "ticker string, observation_date date, y_pred string, threshold_low double, threshold_high double, issued_at timestamp_ntz")
     panel = spark.createDataFrame([("A", day, target, 0.2), ("B", day, target, 0.2)], "ticker string, observation_date date, target_date date, target_return double")
-    found = {r.ticker: r for r in serving.resolve(rows, panel, -0.1, 0.1).collect()}
+    found = {r.ticker: r for r in serving.resolve(rows, panel, spark.createDataFrame([(-0.1, 0.1)], "q_low double, q_high double")).collect()}
     assert (found["A"].y_true, found["A"].correct, found["A"].prospective) == ("FLAT", True, True)
     assert (found["B"].y_true, found["B"].prospective, found["B"].issued_same_session) == ("UP", False, False)
     assert (found["C"].y_true, found["C"].correct, found["C"].prospective) == (None, None, False)

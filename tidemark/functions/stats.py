@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import staged
+
 SESSIONS_A_YEAR = 252
 
 
@@ -13,6 +15,34 @@ def average_rank(column: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2.0
 
 
+def in_order(rows: DataFrame, order: list, count: str, *by: str) -> DataFrame:
+    """Adds ``_before``, the sum of ``count`` over the rows of ``by`` that come before a row in ``order``.
+
+    For few and large groups: rows are dealt by ranges of the order, each range is summed on its own and
+    starts from what the ranges before it hold, so no task sees a whole group.
+    """
+    dealt = rows.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_part", F.spark_partition_id())
+    placed = staged(dealt, "ranges")
+    sums = placed.groupBy("_part", *by).agg(F.sum(count).alias("_n"))
+    # a row for each range
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = placed.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(F.broadcast(starts.drop("_n")), ["_part", *by])
+    return found.withColumn("_before", F.col("_start") + F.col("_in")).drop("_part", "_start", "_in")
+
+
+def ranked_apart(rows: DataFrame, column: str, name: str, *by: str) -> DataFrame:
+    """Adds the average rank of ``column`` within few large groups: of the distinct values, joined back."""
+    values = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = in_order(values, [F.col(column)], "_c", *by)
+    return rows.join(ranks.select(*by, column, (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(name)), [*by, column])
+
+
+def numbered_apart(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds a row's number from 1 in the order over all rows, without one task that sorts them all."""
+    return in_order(rows.withColumn("_c", F.lit(1).cast("long")), order, "_c").withColumn(name, (F.col("_before") + 1).cast("int")).drop("_before", "_c")
+
+
 def pearson(x: str, y: str) -> Column:
     """Aggregate; null for fewer than three rows or a side without spread."""
     spread = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (F.count(F.lit(1)) >= 3)
@@ -22,7 +52,10 @@ def pearson(x: str, y: str) -> Column:
 
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """(by..., n, ic, distinct values of x): Pearson's correlation of average ranks."""
-    ranked = rows.withColumns({"_x": average_rank(x, *by), "_y": average_rank(y, *by)})
+    if by:
+        ranked = rows.withColumns({"_x": average_rank(x, *by), "_y": average_rank(y, *by)})
+    else:
+        ranked = ranked_apart(ranked_apart(rows, x, "_x"), y, "_y")
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("ic"), F.countDistinct(x).alias("n_distinct"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.schemas import ZONE
+
 #: Entities that the SQL twin knows as well; ``clean_html`` goes through all others in Python.
 COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 # fixed values: the hosts that pages may come from
@@ -56,13 +58,15 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def clean_html(text: Column, all_entities: bool = True) -> Column:
-    """Text of a fragment of markup. Only rows that hold uncommon entities would need Python, so with
-    ``all_entities`` false everything stays in the engine."""
-    out = strip_markup(text)
-    if all_entities:
-        return collapse(_unescape(out))
+    """Text of a fragment of markup. Only the texts of rows that hold uncommon entities go through Python;
+    with ``all_entities`` false everything stays in the engine."""
+    stripped = out = strip_markup(text)
     for entity, char in COMMON_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
+    if all_entities:
+        common = "|".join(re.escape(e) for e, _ in COMMON_ENTITIES)
+        uncommon = F.regexp_replace(stripped, common, " ").contains("&")
+        out = F.coalesce(_unescape(F.when(uncommon, stripped)), out)
     return collapse(out)
 
 
@@ -85,15 +89,22 @@ def article_id(url: Column) -> Column:
     return F.coalesce(blank_to_null(F.regexp_extract(url, r"-(\d+)\.htm", 1)), F.substring(F.sha2(url, 256), 1, 16))
 
 
-def published_at(text: Column) -> Column:
-    """Wall time of a timestamp in one of the accepted forms; a date alone is null.
+def local_time(instant: Column, zone: str = ZONE) -> Column:
+    """Wall time in the zone of an instant, whatever the session's zone is."""
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), instant.cast("timestamp_ntz"))
+
 
-    The session's zone is the study's: offsets are converted to it, naive values are in it.
-    """
-    dated = text.rlike("T") | (F.length(text) > 10)
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in ("dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm:ssXXX", "dd-MM-yyyy HH:mm")]
-    iso = F.expr("null").cast("timestamp_ntz")
-    return F.when(dated, F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), *tries, iso))
+def stored_time(text: Column, zone: str = ZONE) -> Column:
+    """Wall time in the zone: with an offset the instant is converted, without one the value is taken as it is."""
+    offset = text.rlike(r"\d[T ].*(Z|[+-]\d{2}:?\d{2})$")
+    instants = F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("dd-MM-yyyy HH:mm:ssXXX")))
+    forms = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in ("dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm")]
+    return F.when(offset, local_time(instants, zone)).otherwise(F.coalesce(text.try_cast("timestamp_ntz"), *forms))
+
+
+def published_at(text: Column, zone: str = ZONE) -> Column:
+    """Wall time in the study's zone of a timestamp in one of the accepted forms; a date alone is null."""
+    return F.when(text.rlike("T") | (F.length(text) > 10), stored_time(text, zone))
 
 
 def cue_pattern(cues: tuple[str, ...]) -> str:
@@ -108,6 +119,8 @@ def cue_count(text: Column, cues: tuple[str, ...]) -> Column:
 
 def input_text(variant: str, title: str = "title", body: str = "body", context_chars: int | None = None) -> Column:
     """Title, context or both with an empty line between, from what is there; null if nothing is."""
+    if context_chars is not None and context_chars < 1:
+        raise ValueError("context_chars must be positive")
     head, rest = (blank_to_null(F.trim(F.col(c))) for c in (title, body))
     rest = blank_to_null(F.trim(F.substring(rest, 1, context_chars))) if context_chars else rest
     if variant == "title":
@@ -116,6 +129,8 @@ def input_text(variant: str, title: str = "title", body: str = "body", context_c
         return F.coalesce(rest, head)
     if variant == "title_context":
         return blank_to_null(F.concat_ws("\n\n", head, rest))
+    if variant == "text":
+        return F.coalesce(blank_to_null(F.trim(F.col("text"))), F.coalesce(head, rest))
     raise ValueError(f"unknown variant {variant!r}")
 
 
@@ -129,6 +144,11 @@ def label_id(label: Column, names: tuple[str, ...] = ("NEGATIVE", "NEUTRAL", "PO
     return out.otherwise(F.when(number.isin(0.0, 1.0, 2.0), number.cast("int")))
 
 
+def strict_label_id(label: Column, names: tuple[str, ...] = ("NEGATIVE", "NEUTRAL", "POSITIVE")) -> Column:
+    """As ``label_id``, but a label that is none of them raises when the row is read."""
+    return F.coalesce(label_id(label, names), F.raise_error(F.concat(F.lit("invalid label: "), F.coalesce(label.cast("string"), F.lit("null")))).cast("int"))
+
+
 def truncated(tokens: Column, size: int, how: str) -> Column:
     """The first, the last, or the first half (rounded up) and the last tokens."""
     head = -(-size // 2)

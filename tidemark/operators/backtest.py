@@ -36,7 +36,10 @@ def daily_book(predictions: DataFrame, returns: DataFrame, cost_bps: float, *by:
     if cost_bps < 0:
         raise ValueError("cost_bps must not be negative")
     keys = [*by, "seed"]
-    matched = positions(predictions.join(returns, ["ticker", "target_date"]), *keys, "target_date")
+    joined = predictions.join(returns, ["ticker", "target_date"])
+    if not joined.limit(1).count():
+        raise ValueError("no prediction has a realized return")
+    matched = positions(joined, *keys, "target_date")
     day = F.array_sort(F.collect_list(F.struct("ticker", F.struct(F.col("weight").alias("w"), F.col("realized_return").alias("r")))))
     w = F.col("weight")
     days = matched.groupBy(*keys, "target_date").agg(
@@ -78,7 +81,9 @@ def benchmarks(returns: DataFrame, dates: DataFrame) -> DataFrame:
     a missing return counting as none.
     """
     block = returns.join(dates.select("target_date").distinct(), "target_date")
-    grid = block.select("target_date").distinct().join(F.broadcast(block.select("ticker").distinct()), F.lit(True)).join(block, ["target_date", "ticker"], "left")
+    # one row holds the names; every date of the block gets each of them
+    names = block.agg(F.collect_set("ticker").alias("_names"))
+    grid = block.select("target_date").distinct().join(F.broadcast(names), F.lit(True)).select("target_date", F.explode("_names").alias("ticker")).join(block, ["target_date", "ticker"], "left")
     before = Window.partitionBy("ticker").orderBy("target_date").rowsBetween(Window.unboundedPreceding, -1)
     live = F.coalesce("realized_return", F.lit(0.0))
     grown = grid.withColumn("_v", F.coalesce(F.product(1 + live).over(before), F.lit(1.0)))
@@ -112,7 +117,11 @@ def permuted(predictions: DataFrame, draws: int, seed: int, *by: str) -> DataFra
 
 
 def permutation_null(predictions: DataFrame, returns: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, sharpe) of the cost-free book under shuffled labels; without cost there is no recursion."""
+    """(draw, sharpe) of the cost-free book under shuffled labels; without cost there is no recursion.
+
+    Shuffling labels within a session needs the session's rows in every draw: rows times draws, dealt by
+    (draw, session), each of which is small.
+    """
     shuffled = permuted(predictions, draws, seed).join(returns, ["ticker", "target_date"])
     weighted = positions(shuffled, "draw", "seed", "target_date")
     daily = weighted.groupBy("draw", "seed", "target_date").agg(F.sum(F.col("weight") * F.col("realized_return")).alias("g"))

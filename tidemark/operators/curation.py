@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import key_hash, uniform
-from tidemark.functions.text import NEGATIVE_CUES, POSITIVE_CUES, cue_count
+from tidemark.functions.text import NEGATIVE_CUES, POSITIVE_CUES, cue_count, input_text, label_id
 from tidemark.schemas import refuse, require_columns
 
 MAX_TICKER_SHARE = 0.2
 PROBABILITIES = ("prob_negative", "prob_neutral", "prob_positive")
+# fixed values: marks of labels that an automatic pass made and that a person has reviewed
+PRELIMINARY = {"annotation_status": "PRELIMINARY_REVIEW_REQUIRED", "annotation_source": "assistant_prelabel"}
+REVIEWED = {"annotation_status": "REVIEWED", "annotation_source": "human_reviewed"}
 USAGE = {"eval_random": "eval", "train_negative": "train", "train_positive": "train", "train_active": "train"}
 
 
@@ -140,6 +143,9 @@ def proportional_draw(rows: DataFrame, groups: list[str], fraction: float, seed:
 
 def class_matched_draw(rows: DataFrame, wanted: dict, label: str, seed: int, key: str) -> DataFrame:
     """Exactly so many rows of each class; a class with too few raises."""
+    have = {r[label]: r["count"] for r in rows.where(F.col(label).isin(*wanted)).groupBy(label).count().collect()}
+    if short := {name: have.get(name, 0) for name, n in wanted.items() if have.get(name, 0) < n}:
+        raise ValueError(f"too few rows: have {short}, want {wanted}")
     order = Window.partitionBy(label).orderBy(key_hash("matched", seed, F.col(key)), key)
     sizes = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
     return rows.where(F.col(label).isin(*wanted)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sizes[F.col(label)]).drop("_r")
@@ -176,20 +182,86 @@ def label_audit(labels: DataFrame, valid: tuple[str, ...] = ("NEGATIVE", "NEUTRA
     return out
 
 
-def minority_power(n: Column, recall: float) -> Column:
-    """Half width of the Wald interval of a recall over n rows."""
-    return F.round(1.96 * F.sqrt(F.lit(recall * (1 - recall)) / F.greatest(n, F.lit(1))), 4)
+def minority_power(n: Column, recall: float = 0.5) -> list[Column]:
+    """Half width and clipped ends of the 95 % Wald interval of a recall over n rows; no rows raise."""
+    rows = F.when(n >= 1, n).otherwise(F.raise_error("a recall needs at least one row").cast("long"))
+    half = 1.96 * F.sqrt(F.lit(recall * (1 - recall)) / rows)
+    ends = F.greatest(F.lit(0.0), recall - half), F.least(F.lit(1.0), recall + half)
+    return [F.round(x, 4).alias(name) for x, name in zip((half, *ends), ("half_width", "ci_low", "ci_high"), strict=True)]
 
 
 def refuse_preliminary(labels: DataFrame, allowed: bool = False) -> DataFrame:
-    """Raises on rows whose annotation isn't final."""
-    if not allowed and "annotation_status" in labels.columns:
-        refuse(labels.where(F.lower("annotation_status") == "preliminary"), "preliminary labels")
+    """Raises on rows that an automatic pass labelled and nobody has reviewed, by status or by source."""
+    for column, flag in PRELIMINARY.items():
+        if not allowed and column in labels.columns:
+            refuse(labels.where(F.col(column) == flag).select(column), "preliminary labels")
     return labels
 
 
+def finalize_labels(labels: DataFrame, valid: tuple[str, ...] = ("NEGATIVE", "NEUTRAL", "POSITIVE")) -> DataFrame:
+    """Rows with a valid label become reviewed, in status and source alike; others keep what they have."""
+    require_columns(labels, "label")
+    sure = F.coalesce(F.trim("label").isin(*valid), F.lit(False))
+    have = lambda c: F.col(c).cast("string") if c in labels.columns else F.lit(None).cast("string")
+    return labels.withColumns({c: F.when(sure, F.lit(v)).otherwise(have(c)) for c, v in REVIEWED.items()})
+
+
+def finalize_report(labels: DataFrame, valid: tuple[str, ...] = ("NEGATIVE", "NEUTRAL", "POSITIVE")) -> DataFrame:
+    """One row: rows, finalized, left preliminary, labels that differ from the stored ones, and each class."""
+    label = F.trim("label")
+    sure = F.coalesce(label.isin(*valid), F.lit(False))
+    stored = F.trim("prelabel") if "prelabel" in labels.columns else F.lit(None).cast("string")
+    changed = F.count_if(sure & stored.isNotNull() & (stored != label)) if "prelabel" in labels.columns else F.lit(None).cast("long")
+    classes = [F.count_if(label == c).alias(f"n_{c.lower()}") for c in valid]
+    return labels.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(sure).alias("finalized"), F.count_if(~sure).alias("left_preliminary"), changed.alias("changed_from_prelabel"), *classes)
+
+
+def normalize_labels(labels: DataFrame) -> DataFrame:
+    """Rows with ``label_id``; an invalid label or an id that disagrees with its label raises."""
+    ids = labels.withColumn("_id", label_id(F.col("label" if "label" in labels.columns else "label_id")))
+    refuse(ids.where(F.col("_id").isNull()), "invalid label")
+    if {"label", "label_id"} <= set(labels.columns):
+        refuse(ids.where(~F.col("label_id").try_cast("int").eqNullSafe(F.col("_id"))), "label and label_id disagree")
+    return ids.withColumn("label_id", F.col("_id")).drop("_id")
+
+
+def dedup_by_input(rows: DataFrame, variant: str, order: str, **options) -> DataFrame:
+    """Rows with the model's input text, one for each text; rows without any go, and none left raises.
+
+    The text is built first: what is one text for one variant may be two for another.
+    """
+    made = rows.withColumn("input_text", input_text(variant, **options)).where("input_text is not null")
+    if not made.limit(1).count():
+        raise ValueError(f"no row has a text for {variant!r}")
+    return keep_first(made, ["input_text"], order)
+
+
+def label_template(pool: DataFrame, preview: int = 500) -> DataFrame:
+    """Rows to annotate: fixed columns, a preview of the body and an empty label."""
+    known = lambda c, kind="string": F.col(c) if c in pool.columns else F.lit(None).cast(kind)
+    shown = F.substring(F.trim(F.coalesce("body", F.lit(""))), 1, preview)
+    return pool.select(F.sha2(F.concat_ws("|", "ticker", "url"), 256).alias("sample_id"), "ticker", known("published_at").alias("published_at"), "title", shown.alias("body_preview"), "url", F.lit("").alias("label"), known("stratum").alias("stratum"), known("usage").alias("usage"))
+
+
+def sampling_manifest(drawn: DataFrame, seed: int) -> DataFrame:
+    """(stratum, usage, n_rows, n_tickers, seed, digest of the links): what was drawn, reproducibly."""
+    links = F.sha2(F.array_join(F.array_sort(F.collect_set("url")), "\n"), 256)
+    return drawn.groupBy("stratum", "usage").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ticker").alias("n_tickers"), F.lit(seed).alias("seed"), links.alias("links_sha256"))
+
+
+def seed_texts(rows: DataFrame, codes: dict[int, str]) -> DataFrame:
+    """Public seed texts: codes become class names (an unknown one raises), empty and repeated texts go."""
+    names = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    made = rows.select(F.trim("text").alias("text"), F.try_element_at(names, F.col("code").cast("int")).alias("label"), "code").where("text is not null and text <> ''")
+    refuse(made.where(F.col("label").isNull()), "unknown code")
+    return made.groupBy("text").agg(F.min("label").alias("label"))
+
+
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of all rows, whatever their order. It gathers a digest for each row: for tables of results."""
+    """One digest of all rows, whatever their order; nulls count as empty. It gathers a digest for each row:
+    for tables of results, not for facts."""
+    if not rows.limit(1).count():
+        raise ValueError("an empty frame has no fingerprint")
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     return rows.select(row.alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.draws import draw, uniform
 from tidemark.functions.metrics import CELLS, confusion_counts, from_confusion
-from tidemark.functions.stats import SESSIONS_A_YEAR, average_rank
+from tidemark.functions.stats import SESSIONS_A_YEAR, ranked_apart
 from tidemark.schemas import CLASSES
 
 METRICS = ("macro_f1", "balanced_accuracy", "accuracy")
@@ -59,7 +59,7 @@ def one_vs_rest_auc(rows: DataFrame, probabilities: list[str], label: str = "y_t
     """Mean over classes of the Mann-Whitney area; null unless every class occurs."""
     names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.col(p).alias("p")) for k, (c, p) in enumerate(zip(CLASSES, probabilities, strict=True))])
     long = rows.select(F.col(label).alias("_y"), F.inline(names))
-    ranked = long.withColumn("_r", average_rank("p", "k"))
+    ranked = ranked_apart(long, "p", "_r", "k")
     hit = F.col("_y") == F.col("c")
     sums = ranked.groupBy("k").agg(F.sum(F.when(hit, F.col("_r"))).alias("s"), F.count_if(hit).alias("n1"), F.count_if(~hit).alias("n0"))
     area = F.try_divide(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
@@ -67,8 +67,10 @@ def one_vs_rest_auc(rows: DataFrame, probabilities: list[str], label: str = "y_t
 
 
 def class_weights(rows: DataFrame, label: str, classes: tuple[str, ...]) -> DataFrame:
-    """n / (K * count): rarer classes weigh more."""
+    """n / (K * count): rarer classes weigh more; a class without rows raises."""
     counted = rows.where(F.col(label).isin(*classes)).groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
+    if missing := sorted(set(classes) - {r[0] for r in counted.select(label).collect()}):
+        raise ValueError(f"no rows of {missing}")
     total = F.sum("n_rows").over(Window.partitionBy())
     return counted.select(F.col(label).alias("label"), "n_rows", (total / (len(classes) * F.col("n_rows"))).alias("weight"))
 

@@ -43,7 +43,11 @@ def cross_sectional_ic(rows: DataFrame, min_names: int = 4) -> DataFrame:
 
 
 def bootstrap_ic(rows: DataFrame, samples: int, seed: int) -> DataFrame:
-    """Interval of the pooled coefficient when whole sessions are drawn with their cross-sections."""
+    """Interval of the pooled coefficient when whole sessions are drawn with their cross-sections.
+
+    Ranks of a pooled draw depend on all its rows, so this does multiply rows by draws: they are ranked
+    draw by draw, each draw in a task of its own.
+    """
     dates = numbered(rows.select("observation_date").distinct(), "observation_date")
     picked = dates.select("n", F.col("slot").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("draw"))
     picked = picked.select("draw", draw(F.col("n"), seed, F.col("draw").cast("string"), F.col("_s").cast("string")).alias("slot"))

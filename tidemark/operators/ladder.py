@@ -11,6 +11,7 @@ from tidemark.operators import panel as panels
 from tidemark.operators import splits
 from tidemark.operators.evaluation import class_id
 from tidemark.schemas import CLASSES
+from tidemark.sources.staging import staged
 
 
 def window_rows(panel: DataFrame, windows: DataFrame, window: int, features: list[str], length: int) -> DataFrame:
@@ -27,16 +28,15 @@ def fit_predict(rows: DataFrame, arm: str, seed: int = 42) -> DataFrame:
     ``mlp`` all of it."""
     steps = F.element_at("sequence", -1) if arm == "logreg" else F.flatten("sequence")
     data = rows.select("*", array_to_vector(steps).alias("features"), class_id("target_label").cast("double").alias("label"))
-    train = data.where("split = 'train'").cache()
+    train = staged(data.where("split = 'train'").select("features", "label"), "ladder-train")
     n = train.count()
     if arm == "logreg":
-        model = LogisticRegression(family="multinomial", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200).fit(train)
+        model = LogisticRegression(family="multinomial", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=2000).fit(train)
     elif arm == "mlp":
         width = len(train.first()["features"])
         model = MultilayerPerceptronClassifier(layers=[width, 16, 3], seed=seed, maxIter=60).fit(train)
     else:
         raise ValueError(f"unknown arm {arm!r}")
-    train.unpersist()
     found = model.transform(data.where("split = 'test'")).withColumn("_p", vector_to_array("probability"))
     known = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.coalesce(F.try_element_at("_p", k.cast("int")), F.lit(0.0)))
     named = found.withColumn("_p", known).withColumns({f"prob_{c.lower()}": F.col("_p")[k] for k, c in enumerate(CLASSES)})

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import numbered_apart
 from tidemark.schemas import finite, refuse
 
 PRICES = ("open", "high", "low", "close")
@@ -58,4 +59,4 @@ def coverage(panel: DataFrame) -> DataFrame:
 
 def misclassified(rows: DataFrame, confidence: str) -> DataFrame:
     """Wrong rows, the surest first."""
-    return rows.where("y_true <> y_pred").withColumn("place", F.row_number().over(Window.orderBy(F.desc(confidence), "ticker", "target_date")))
+    return numbered_apart(rows.where("y_true <> y_pred"), [F.desc(confidence), F.col("ticker"), F.col("target_date")], "place")

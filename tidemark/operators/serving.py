@@ -39,15 +39,17 @@ def issue(computed: DataFrame, path: str) -> str:
     return "written"
 
 
-def resolve(issued: DataFrame, panel: DataFrame, low: float, high: float, issued_at: str = "issued_at") -> DataFrame:
-    """Issued rows with what came of them, under the thresholds they were issued with.
+def resolve(issued: DataFrame, panel: DataFrame, thresholds: DataFrame, issued_at: str = "issued_at") -> DataFrame:
+    """Issued rows with what came of them, under the thresholds they were issued with, else those of the
+    one row (q_low, q_high) of ``thresholds``.
 
     prospective: issued (local wall time) before the target session opened; a null counts as no.
     """
     truth = panel.select("ticker", "observation_date", "target_date", "target_return")
     rows = issued.join(truth, ["ticker", "observation_date"], "left")
-    own = lambda name, value: F.coalesce(F.col(name), F.lit(value)) if name in issued.columns else F.lit(value)
-    rows = rows.withColumn("y_true", trend_label(F.col("target_return"), own("threshold_low", low), own("threshold_high", high)))
+    rows = rows.join(F.broadcast(thresholds.select(F.col("q_low").alias("_l"), F.col("q_high").alias("_h"))), F.lit(True))
+    own = lambda name, value: F.coalesce(F.col(name), F.col(value)) if name in issued.columns else F.col(value)
+    rows = rows.withColumn("y_true", trend_label(F.col("target_return"), own("threshold_low", "_l"), own("threshold_high", "_h"))).drop("_l", "_h")
     opens = F.col("target_date").cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(seconds(OPEN)))
     return rows.withColumns(
         {
@@ -74,8 +76,11 @@ def top_news(aligned: DataFrame, sessions: DataFrame, observation: Column, lookb
     """The k news of each ticker that the classifier is surest of, from its last sessions up to a date."""
     past = sessions.where(F.col("session_date") <= observation)
     last = past.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("session_date")))).where(F.col("_r") <= lookback)
-    own = aligned.join(F.broadcast(last.select("ticker", F.col("session_date").alias("observation_date"))), ["ticker", "observation_date"], "left_semi")
-    sure = own.withColumn("conviction", F.greatest("prob_negative", "prob_positive"))
+    own = aligned.join(last.select("ticker", F.col("session_date").alias("observation_date")), ["ticker", "observation_date"], "left_semi")
+    sure = own.withColumns({"conviction": F.greatest("prob_negative", "prob_positive"), "_part": F.pmod(F.xxhash64("url"), F.lit(64))})
+    # the best of each part of a ticker's news first, so that no task sorts all news of a busy one
+    part = Window.partitionBy("ticker", "_part").orderBy(F.desc("conviction"), "url")
+    sure = sure.withColumn("place", F.row_number().over(part)).where(F.col("place") <= k).drop("_part")
     order = Window.partitionBy("ticker").orderBy(F.desc("conviction"), "url")
     return sure.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

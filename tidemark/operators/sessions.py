@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.schemas import MAPPED, STATUSES, refuse, require_columns
+from tidemark.functions.text import local_time, stored_time
+from tidemark.schemas import MAPPED, STATUSES, ZONE, refuse, require_columns
 
 CUTOFF, OPEN = "15:00", "09:00"
 MAX_ROLL_DAYS = 12
-ZONE = "Asia/Ho_Chi_Minh"
 
 
 def seconds(clock: str) -> int:
@@ -20,6 +21,17 @@ def seconds(clock: str) -> int:
     return int(hours) * 3600 + int(minutes) * 60
 
 
+def to_local(rows: DataFrame, column: str, zone: str = ZONE) -> Column:
+    """The column as wall time in the study's zone: instants are converted, wall times are taken as they
+    are, and of texts those with an offset are converted and the others taken as they are."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return local_time(F.col(column), zone)
+    if isinstance(kind, T.StringType):
+        return stored_time(F.col(column), zone)
+    return F.col(column).cast("timestamp_ntz")
+
+
 def session_as_of(session: Column, cutoff: str = CUTOFF) -> Column:
     """The instant a session's information is cut off, as local wall time."""
     return session.cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(seconds(cutoff)))
@@ -91,6 +103,18 @@ def alignment_report(aligned: DataFrame) -> DataFrame:
 
 
 def last_known(facts: DataFrame, at: DataFrame, value: str, day: str = "session_date", on: str = "observation_date") -> DataFrame:
-    """Backward as-of: for each (ticker, ``on``) the value of the last day up to it."""
-    before = at.join(facts.select(F.col("ticker").alias("_t"), F.col(day).alias("_d"), F.col(value).alias("_v")), (F.col("ticker") == F.col("_t")) & (F.col("_d") <= F.col(on)), "left")
-    return before.groupBy("ticker", on).agg(F.max_by("_v", "_d").alias(f"last_{value}"), F.max("_d").alias(f"last_{day}"))
+    """Backward as-of: for each (ticker, ``on``) the value of the last day up to it.
+
+    Requests and facts are ordered together once for each ticker, so no request meets all facts.
+    """
+    known = F.struct(F.col(day).alias("d"), F.col(value).alias("v"))
+    both = at.select("ticker", F.col(on).alias("_on"), F.lit(None).cast(known_type(facts, day, value)).alias("_f"), F.lit(1).alias("_asks")).distinct().unionByName(
+        facts.select("ticker", F.col(day).alias("_on"), known.alias("_f"), F.lit(0).alias("_asks"))
+    )
+    past = Window.partitionBy("ticker").orderBy("_on", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_f", F.last("_f", ignorenulls=True).over(past)).where("_asks = 1")
+    return found.select("ticker", F.col("_on").alias(on), F.col("_f.v").alias(f"last_{value}"), F.col("_f.d").alias(f"last_{day}"))
+
+
+def known_type(facts: DataFrame, day: str, value: str) -> T.StructType:
+    return T.StructType([T.StructField("d", facts.schema[day].dataType), T.StructField("v", facts.schema[value].dataType)])

@@ -461,7 +461,7 @@ def ic_bootstrap(spark, d):
 def logreg_metrics(spark, d):
     """Multinomial logistic regression by window, price features with and without sentiment."""
     price = ["ret_1d", "roll_vol_5", "ma_ratio_5"]
-    found = ladder.run_ladder(full_panel(spark, d), {"price": price, "price_sentiment": [*price, "sent_pos_minus_neg", "news_count"]}, ("logreg",), 2, 20, 20)
+    found = ladder.run_ladder(full_panel(spark, d), {"price": price, "price_sentiment": [*price, "sent_pos_minus_neg", "news_count"]}, ("logreg",), WINDOWS, TEST, VAL)
     return evaluation.scores(found, "window", "arm", "seed")
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import eventlog, serving, sessions
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.evaluation import TO_PREDICTIONS, predictions
-from tidemark.plans.panel import ALIGNED, aligned, labelled
-from tidemark.plans.panel import thresholds as fitted
+from tidemark.plans.panel import ALIGNED, aligned, fitted, labelled
 from tidemark.sources.derived import BARS, NEWS, bars, read
 
 CATALOG = Catalog()
@@ -44,8 +43,7 @@ def issued(spark, d):
 
 
 def resolved(spark, d):
-    bounds = fitted(spark, d).first()
-    return serving.resolve(issued(spark, d), labelled(spark, d), bounds["q_low"], bounds["q_high"])
+    return serving.resolve(issued(spark, d), labelled(spark, d), fitted(spark, d))
 
 
 @query("SELECT ticker, observation_date, target_date, y_pred, y_true, correct, prospective, issued_same_session FROM flagged", (*TO_ISSUED, RESOLVED))
@@ -108,20 +106,27 @@ def live_status(spark, d):
 
 # --- events -----------------------------------------------------------------
 
-LOG = "log AS (SELECT event_id + 1 AS id, concat('k', event_id) AS key, event_type AS type FROM events WHERE event_id < 500)"
+#: Every two events of the table are one entry of the log; arrivals are keyed by threes, so half of them are new.
+LOG = "log AS (SELECT min(event_id) // 2 + 1 AS id, concat('k', event_id // 2 * 2) AS key, min_by(event_type, event_id) AS type FROM events GROUP BY event_id // 2)"
 
 
 def log(spark, d):
-    return read(spark, d, "events").where("event_id < 500").select((F.col("event_id") + 1).alias("id"), F.concat(F.lit("k"), "event_id").alias("key"), F.col("event_type").alias("type"))
+    events = read(spark, d, "events").groupBy(F.expr("event_id div 2").alias("pair")).agg(F.min_by("event_type", "event_id").alias("type"))
+    return events.select((F.col("pair") + 1).alias("id"), F.concat(F.lit("k"), F.col("pair") * 2).alias("key"), "type")
 
 
 def arrivals(spark, d):
-    return read(spark, d, "events").where("event_id between 400 and 899").select(F.concat(F.lit("k"), F.col("event_id") - F.col("event_id") % 2).alias("key"), F.col("event_type").alias("type"), "event_id")
+    return read(spark, d, "events").select(F.concat(F.lit("k"), F.col("event_id") - F.col("event_id") % 3).alias("key"), F.col("event_type").alias("type"), "event_id")
+
+
+def head(spark, d):
+    """The last id of the log."""
+    return log(spark, d).agg(F.max("id")).first()[0]
 
 
 @query(
     """SELECT key, type, (SELECT max(id) FROM log) + row_number() OVER (ORDER BY event_id) AS id FROM (
-           SELECT concat('k', event_id - event_id % 2) AS key, event_type AS type, event_id FROM events WHERE event_id BETWEEN 400 AND 899 QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id) = 1)
+           SELECT concat('k', event_id - event_id % 3) AS key, event_type AS type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id) = 1)
        WHERE key NOT IN (SELECT key FROM log)""",
     (LOG,),
 )
@@ -129,17 +134,17 @@ def event_append(spark, d):
     return eventlog.append(log(spark, d), arrivals(spark, d), ["event_id"]).select("key", "type", "id")
 
 
-@query("SELECT 'event' AS kind, id, key FROM log WHERE id > 450", (LOG,))
+@query("SELECT 'event' AS kind, id, key FROM log WHERE id > (SELECT max(id) // 2 FROM log)", (LOG,))
 def event_replay(spark, d):
-    return eventlog.replay(log(spark, d), "450")
+    return eventlog.replay(log(spark, d), str(head(spark, d) // 2))
 
 
-@query("SELECT 'reset:stale_last_event_id' AS kind, 500 AS id, CAST(NULL AS VARCHAR) AS key", ())
+@query("SELECT 'reset:stale_last_event_id' AS kind, max(id) AS id, CAST(NULL AS VARCHAR) AS key FROM log", (LOG,))
 def event_replay_stale(spark, d):
     return eventlog.replay(log(spark, d), "99999999999999999999")
 
 
-@query("SELECT 'reset:invalid_last_event_id' AS kind, 500 AS id, CAST(NULL AS VARCHAR) AS key", ())
+@query("SELECT 'reset:invalid_last_event_id' AS kind, max(id) AS id, CAST(NULL AS VARCHAR) AS key FROM log", (LOG,))
 def event_replay_invalid(spark, d):
     return eventlog.replay(log(spark, d), "12x")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.draws import sql_hash, sql_uniform
+from tidemark.functions.draws import draw, sql_hash, sql_uniform, uniform
 from tidemark.operators import curation, evaluation, quality, splits
 from tidemark.operators.eventlog import fetch_queue as fetch_queue_of
 from tidemark.plans.catalog import Catalog
@@ -22,8 +22,10 @@ query = CATALOG.query
 NEGATIVE = ("the", "der", "las", "pour", "idiot", "stupid")
 POSITIVE = ("and", "und", "que", "une", "with")
 TICKERS = ("AAA", "BBB", "CCC", "DDD")
+#: Two documents in a row of six share each link, so links repeat at every size of the table.
+HOSTS = ("//www.vietstock.vn/a-", "http://finance.vietstock.vn/a-", "//host.example/a-")
 ARTICLES = """articles AS (
-    SELECT doc_id, ['AAA', 'BBB', 'CCC', 'DDD'][1 + doc_id % 4] AS ticker, concat('//host.example/a-', doc_id % 900, '.htm') AS url, split_part(text, chr(10), 1) AS title,
+    SELECT doc_id, ['AAA', 'BBB', 'CCC', 'DDD'][1 + doc_id % 4] AS ticker, concat(CASE doc_id % 3 WHEN 0 THEN '//www.vietstock.vn/a-' WHEN 1 THEN 'http://finance.vietstock.vn/a-' ELSE '//host.example/a-' END, doc_id // 6, '.htm') AS url, split_part(text, chr(10), 1) AS title,
            nullif(trim(substr(text, length(split_part(text, chr(10), 1)) + 2), ' '), '') AS body
     FROM documents)"""
 CUES = f"""cues AS (
@@ -41,7 +43,7 @@ def articles(spark, d):
     return read(spark, d, "documents").select(
         "doc_id",
         F.element_at(F.array(*map(F.lit, TICKERS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("ticker"),
-        F.concat(F.lit("//host.example/a-"), F.col("doc_id") % 900, F.lit(".htm")).alias("url"),
+        F.concat(F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("doc_id") % 3 + 1).cast("int")), F.expr("doc_id div 6"), F.lit(".htm")).alias("url"),
         title.alias("title"),
         T.blank_to_null(F.trim(F.substring(F.col("text"), F.length(title) + 2, F.length("text")))).alias("body"),
     )
@@ -75,11 +77,10 @@ def parse_article(spark, d):
 
 @query()
 def listing_links(spark, d):
-    cards = articles(spark, d).select("doc_id", F.concat(F.lit('<a href="/x-'), "doc_id", F.lit('.htm">t</a> 01/02/2024')).alias("html"))
-    return cards.select("doc_id", F.inline(T.listing_links("html")))
+    return read(spark, d, "pages").select("page_id", F.inline_outer(T.listing_links("html")))
 
 
-@query("SELECT doc_id, regexp_replace(url, '^(http:)?//', 'https://') AS url, coalesce(nullif(regexp_extract(url, '-(\\d+)\\.htm', 1), ''), substr(sha256(url), 1, 16)) AS article_id, false AS allowed FROM articles", (ARTICLES,))
+@query("SELECT doc_id, regexp_replace(url, '^(http:)?//', 'https://') AS url, coalesce(nullif(regexp_extract(url, '-(\\d+)\\.htm', 1), ''), substr(sha256(url), 1, 16)) AS article_id, regexp_matches(url, '^(http:)?//(www.|finance.)?vietstock.vn/') AS allowed FROM articles", (ARTICLES,))
 def link_normalization(spark, d):
     own = articles(spark, d)
     return own.select("doc_id", T.https(F.col("url")).alias("url"), T.article_id(F.col("url")).alias("article_id"), T.allowed(T.https(F.col("url"))).alias("allowed"))
@@ -106,6 +107,20 @@ def cue_counts(spark, d):
     return pool(spark, d).select("doc_id", "negative_cues", "positive_cues")
 
 
+LEXICON = f"""lexicon AS (SELECT doc_id, lower(concat_ws(' ', title, list_extract({[*T.NEGATIVE_CUES]!r}, 1 + doc_id % {len(T.NEGATIVE_CUES)}), list_extract({[*T.NEGATIVE_CUES]!r}, 1 + doc_id * 7 % {len(T.NEGATIVE_CUES)}), list_extract({[*T.POSITIVE_CUES]!r}, 1 + doc_id % {len(T.POSITIVE_CUES)}))) AS shown FROM articles)"""
+
+
+@query(
+    f"""SELECT doc_id, len(list_distinct(regexp_extract_all(shown, '{T.cue_pattern(T.NEGATIVE_CUES)}'))) AS negative_cues, len(list_distinct(regexp_extract_all(shown, '{T.cue_pattern(T.POSITIVE_CUES)}'))) AS positive_cues FROM lexicon""",
+    (ARTICLES, LEXICON),
+)
+def lexicon_cues(spark, d):
+    """The news lexicon on titles that had cues of it put in."""
+    k, pick = F.col("doc_id"), lambda cues, at: F.element_at(F.array(*map(F.lit, cues)), (at % len(cues) + 1).cast("int"))
+    shown = F.concat_ws(" ", "title", pick(T.NEGATIVE_CUES, k), pick(T.NEGATIVE_CUES, k * 7), pick(T.POSITIVE_CUES, k))
+    return articles(spark, d).select("doc_id", T.cue_count(shown, T.NEGATIVE_CUES).alias("negative_cues"), T.cue_count(shown, T.POSITIVE_CUES).alias("positive_cues"))
+
+
 @query("SELECT doc_id, ticker, url, title FROM pool0", (ARTICLES, POOL))
 def candidate_pool(spark, d):
     return pool(spark, d).select("doc_id", "ticker", "url", "title")
@@ -122,6 +137,22 @@ drawn AS (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY k, url) AS r, greatest(1, ceil(60 * 0.2::DOUBLE), ceil(60 / (SELECT count(DISTINCT ticker) FROM keyed))) AS cap FROM keyed) ORDER BY r > cap, k, url LIMIT 60)"""
 
 
+def stratum_sql(name, rows, eligible, weight, quota):
+    return f"""keyed_{name} AS (SELECT *, -ln({sql_uniform("'weighted'", "'42'", "url")}) / greatest({weight}, 1e-9) AS k FROM {rows} WHERE {eligible}),
+drawn_{name} AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY k, url) AS r, greatest(1, ceil({quota} * 0.2::DOUBLE), ceil({quota} / (SELECT count(DISTINCT ticker) FROM keyed_{name}))) AS cap FROM keyed_{name}) ORDER BY r > cap, k, url LIMIT {quota})"""
+
+
+PRIORS = ("prior-a", "prior-b", "prior-c")
+PRIOR_SQL = [f"({sql_uniform(repr(p), 'url')} / ({' + '.join(sql_uniform(repr(x), 'url') for x in PRIORS)}))" for p in PRIORS]
+
+
+def prior_columns():
+    own = [uniform(p, F.col("url")) for p in PRIORS]
+    total = own[0] + own[1] + own[2]
+    return [u / total for u in own]
+
+
 @query("SELECT doc_id, ticker FROM drawn", (ARTICLES, POOL, WEIGHTED.format(rows="cues")))
 def capped_weighted_draw(spark, d):
     rows = pool(spark, d).where("negative_cues > 0")
@@ -129,20 +160,33 @@ def capped_weighted_draw(spark, d):
 
 
 @query(
-    """SELECT doc_id, 'eval_random' AS stratum, 'eval' AS usage, round((SELECT count(*) FROM evals) / (SELECT count(*) FROM cues), 6) AS inclusion_probability FROM evals
-       UNION ALL SELECT doc_id, 'train_negative', 'train', round((SELECT count(*) FROM drawn) / (SELECT count(*) FROM keyed), 6) FROM drawn""",
-    (ARTICLES, POOL, f"evals AS (SELECT * FROM cues ORDER BY {sql_hash(repr('uniform'), repr('42'), 'url')}, url LIMIT 50)", "rest AS (SELECT * FROM cues WHERE url NOT IN (SELECT url FROM evals))", WEIGHTED.format(rows="rest")),
+    "SELECT doc_id, 'eval_random' AS stratum, 'eval' AS usage, round((SELECT count(*) FROM evals) / (SELECT count(*) FROM cues), 6) AS inclusion_probability FROM evals"
+    + "".join(f" UNION ALL SELECT doc_id, 'train_{s}', 'train', round((SELECT count(*) FROM drawn_{s}) / (SELECT count(*) FROM keyed_{s}), 6) FROM drawn_{s}" for s in ("negative", "positive", "active")),
+    (
+        ARTICLES,
+        POOL,
+        f"evals AS (SELECT * FROM cues ORDER BY {sql_hash(repr('uniform'), repr('42'), 'url')}, url LIMIT 50)",
+        "rest1 AS (SELECT * FROM cues WHERE url NOT IN (SELECT url FROM evals))",
+        stratum_sql("negative", "rest1", "negative_cues > 0", "(negative_cues + 1.0) / (1.0 + positive_cues)", 60),
+        "rest2 AS (SELECT * FROM rest1 WHERE url NOT IN (SELECT url FROM drawn_negative))",
+        stratum_sql("positive", "rest2", "positive_cues > 0", "(positive_cues + 1.0) / (1.0 + negative_cues)", 40),
+        "rest3 AS (SELECT * FROM rest2 WHERE url NOT IN (SELECT url FROM drawn_positive))",
+        stratum_sql("active", "rest3", f"{sql_hash(repr('scored'), 'url')} % 3 > 0", f"1 - greatest({PRIOR_SQL[0]}, {PRIOR_SQL[1]}, {PRIOR_SQL[2]})", 30),
+    ),
 )
 def strata_draw(spark, d):
-    return curation.draw_strata(pool(spark, d), {"eval_random": 50, "train_negative": 60}).select("doc_id", "stratum", "usage", "inclusion_probability")
+    """All four strata; two thirds of the pool have scores, which are drawn by key."""
+    priors = [F.when(draw(3, "scored", F.col("url")) > 0, p).alias(c) for c, p in zip(curation.PROBABILITIES, prior_columns(), strict=True)]
+    rows = pool(spark, d).select("*", *priors)
+    return curation.draw_strata(rows, {"eval_random": 50, "train_negative": 60, "train_positive": 40, "train_active": 30}).select("doc_id", "stratum", "usage", "inclusion_probability")
 
 
 @query(
-    f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY ticker ORDER BY {sql_hash(repr('proportional'), repr('42'), 'url')}, url) AS r, greatest(1, round_even(count(*) OVER (PARTITION BY ticker) * 0.1, 0)) AS w FROM pool0) WHERE r <= w""",
+    f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY ticker, doc_id % 5 ORDER BY {sql_hash(repr('proportional'), repr('42'), 'url')}, url) AS r, greatest(1, round_even(count(*) OVER (PARTITION BY ticker, doc_id % 5) * 0.1, 0)) AS w FROM pool0) WHERE r <= w""",
     (ARTICLES, POOL),
 )
 def proportional_draw(spark, d):
-    return curation.proportional_draw(pool(spark, d), ["ticker"], 0.1, 42).select("doc_id")
+    return curation.proportional_draw(pool(spark, d).withColumn("year", F.col("doc_id") % 5 + 2020), ["ticker", "year"], 0.1, 42).select("doc_id")
 
 
 @query(f"SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_hash(repr('matched'), repr('42'), 'doc_id')}, doc_id) AS r FROM labelled) WHERE r <= CASE label WHEN 'NEGATIVE' THEN 5 WHEN 'NEUTRAL' THEN 20 ELSE 10 END", (LABELLED,))
@@ -170,7 +214,7 @@ def label_weights(spark, d):
     return evaluation.class_weights(labelled(spark, d), "label", ("NEGATIVE", "NEUTRAL", "POSITIVE"))
 
 
-LABEL_FILE = "file AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'MAYBE' ELSE label END AS label, CASE WHEN doc_id % 3 = 0 THEN 'eval_random' ELSE 'train_negative' END AS stratum, concat('u', doc_id % 300) AS url, concat('t', doc_id % 350) AS title FROM labelled)"
+LABEL_FILE = "file AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'MAYBE' ELSE label END AS label, CASE WHEN doc_id % 3 = 0 THEN 'eval_random' ELSE 'train_negative' END AS stratum, concat('u', doc_id // 3) AS url, concat('t', doc_id // 4) AS title FROM labelled)"
 
 
 def label_file(spark, d):
@@ -180,8 +224,8 @@ def label_file(spark, d):
         "doc_id",
         F.when(k % 7 == 0, "").when(k % 11 == 0, "MAYBE").otherwise(F.col("label")).alias("label"),
         F.when(k % 3 == 0, "eval_random").otherwise("train_negative").alias("stratum"),
-        F.concat(F.lit("u"), k % 300).alias("url"),
-        F.concat(F.lit("t"), k % 350).alias("title"),
+        F.concat(F.lit("u"), F.expr("doc_id div 3")).alias("url"),
+        F.concat(F.lit("t"), F.expr("doc_id div 4")).alias("title"),
     )
 
 
@@ -208,9 +252,13 @@ def merge_labels(spark, d):
     return merged.select("url", "label", "sample_id", "stratum", "usage")
 
 
-@query("SELECT label, round(1.96 * sqrt(0.7 * 0.3 / greatest(count(*), 1)), 4) AS half_width FROM labelled GROUP BY label", (LABELLED,), "half_width")
+@query(
+    """SELECT label, round(h, 4) AS half_width, round(greatest(0, 0.7 - h), 4) AS ci_low, round(least(1, 0.7 + h), 4) AS ci_high FROM (SELECT label, 1.96 * sqrt(0.7 * 0.3 / count(*)) AS h FROM labelled GROUP BY label)""",
+    (LABELLED,),
+    "half_width ci_low ci_high",
+)
 def minority_power(spark, d):
-    return labelled(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", curation.minority_power(F.col("n"), 0.7).alias("half_width"))
+    return labelled(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", *curation.minority_power(F.col("n"), 0.7))
 
 
 @query("SELECT ticker, a.url, title FROM (SELECT DISTINCT ticker, url FROM articles) l JOIN (SELECT * FROM articles QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id DESC) = 1) a ON l.url = a.url".replace("SELECT ticker,", "SELECT l.ticker,"), (ARTICLES,))
@@ -238,13 +286,13 @@ def merge_on_write(spark, d):
 
 @query(
     """SELECT ticker, url, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker, url ORDER BY s DESC) AS r FROM (
-           SELECT ticker, url, doc_id, 0 AS s FROM dedup WHERE doc_id < 500 AND ticker <> 'AAA' UNION ALL SELECT ticker, url, doc_id, 1 FROM dedup WHERE doc_id >= 300)) WHERE r = 1""",
+           SELECT ticker, url, doc_id, 0 AS s FROM dedup WHERE doc_id % 10 < 6 AND ticker <> 'AAA' UNION ALL SELECT ticker, url, doc_id, 1 FROM dedup WHERE doc_id % 10 >= 4)) WHERE r = 1""",
     (ARTICLES, "dedup AS (SELECT * FROM articles QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id) = 1)"),
 )
 def slice_replace(spark, d):
     own = curation.keep_first(articles(spark, d), ["url"], "doc_id").select("ticker", "url", "doc_id")
     complete = own.select("ticker").distinct().where("ticker = 'AAA'")
-    return curation.replace_slices(own.where("doc_id < 500"), own.where("doc_id >= 300"), complete, ["ticker"], ["ticker", "url"])
+    return curation.replace_slices(own.where("doc_id % 10 < 6"), own.where("doc_id % 10 >= 4"), complete, ["ticker"], ["ticker", "url"])
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, try_strptime(CASE WHEN doc_id % 5 = 0 THEN '' ELSE strftime(DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER), '%d/%m/%Y') END, '%d/%m/%Y') AS day FROM documents) WHERE day IS NULL OR day BETWEEN DATE '2024-03-01' AND DATE '2024-06-30'")
@@ -254,10 +302,10 @@ def listing_window(spark, d):
     return curation.within_window(rows, "2024-03-01", "2024-06-30").select("doc_id")
 
 
-@query("SELECT url, CASE WHEN doc IS NULL THEN 'new' WHEN doc % 2 = 0 THEN 'no_body' ELSE 'no_time' END AS reason FROM (SELECT DISTINCT a.url, s.doc_id AS doc FROM articles a LEFT JOIN store s ON a.url = s.url) WHERE doc IS NULL OR doc % 2 = 0 OR (doc % 3 = 0 AND doc % 5 <> 0)", (ARTICLES, "store AS (SELECT * FROM articles WHERE doc_id < 600)"))
+@query("SELECT url, CASE WHEN doc IS NULL THEN 'new' WHEN doc % 2 = 0 THEN 'no_body' ELSE 'no_time' END AS reason FROM (SELECT DISTINCT a.url, s.doc_id AS doc FROM articles a LEFT JOIN store s ON a.url = s.url) WHERE doc IS NULL OR doc % 2 = 0 OR (doc % 3 = 0 AND doc % 5 <> 0)", (ARTICLES, "store AS (SELECT * FROM articles WHERE doc_id % 10 < 6 QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id) = 1)"))
 def fetch_queue(spark, d):
     own, k = articles(spark, d), F.col("doc_id")
-    store = own.where("doc_id < 600").select("url", F.when(k % 2 == 1, "body").alias("body"), F.when(k % 3 != 0, "2024").alias("published_at"), (k % 5 == 0).alias("parse_failed"))
+    store = curation.keep_first(own.where("doc_id % 10 < 6"), ["url"], "doc_id").select("url", F.when(k % 2 == 1, "body").alias("body"), F.when(k % 3 != 0, "2024").alias("published_at"), (k % 5 == 0).alias("parse_failed"))
     return fetch_queue_of(own, store)
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The study's time zone: wall times are in it, instants are converted to it.
+ZONE = "Asia/Ho_Chi_Minh"
+# fixed values: class, status and column names
 CLASSES = ("DOWN", "FLAT", "UP")
 SENTIMENTS = ("NEGATIVE", "NEUTRAL", "POSITIVE")
 STATUSES = ("same_session", "next_session", "stale", "unmapped", "invalid", "no_calendar")
