@@ -160,6 +160,12 @@ def truncated(tokens: Column, size: int, how: str) -> Column:
     return F.when(short, tokens).otherwise(cut[how])
 
 
+def reader_label(negative: str = "prob_negative", neutral: str = "prob_neutral", positive: str = "prob_positive") -> Column:
+    """The class a reader is shown: the most likely one, of equal ones positive before negative before neutral."""
+    best = F.greatest(negative, neutral, positive)
+    return F.when(F.col(positive) == best, "POSITIVE").when(F.col(negative) == best, "NEGATIVE").otherwise("NEUTRAL")
+
+
 class Article(HTMLParser):
     """Title, body and time of an article page, from its meta tags and marked elements."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE = "id long, ts string, type string, key string, data string"
@@ -51,6 +51,72 @@ def replay(log: DataFrame, last_event_id: str | None) -> DataFrame:
     return events.unionByName(refused)
 
 
+def whole_lines(text: Column) -> Column:
+    """The lines of a log file that end in a line break: what a crash tore off is no line yet."""
+    return F.slice(F.split(text, "\n"), 1, F.greatest(F.size(F.split(text, "\n")) - 1, F.lit(0)))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Events of log files of JSON lines; torn and malformed lines are passed over."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(whole_lines(F.col("value"))).alias("value"))
+    return parse_lines(lines)
+
+
+def tail_state(before: DataFrame, now: DataFrame) -> DataFrame:
+    """One row (kind, head): how a log that was read up to ``before``'s last id goes on.
+
+    append: more events or none; log_replaced: the last known event is gone or another one has its id.
+    """
+    known = before.agg(F.max_by("key", "id").alias("_key"), F.max("id").alias("_id"))
+    found = now.join(F.broadcast(known), F.lit(True)).agg(F.count_if((F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key"))).alias("_n"), F.coalesce(F.max("id"), F.lit(0)).alias("head"))
+    # nothing was read before: whatever is there is new
+    fresh = known.select(F.col("_id").isNull().alias("_none"))
+    return found.join(fresh, F.lit(True)).select(F.when(F.col("_none") | (F.col("_n") > 0), "append").otherwise("log_replaced").alias("kind"), "head")
+
+
+def reconcile(log: DataFrame, signals: DataFrame, batches: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Events of what was committed and isn't logged, with their ids: forecasts by observation date, then
+    news batches, then jobs; doing it again gives none.
+
+    ``signals`` (key, observation_date, arm), ``batches`` and ``jobs`` (key, at): derived from artifacts.
+    """
+    blank = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    parts = [
+        signals.select("key", F.lit("signal.issued").alias("type"), F.lit(0).alias("stage"), F.col("observation_date").cast("string").alias("at"), F.col("arm").alias("arm")),
+        batches.select("key", F.lit("news.ingested").alias("type"), F.lit(1).alias("stage"), F.col("at").cast("string").alias("at"), *blank("arm")),
+        jobs.select("key", F.lit("job.status").alias("type"), F.lit(2).alias("stage"), F.col("at").cast("string").alias("at"), *blank("arm")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return append(log, every, ["stage", "at", "arm", "key"]).select("id", "key", "type")
+
+
+def job_event(spark: SparkSession, job: str, status: str, at: str) -> DataFrame:
+    """The record of a job's last run, as one event."""
+    return spark.createDataFrame([(f"{job}/{at}", "job.status", at, status)], "key string, type string, at string, status string")
+
+
+def walked(pages: DataFrame, max_pages: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Links found by walking stored listing pages in order, and whether each walk came to its end.
+
+    ``pages`` (ticker, year, page, status, redirect, declared, links): status null is a failed fetch,
+    declared the number of pages that a listing names. A walk is complete if it ended on a page without
+    anything new, on the declared last page, or was sent to an error page past that.
+    Returns (ticker, year, url, list_date) and (ticker, year, complete).
+    """
+    walk = ["ticker", "year"]
+    total = pages.where("status = 200").groupBy(*walk).agg(F.min_by("declared", "page").alias("_total"))
+    links = pages.where("status = 200").select(*walk, "page", F.inline("links")).groupBy(*walk, "url").agg(F.min("page").alias("page"), F.min_by("list_date", "page").alias("list_date"))
+    new = links.groupBy(*walk, "page").agg(F.count(F.lit(1)).alias("_new"))
+    known = pages.join(total, walk, "left").join(new, [*walk, "page"], "left")
+    sent_away = F.coalesce(F.col("status").isin(301, 302, 303, 307, 308) & F.col("redirect").contains("/Error") & (F.col("page") > F.col("_total")), F.lit(False))
+    fine = F.coalesce(F.col("status") == 200, F.lit(False))
+    ended = F.when(~fine, F.when(sent_away, True).otherwise(False)).when(F.col("_new").isNull(), True).when(F.col("page") >= F.col("_total"), True)
+    stops = known.where(F.col("page") <= max_pages).withColumn("_end", ended).where("_end is not null").groupBy(*walk).agg(F.min("page").alias("_stop"), F.min_by("_end", "page").alias("complete"))
+    walks = pages.select(*walk).distinct().join(stops, walk, "left").select(*walk, "_stop", F.coalesce("complete", F.lit(False)).alias("complete"))
+    kept = links.join(walks, walk).where(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
+    return kept.where(F.col("page") <= max_pages).select(*walk, "url", "list_date"), walks.select(*walk, "complete")
+
+
 def committed_batches(ledger: DataFrame, outputs: DataFrame) -> DataFrame:
     """Ledger rows whose recorded digest is that of an output that exists: the batches that happened."""
     return ledger.join(outputs.select(F.col("sha256").alias("output_sha256")).distinct(), "output_sha256", "left_semi")

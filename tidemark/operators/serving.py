@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import trend_label
-from tidemark.operators.sessions import OPEN, seconds
+from tidemark.functions.text import reader_label
+from tidemark.operators.sessions import OPEN, last_known, seconds
 from tidemark.schemas import CLASSES
 
 PROBABILITIES = ("prob_down", "prob_flat", "prob_up")
@@ -85,6 +86,25 @@ def top_news(aligned: DataFrame, sessions: DataFrame, observation: Column, lookb
     return sure.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def today(latest: DataFrame, closes: DataFrame, news: DataFrame, sessions: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """What a reader sees of the latest forecasts: a row for each ticker with the close of its observation
+    session, the band of flat prices, whether it is out of date, and the news behind it with titles.
+
+    ``news`` is aligned and has titles; the last sessions up to the newest observation count. Bounds are
+    those the forecast was issued with, else those of ``thresholds``.
+    """
+    newest = latest.agg(F.max("observation_date").alias("_newest"))
+    past = sessions.join(F.broadcast(newest), F.lit(True)).where(F.col("session_date") <= F.col("_newest"))
+    shown = top_news(news, past.drop("_newest"), F.col("session_date"))
+    cards = F.array_sort(F.collect_list(F.struct("place", "title", "url", F.round("conviction", 6).alias("conviction"), reader_label().alias("label"))))
+    by_ticker = shown.groupBy("ticker").agg(cards.alias("news"))
+    close = last_known(closes, latest.select("ticker", "observation_date"), "close")
+    bounds = thresholds.select(F.col("q_low").alias("_l"), F.col("q_high").alias("_h"))
+    rows = latest.join(close, ["ticker", "observation_date"], "left").join(by_ticker, "ticker", "left").join(F.broadcast(newest), F.lit(True)).join(F.broadcast(bounds), F.lit(True))
+    band = flat_band(F.col("last_close"), F.coalesce("threshold_low", "_l"), F.coalesce("threshold_high", "_h"))
+    return rows.select("ticker", "observation_date", "y_pred", F.greatest(*PROBABILITIES).alias("confidence"), "last_close", *band, (F.col("observation_date") < F.col("_newest")).alias("stale"), F.coalesce(F.size("news"), F.lit(0)).alias("n_news"), "news")
+
+
 def flat_band(close: Column, low: Column, high: Column) -> list[Column]:
     """Prices at the class bounds, rounded half to even."""
     return [F.bround(close * (1 + t), 2).alias(n) for t, n in ((low, "band_low"), (high, "band_high"))]

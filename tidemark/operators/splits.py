@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import key_hash
+from tidemark.operators.sessions import to_local
+from tidemark.schemas import refuse, require_columns
 
 
 def ranked_dates(panel: DataFrame, column: str = "target_date") -> DataFrame:
@@ -79,6 +81,53 @@ def stratified_folds(rows: DataFrame, k: int, label: str, key: str, seed: int =
     return rows.withColumn("fold", F.when(F.col(fold_by) == "eval", (F.row_number().over(order) - 1) % k))
 
 
+def time_column(rows: DataFrame) -> str:
+    """Which column dates a text: ``date`` if there is one, else ``published_at``; without either it raises."""
+    for name in ("date", "published_at"):
+        if name in rows.columns:
+            return name
+    raise ValueError("neither date nor published_at: texts can't be split by time")
+
+
+def text_split(rows: DataFrame, val_frac: float = 0.1, test_frac: float = 0.1) -> DataFrame:
+    """Texts with their split, by whole local dates of the study's zone; a row without a date raises."""
+    dated = rows.withColumn("_day", F.to_date(to_local(rows, time_column(rows))))
+    refuse(dated.where(F.col("_day").isNull()), "no valid time")
+    return assign(dated, chronological_split(dated, val_frac, test_frac, "_day"), "_day").drop("_day")
+
+
+def stratum_folds(rows: DataFrame, k: int, label: str, key: str, eval_strata: tuple[str, ...], stratum: str = "stratum", seed: int = 42) -> DataFrame:
+    """Adds fold 0..k-1 to rows of evaluation strata (or of none), null to those that only ever train.
+
+    Enriched strata don't keep the classes' shares, so nothing is measured on them. A missing column, an
+    empty pool or a class with fewer than k rows raises.
+    """
+    require_columns(rows, stratum, label)
+    own = rows.withColumn("_use", F.when(F.col(stratum).isNull() | F.col(stratum).isin(*eval_strata), "eval").otherwise("train"))
+    sizes = {r[label]: r["count"] for r in own.where("_use = 'eval'").groupBy(label).count().collect()}
+    if not sizes:
+        raise ValueError(f"no row belongs to {eval_strata}")
+    if len(sizes) < 3 or min(sizes.values()) < k:
+        raise ValueError(f"each of three classes needs {k} rows: {sizes}")
+    return stratified_folds(own, k, label, key, seed, "_use").drop("_use")
+
+
+def inner_validation(rows: DataFrame, fold: int, label: str, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """Adds split for one outer fold: its rows test, a stratified share of all others validates, drawn only
+    from rows that have a fold themselves, so that it keeps the classes' shares; the rest trains."""
+    outer = rows.withColumn("_test", F.coalesce(F.col("fold") == fold, F.lit(False)))
+    counts = outer.where("not _test").agg(F.ceil(F.count(F.lit(1)) * share).alias("want"), F.count("fold").alias("pool")).first()
+    if counts["want"] >= counts["pool"]:
+        raise ValueError("the pool is too small for a validation part")
+    pool = (~F.col("_test")) & F.col("fold").isNotNull()
+    order = Window.partitionBy("_pool", label).orderBy(key_hash("inner", seed, F.col(key)), key)
+    ranked = outer.withColumn("_pool", pool).withColumn("_r", F.row_number().over(order) - 1)
+    # of each class the first rows, as many as its share of the pool
+    cut = F.bround(F.count(F.lit(1)).over(Window.partitionBy("_pool", label)) * (counts["want"] / counts["pool"]), 0)
+    split = F.when(F.col("_test"), "test").when(F.col("_pool") & (F.col("_r") < cut), "val").otherwise("train")
+    return ranked.withColumn("split", split).drop("_test", "_pool", "_r")
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, val_frac: float, test_frac: float, seed: int = 42) -> DataFrame:
     """Random split within each label, at least one row of validation and test each."""
     order = Window.partitionBy(label).orderBy(key_hash(F.lit(seed), F.col(key)), key)

@@ -204,17 +204,22 @@ def window_bootstrap(spark, d):
     return evaluation.window_bootstrap(evaluation.paired_delta(scored, "price_sentiment", "price", "macro_f1"), DRAWS, 7)
 
 
-DRAWN = f"""confdaily AS (SELECT window, target_date, arm, seed, {cells()} FROM predictions WHERE arm IN ('price_sentiment', 'price') GROUP BY ALL),
+def drawn_sql(treated: str, control: str) -> str:
+    """CTEs up to long: each draw's metric deltas of two arms, -1 for the sample itself."""
+    return f"""confdaily AS (SELECT window, target_date, arm, seed, {cells()} FROM predictions WHERE arm IN ('{treated}', '{control}') GROUP BY ALL),
 {sql_weights("confdaily", "target_date", 7, "window")},
 summed AS (
     SELECT draw, window, arm, seed, {', '.join(f'sum(c{i}{j} * weight) AS c{i}{j}' for i in range(3) for j in range(3))} FROM weights JOIN confdaily USING (window, target_date) GROUP BY ALL
     UNION ALL SELECT -1, window, arm, seed, {', '.join(f'sum(c{i}{j})' for i in range(3) for j in range(3))} FROM confdaily GROUP BY ALL),
 armed AS (SELECT draw, window, arm, {', '.join(f'avg({v}) AS {k}' for k, v in metric_sql().items())} FROM summed GROUP BY ALL),
 drawn AS (SELECT draw, {', '.join(f'avg({m}) AS {m}' for m in METRICS.split())} FROM
-    (SELECT draw, window, {', '.join(f"sum(CASE WHEN arm = 'price_sentiment' THEN {m} ELSE -{m} END) AS {m}" for m in METRICS.split())} FROM armed GROUP BY ALL) GROUP BY draw),
+    (SELECT draw, window, {', '.join(f"sum(CASE WHEN arm = '{treated}' THEN {m} ELSE -{m} END) AS {m}" for m in METRICS.split())} FROM armed GROUP BY ALL) GROUP BY draw),
 long AS ({' UNION ALL '.join(f"SELECT draw, '{m}' AS metric, {m} AS value FROM drawn" for m in METRICS.split())})"""
 
 
+DRAWN = drawn_sql("price_sentiment", "price")
+
+
 @query(
     """SELECT metric, quantile_cont(CASE WHEN draw >= 0 THEN value END, 0.025) AS low, quantile_cont(CASE WHEN draw >= 0 THEN value END, 0.975) AS high,
               avg(CASE WHEN draw >= 0 THEN CASE WHEN value <= 0 THEN 1.0 ELSE 0.0 END END) AS p_le_zero, max(CASE WHEN draw = -1 THEN value END) AS mean,

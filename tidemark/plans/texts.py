@@ -14,6 +14,7 @@ from tidemark.operators.eventlog import fetch_queue as fetch_queue_of
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.panel import NEWS
 from tidemark.sources.derived import BARS, bars, news, read
+from tidemark.sources.staging import staged
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -177,7 +178,8 @@ def capped_weighted_draw(spark, d):
 def strata_draw(spark, d):
     """All four strata; two thirds of the pool have scores, which are drawn by key."""
     priors = [F.when(draw(3, "scored", F.col("url")) > 0, p).alias(c) for c, p in zip(curation.PROBABILITIES, prior_columns(), strict=True)]
-    rows = pool(spark, d).select("*", *priors)
+    # every stratum is drawn from the pool: it is written once, without the texts
+    rows = staged(pool(spark, d).select("doc_id", "ticker", "url", "negative_cues", "positive_cues", *priors), "pool")
     return curation.draw_strata(rows, {"eval_random": 50, "train_negative": 60, "train_positive": 40, "train_active": 30}).select("doc_id", "stratum", "usage", "inclusion_probability")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, panel, serving, texts
+from tidemark.plans import evaluation, panel, runs, serving, texts
 
-CATALOGS = (panel.CATALOG, evaluation.CATALOG, texts.CATALOG, serving.CATALOG)
+CATALOGS = (panel.CATALOG, evaluation.CATALOG, texts.CATALOG, serving.CATALOG, runs.CATALOG)
 
 
 def queries() -> dict:
