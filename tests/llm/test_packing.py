@@ -51,3 +51,16 @@ def test_edge_cases(spark):
     ids = [i for r in rows.collect() for i in r.doc_ids]
     assert set(ids) == {i for i, t in cases.EDGE if t}
     assert packing.packed(cases.empty(spark)).collect() == []
+
+
+def test_task_splits_change_nothing(spark, tmp_path):
+    rows = [(k % 7, f"text {k % 5} " * (1 + k % 40)) for k in range(300)]
+    spark.createDataFrame(rows, cases.DOCS).repartition(6).write.parquet(f"{tmp_path}/in")
+    before, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for most in ("1000", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            found.append(cases.rows(packing.packed(spark.read.parquet(f"{tmp_path}/in"), row=64, buffer=50), "ids", "doc_ids", "doc_offsets"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1]

@@ -6,9 +6,11 @@ the open row with the least room that still holds it, which a segment tree over
 log(row length) steps. Each row of the packed matrix comes with cumulative segment lengths and the
 positions at which position ids start anew.
 
-Packing is local to a buffer of ``BUFFER`` segments of a task, so nothing is shuffled and a lost task is
-packed again alike; rows that a buffer leaves partly empty are the cost. Ids are unsigned 16-bit
-little-endian numbers, rows are filled up with ``PAD``.
+Documents are dealt to buckets by a hash of where they are stored (file and row), so the packing doesn't
+depend on how the input is split into tasks, a lost task is packed again alike and no bucket is hot,
+however often a text or an id repeats. Only ids travel, two bytes each. A bucket is packed in buffers of
+at most ``BUFFER`` segments; the rows that a buffer leaves partly empty are the cost. Ids are unsigned
+16-bit little-endian numbers, rows are filled up with ``PAD``.
 
 Defined results: null and empty texts have no tokens and appear in no row; repeated rows are packed
 each; special strings in a text are ordinary text; a null id is carried as null.
@@ -101,35 +103,43 @@ def packed_rows(held: list[tuple], row: int = ROW, pad: int = PAD) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["ids", "doc_ids", "doc_offsets", "cu_seqlens", "resets", "n_tokens"])
 
 
-_ENCODINGS: dict[int, tiktoken.Encoding] = {}
-
-
 def encoding(raw: bytes) -> tiktoken.Encoding:
-    key = hash(raw)
-    if key not in _ENCODINGS:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
-        _ENCODINGS[key] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[key]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def packed(docs: DataFrame, path: str | None = None, row: int = ROW, buffer: int = BUFFER) -> DataFrame:
     """The rows of the packed matrix; ``resets`` are the places where position ids start at 0."""
-    common.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(bpe_vocab.read(path or public_tokenizers.path(VOCABULARY)))
+    rows, (doc_id, text) = common.located(docs.select("doc_id", "text"), "doc_id", "text")
+    n = max(1, -(-rows.count() * 4 // (3 * buffer)))
+    place = F.xxhash64("_file", "_row")
+    placed = rows.select(F.pmod(place, F.lit(n)).alias("bucket"), place.alias("place"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    names = ["bucket", "place", "doc_id", "doc_offset", "ids"]
+
+    def encoded(batches):
+        encode = encoding(sent.value).encode_ordinary
+        for batch in batches:
+            held = []
+            for bucket, at, own, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held += [(bucket, at, own, offset, ids.tobytes()) for _, offset, ids in segments(own, np.array(encode(t), "<u2") if t else (), row)]
+            columns = list(zip(*held, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.binary()], strict=True)], names=names)
 
     def run(batches):
-        encode, held = encoding(sent.value).encode_ordinary, []
+        held, current = [], None
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for segment in segments(doc_id, np.array(encode(text), "<u2") if text else (), row):
-                    held.append(segment)
-                    if len(held) >= buffer:
-                        yield packed_rows(held, row)
-                        held = []
+            for bucket, _, own, offset, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (bucket != current or len(held) >= buffer):
+                    yield packed_rows(held, row)
+                    held = []
+                current = bucket
+                held.append((own, offset, np.frombuffer(ids, "<u2")))
         if held:
             yield packed_rows(held, row)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    dealt = common.mapped(placed, encoded, "bucket long, place long, doc_id long, doc_offset long, ids binary").repartition("bucket")
+    return common.mapped(dealt.sortWithinPartitions("bucket", "place", "doc_offset"), run, SCHEMA)
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> None:
