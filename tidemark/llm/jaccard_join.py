@@ -53,7 +53,7 @@ BLOCK, SLICE, FIRST_TRY = 64, 256, 8
 #: Groups that hold a token, from which it counts as frequent, and the most tokens that do.
 HOT, FREQUENT = 8, 1 << 20
 #: Tokens of a bucket of the matrix, and tokens that a task holds before it sends them.
-BUCKET_TOKENS, HELD_TOKENS = 500_000, 200_000
+BUCKET_TOKENS, HELD_TOKENS = 400_000, 100_000
 #: Pairs that a task adds up before it sends them.
 HELD_PAIRS = 100_000
 #: Groups of a token that are paired in one place; those of a token with more are dealt over a triangle of cells.

@@ -19,6 +19,7 @@ rows the greatest label counts; repeated documents score alike; null labels aren
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ THRESHOLD = 0.7
 #: Evidence (G2) of a slot and of a pair of slots that gives them weights, and the decay of weights and factors.
 EVIDENCE, PAIR_EVIDENCE, DECAY = 20.0, 45.0, 1e-4
 #: Slots whose pairs are tested, the most pairs that are taken, and slots and texts counted at a time.
-PAIR_SLOTS, PAIRS, SLOT_BLOCK, TEXT_BLOCK = 3072, 512, 256, 1024
+PAIR_SLOTS, PAIRS, SLOT_BLOCK, TEXT_BLOCK = 3072, 512, 64, 1024
 #: Passes over the sample, and steps at least if it is small.
 EPOCHS, STEPS = 30, 1800
 #: Words end at ASCII characters other than letters and digits.
@@ -122,18 +123,20 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
 
 def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Slots with evidence of their own or together with another slot, from the distinct texts."""
-    distinct = sorted({(r.tobytes(), t) for r, t in zip(rows, y.tolist(), strict=True)})
-    rows, y = [np.frombuffer(r, np.int32) for r, _ in distinct], np.array([t for _, t in distinct])
-    sizes, n = np.array([len(r) for r in rows]), 1 << SLOT_BITS
-    have = np.array([np.bincount(np.concatenate(rows), np.repeat(y == k, sizes), n) for k in (0, 1)])
+    seen: set[tuple[bytes, float]] = set()
+    first = [k for k, r in enumerate(rows) if (own := (hashlib.blake2b(r.tobytes(), digest_size=16).digest(), y[k])) not in seen and not seen.add(own)]
+    rows, y = [rows[k] for k in first], y[first]
+    flat = [np.concatenate([np.empty(0, np.int32), *(r for r, t in zip(rows, y, strict=True) if t == k)]) for k in (0, 1)]
+    occurring = np.unique(np.concatenate(flat))
+    have = np.array([np.bincount(np.searchsorted(occurring, f), minlength=len(occurring)) for f in flat])
+    del flat
     total = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    alone = likelihood_ratio(have[:, None], total) if total.all() else np.zeros(n)
-    own = np.flatnonzero(alone >= EVIDENCE)
+    alone = likelihood_ratio(have[:, None], total) if total.all() else np.zeros(len(occurring))
     rarer = int(total[1] < total[0])
     tested = np.sort(np.argsort(-have[rarer], kind="stable")[:PAIR_SLOTS])
     tested = tested[have[rarer][tested] > 0]
-    found = pairs_with_evidence(rows, y, tested, have[:, tested], total, alone[tested])
-    return np.union1d(own, tested[found.ravel()])
+    found = pairs_with_evidence(rows, y, occurring[tested], have[:, tested], total, alone[tested])
+    return np.union1d(occurring[alone >= EVIDENCE], occurring[tested][found.ravel()]).astype(np.int64)
 
 
 def likelihood_ratio(have: np.ndarray, total: np.ndarray) -> np.ndarray:
