@@ -80,7 +80,7 @@ def test_targets_and_excess(spark):
 def test_ewm_equals_the_recursion(spark):
     values = [math.sin(k) for k in range(30)]
     rows = spark.createDataFrame([("A", dt.date(2024, 1, 1) + dt.timedelta(k), v) for k, v in enumerate(values)], "ticker string, observation_date date, x double")
-    found = [r.y for r in rows.withColumn("y", panel.ewm("x", 5, panel.by_session())).orderBy("observation_date").collect()]
+    found = [r.y for r in panel.ewm(rows, "x", 5, "y").orderBy("observation_date").collect()]
     y = values[0]
     for got, x in zip(found, values):
         y = x if x is values[0] else (1 - 2 / 6) * y + 2 / 6 * x
