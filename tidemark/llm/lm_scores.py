@@ -43,7 +43,7 @@ from tidemark.llm.shingles import grams, word_hashes
 
 #: Words of the longest n-gram and the factor of a backoff.
 ORDER, BACKOFF = 3, 0.4
-SHARD_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+SHARD_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 
 
 def cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -70,8 +70,10 @@ def hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def occurrences(words: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams of all texts in a row; a text of k words has k - n + 1, or none."""
-    ends = np.cumsum(sizes)
-    return np.concatenate([np.empty(0, np.uint64), *(grams(words[e - s : e], n) for s, e in zip(sizes, ends, strict=True) if s >= n)])
+    found = grams(words, n)
+    # words from each place to the end of its text: grams that run over it are left out
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
+    return found[left[: len(found)] >= n]
 
 
 def scores(words: np.ndarray, sizes: np.ndarray, count, total: int, order: int, backoff: float) -> np.ndarray:
