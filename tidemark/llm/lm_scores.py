@@ -33,6 +33,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,16 @@ def from_planes(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def small(counts: np.ndarray) -> bytes:
+    """Counts by bytes, in as few bytes each as the greatest needs; the first byte says how many."""
+    kind = np.min_scalar_type(counts.max(initial=0))
+    return bytes([kind.itemsize]) + planes(counts.astype(kind))
+
+
+def from_small(packed: bytes) -> np.ndarray:
+    return from_planes(memoryview(packed)[1:], np.dtype(f"u{packed[0]}").type)
+
+
 def hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts in a row, and the number of words of each."""
     words = [word_hashes(t) for t in texts]
@@ -131,12 +142,13 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
             words, sizes = hashed(unpacked(packed)[1])
             for n in range(1, order + 1):
                 kinds, counts = np.unique(occurrences(words, sizes, n), return_counts=True)
-                counts, edges = counts.astype(np.uint32), cuts(kinds, bits)
+                edges = cuts(kinds, bits)
                 for bucket in np.flatnonzero(np.diff(edges)).tolist():
                     part = slice(edges[bucket], edges[bucket + 1])
-                    rows.append((bucket, shard, n, planes(np.diff(kinds[part], prepend=np.uint64(0))), planes(counts[part])))
+                    rows.append((bucket, shard, n, planes(np.diff(kinds[part], prepend=np.uint64(0))), small(counts[part])))
             # the number of all words is looked up as the gram of no words
-            rows.append((0, shard, 0, planes(np.zeros(1, np.uint64)), planes(np.array([len(words)], np.uint32))))
+            rows.append((0, shard, 0, planes(np.zeros(1, np.uint64)), small(np.array([len(words)]))))
+            del words, sizes, kinds, counts
         common.give_back()
         columns = zip(*rows, strict=True)
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "shard", "n", "grams", "counts"])
@@ -149,9 +161,9 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
             asked = [np.cumsum(from_planes(g, np.uint64), dtype=np.uint64) for g in own["grams"].to_pylist()]
             borders = np.cumsum([0, *map(len, asked)])
             table, place = np.unique(np.concatenate(asked), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([from_planes(c, np.uint32) for c in own["counts"].to_pylist()]), len(table)).astype(np.uint64)
+            counts = np.bincount(place, np.concatenate([from_small(c) for c in own["counts"].to_pylist()]), len(table)).astype(np.uint64)
             joined = counts[place]
-            rows += [(shard, n, bucket, planes(joined[a:b])) for shard, bucket, a, b in zip(own["shard"].to_pylist(), own["bucket"].to_pylist(), borders[:-1], borders[1:], strict=True)]
+            rows += [(shard, n, bucket, small(joined[a:b])) for shard, bucket, a, b in zip(own["shard"].to_pylist(), own["bucket"].to_pylist(), borders[:-1], borders[1:], strict=True)]
         common.give_back()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["shard", "n", "bucket", "counts"])
 
@@ -160,16 +172,18 @@ def with_lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         for packed in shards["documents"].to_pylist():
             ids, texts = unpacked(packed)
             words, sizes = hashed(texts)
-            parts: dict[int, list] = {}
-            for n, bucket, counts in zip(*(joined[c].to_pylist() for c in ("n", "bucket", "counts")), strict=True):
-                parts.setdefault(n, []).append((bucket, counts))
+            del texts
+
+            def parts(n: int) -> list[np.ndarray]:
+                own = joined.filter(pc.equal(joined["n"], n)).sort_by("bucket")
+                return [from_small(c.as_py()) for c in own["counts"]]
 
             def count(n: int) -> np.ndarray:
-                own = [from_planes(c, np.uint64) for _, c in sorted(parts.get(n, ()))]  # noqa: B023
                 kinds, place = np.unique(occurrences(words, sizes, n), return_inverse=True)  # noqa: B023
-                return np.concatenate([np.empty(0, np.uint64), *own])[place].astype(np.float64)
+                del kinds
+                return np.concatenate([np.empty(0, np.uint8), *parts(n)])[place].astype(np.float64)  # noqa: B023
 
-            total = int(from_planes(parts[0][0][1], np.uint64)[0])
+            total = int(parts(0)[0][0])
             found[0] += ids
             found[1] += sizes.tolist()
             found[2] += scores(words, sizes, count, total, order, backoff).tolist()
