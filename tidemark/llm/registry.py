@@ -6,6 +6,7 @@ from tidemark.llm import (
     bpe_codec,
     decontamination,
     exact_dedup,
+    filter_audit,
     jaccard_join,
     language_id,
     license_scan,
@@ -15,7 +16,7 @@ from tidemark.llm import (
     toxicity,
 )
 
-MODULES = (token_counts, exact_dedup, language_id, toxicity, license_scan, jaccard_join, bpe_codec, lm_scores, packing, decontamination)
+MODULES = (token_counts, exact_dedup, language_id, toxicity, license_scan, jaccard_join, bpe_codec, lm_scores, packing, decontamination, filter_audit)
 
 
 def queries() -> dict:
