@@ -14,6 +14,7 @@ LABELS = "doc_id long, quality int, toxic int"
 
 def brute(docs, labels):
     """Filters applied one after the other, for every order."""
+    labels = [x for x in labels if x[0] is not None]
     good = {i for i, q, _ in labels if q == 1}
     toxic = {i for i, _, t in labels if t == 1}
     first = {}

@@ -7,6 +7,7 @@ from tidemark.llm import (
     decontamination,
     exact_dedup,
     filter_audit,
+    importance,
     jaccard_join,
     language_id,
     license_scan,
@@ -16,7 +17,7 @@ from tidemark.llm import (
     toxicity,
 )
 
-MODULES = (token_counts, exact_dedup, language_id, toxicity, license_scan, jaccard_join, bpe_codec, lm_scores, packing, decontamination, filter_audit)
+MODULES = (token_counts, exact_dedup, language_id, toxicity, license_scan, jaccard_join, bpe_codec, lm_scores, packing, decontamination, importance, filter_audit)
 
 
 def queries() -> dict:
