@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm import (
     bpe_codec,
     decontamination,
+    embedding_dedup,
     exact_dedup,
     filter_audit,
     importance,
@@ -17,7 +18,7 @@ from tidemark.llm import (
     toxicity,
 )
 
-MODULES = (token_counts, exact_dedup, language_id, toxicity, license_scan, jaccard_join, bpe_codec, lm_scores, packing, decontamination, importance, filter_audit)
+MODULES = (token_counts, exact_dedup, language_id, toxicity, license_scan, jaccard_join, bpe_codec, lm_scores, packing, decontamination, embedding_dedup, importance, filter_audit)
 
 
 def queries() -> dict:
