@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources import event_log
+
 LINE = "id long, ts string, type string, key string, data string"
-TYPES = ("signal.issued", "news.ingested", "job.status")
+TYPES = event_log.TYPES
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -51,15 +53,9 @@ def replay(log: DataFrame, last_event_id: str | None) -> DataFrame:
     return events.unionByName(refused)
 
 
-def whole_lines(text: Column) -> Column:
-    """The lines of a log file that end in a line break: what a crash tore off is no line yet."""
-    return F.slice(F.split(text, "\n"), 1, F.greatest(F.size(F.split(text, "\n")) - 1, F.lit(0)))
-
-
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of log files of JSON lines; torn and malformed lines are passed over."""
-    lines = spark.read.text(path, wholetext=True).select(F.explode(whole_lines(F.col("value"))).alias("value"))
-    return parse_lines(lines)
+    """Events of a log of JSON lines, dealt by ranges of bytes; torn and malformed lines are passed over."""
+    return event_log.read_log(spark, path).where("kind = 'event'").select("id", "ts", "type", "key", "data")
 
 
 def tail_state(before: DataFrame, now: DataFrame) -> DataFrame:
