@@ -5,6 +5,7 @@ Predictions are derived: an arm repeats the true label with a chance of its own,
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats
 from tidemark.functions.draws import draw, sql_hash, sql_uniform, uniform
 from tidemark.functions.metrics import per_class
-from tidemark.operators import backtest, evaluation, ic, ladder, quality, serving, splits
+from tidemark.operators import backtest, evaluation, ic, ladder, quality, runs, serving, splits, training
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.panel import FEATURES, TO_LABELS, WORLD, full_panel, labelled
 from tidemark.schemas import CLASSES
 from tidemark.sources.derived import BARS, bars, inputs
-from tidemark.sources.staging import once
+from tidemark.sources.staging import once, shared_dir
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -270,6 +271,45 @@ def accuracy_pivot(spark, d):
     return predictions(spark, d).groupBy("target_date", "arm").agg(right).groupBy("target_date").pivot("arm", sorted(ARMS)).agg(F.first("a"))
 
 
+# --- the whole experiment ---------------------------------------------------
+
+PRICE = ["ret_1d", "log_ret_1d", "roll_vol_5", "ma_ratio_5", "vol_change_1d"]
+SENTIMENT = [
+    "news_count", "has_news", "sent_prob_negative_mean", "sent_prob_neutral_mean", "sent_prob_positive_mean", "sent_pos_ratio", "sent_neg_ratio",
+    "sent_pos_minus_neg", "sent_dispersion", "sent_pos_minus_neg_roll", "sent_pos_minus_neg_ewm", "news_count_roll_sum", "has_news_roll_mean",
+]
+
+
+def whole_experiment(spark, d):
+    """Folder of a run of the whole ladder with recurrent arms and three seeds; made once for the tables."""
+
+    def run():
+        predictions, models = training.experiment(full_panel(spark, d), PRICE, SENTIMENT, WINDOWS, TEST, VAL)
+        path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}/ladder"
+        training.write_experiment(path, predictions, models, training.experiment_summary(predictions, DRAWS), training.NETWORK)
+        return spark.createDataFrame([(path,)], "path string")
+
+    root, name = once(spark, "experiment", inputs(d, *WORLD), run).first()["path"].rsplit("/", 1)
+    return lambda table: runs.run_table(spark, root, name, table)
+
+
+@query()
+def experiment_summary(spark, d):
+    """Arms and differences of a run with majority, random, logistic and recurrent arms."""
+    return whole_experiment(spark, d)("summary")
+
+
+@query()
+def experiment_networks(spark, d):
+    """What the training of each network did: losses and validation scores by epoch, and the epoch that was kept."""
+    return whole_experiment(spark, d)("networks")
+
+
+@query()
+def experiment_predictions(spark, d):
+    return whole_experiment(spark, d)("predictions")
+
+
 # --- the book ---------------------------------------------------------------
 
 RETURNS = "realized AS (SELECT ticker, observation_date AS target_date, ret_1d AS realized_return FROM features WHERE ret_1d IS NOT NULL)"
