@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.draws import draw, sql_hash, sql_uniform, uniform
-from tidemark.operators import curation, evaluation, quality, splits
+from tidemark.operators import curation, evaluation, quality, splits, textcv
 from tidemark.operators.eventlog import fetch_queue as fetch_queue_of
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.panel import NEWS
@@ -355,3 +355,22 @@ def truncation(spark, d):
 @query("SELECT CASE n % 3 WHEN 0 THEN 'NEGATIVE' WHEN 1 THEN 'NEUTRAL' ELSE 'POSITIVE' END AS label, n AS sample_id FROM (SELECT unnest(range(60)) AS n)")
 def synthetic_labels(spark, d):
     return spark.range(60).select(F.element_at(F.array(F.lit("NEGATIVE"), F.lit("NEUTRAL"), F.lit("POSITIVE")), (F.col("id") % 3 + 1).cast("int")).alias("label"), F.col("id").alias("sample_id"))
+
+
+# --- the text classifier ----------------------------------------------------
+
+
+def labelled_articles(spark, d):
+    return articles(spark, d).join(labelled(spark, d), "doc_id")
+
+
+@query()
+def text_cross_validation(spark, d):
+    """Title and context, cross-validated over five folds with balanced classes."""
+    return textcv.cross_validated(labelled_articles(spark, d), "title_context", "head_tail")
+
+
+@query()
+def text_ablation(spark, d):
+    """Three inputs by three truncations, each cross-validated."""
+    return textcv.ablation(labelled_articles(spark, d), size=64, parallel=8)
