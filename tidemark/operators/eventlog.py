@@ -118,11 +118,6 @@ def committed_batches(ledger: DataFrame, outputs: DataFrame) -> DataFrame:
     return ledger.join(outputs.select(F.col("sha256").alias("output_sha256")).distinct(), "output_sha256", "left_semi")
 
 
-def output_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of files, read whole."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-
-
 def uncovered(work: DataFrame, coverage: DataFrame, wanted_through: str) -> DataFrame:
     """(ticker, year) that must be walked: years not covered through the wanted date."""
     covered = coverage.where(F.col("walked_through") >= F.lit(wanted_through).cast("date"))

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.curation import keep_first, keep_last
 from tidemark.plans.catalog import Catalog
-from tidemark.sources import event_log
+from tidemark.plans.texts import ARTICLES, articles
+from tidemark.sources import event_log, ledger, snapshots
 from tidemark.sources.staging import shared_dir
 
 CATALOG = Catalog()
@@ -65,3 +67,58 @@ def log_scan(spark, d):
     log = folder(spark, "log")
     event_log.write_segments(logged(spark, d), log)
     return event_log.read_log(spark, log, rangeBytes=1 << 18).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+# --- the ledger of output batches -------------------------------------------
+
+BATCHES = 6
+
+
+@query(
+    f"""SELECT concat('batch-', b) AS key, count(*) AS n_rows, sum(value) AS value FROM (SELECT event_id % {BATCHES} AS b, value FROM events)
+        WHERE b NOT IN (1, 2, 5) GROUP BY b""",
+    doubles="value",
+)
+def prepared_batches(spark, d):
+    """Of batches that were prepared: without the one that is logged, one whose output never came and one whose output has changed."""
+    events, place = spark.read.parquet(f"{d}/events.parquet"), f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    records = f"{place}/ledger"
+    for b in range(BATCHES):
+        rows = events.where(F.col("event_id") % BATCHES == b)
+        if b == 2:
+            ledger.prepare(spark, records, "batch-2", f"{place}/2", "0" * 64, {"batch": 2})
+        else:
+            ledger.publish(rows, f"{place}/{b}", records, f"batch-{b}", {"batch": b})
+    events.where(F.col("event_id") % BATCHES == 5).limit(1).write.mode("append").parquet(f"{place}/5")
+    found = ledger.committed(spark, records, spark.createDataFrame([("batch-1",)], "key string"))
+    happened = found.select("key", F.get_json_object("data", "$.batch").cast("long").alias("b"))
+    rows = events.select((F.col("event_id") % BATCHES).alias("b"), "value")
+    return rows.join(F.broadcast(happened), "b").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("value"))
+
+
+# --- snapshots --------------------------------------------------------------
+
+STORE = f"""parsed AS (
+    SELECT url, doc_id AS article_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE title END AS title, body, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) END AS published_at FROM articles),
+older AS (SELECT * FROM parsed WHERE article_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY url ORDER BY article_id) = 1),
+newer AS (SELECT * FROM parsed WHERE article_id % 3 > 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY article_id DESC) = 1)"""
+
+
+@query(
+    """SELECT url, article_id, title, published_at, published_at IS NULL AS parse_failed FROM newer
+       UNION ALL SELECT url, article_id, title, published_at, published_at IS NULL FROM older WHERE url NOT IN (SELECT url FROM newer)""",
+    (ARTICLES, STORE),
+)
+def article_store(spark, d):
+    """The article store after two runs, each a few snapshots: the later parse of a page takes the place of the earlier."""
+    shown = F.when(F.col("doc_id") % 5 != 0, F.col("title")).alias("title")
+    when = F.when(F.col("doc_id") % 7 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))).alias("published_at")
+    parsed = articles(spark, d).select("url", F.col("doc_id").alias("article_id"), when, shown, "body")
+    part = F.col("article_id") % 3
+    older, newer = keep_first(parsed.where(part < 2), ["url"], "article_id"), keep_last(parsed.where(part > 0), ["url"], "article_id")
+    path = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex}"
+    flush = max(1, older.count() // 2)
+    snapshots.upsert_articles(older, path, flush)
+    snapshots.upsert_articles(newer, path, flush)
+    snapshots.expire(spark, path, 1)
+    return snapshots.read(spark, path).select("url", "article_id", "title", "published_at", "parse_failed")

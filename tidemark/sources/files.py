@@ -79,10 +79,11 @@ def dated_identity(path: Column) -> list[Column]:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Writes a whole table beside ``path`` and then takes its place, so readers see the old or the new one.
+    """Writes a whole table beside ``path`` and then takes its place.
 
-    The rows may come from the table that is replaced. A crash leaves the old table, or its copy under
-    ``<path>.old-...``, never half of one.
+    The rows may come from the table that is replaced. Readers never see half a table, but between the two
+    renames there is none at the path, and a crash just then leaves the old one under ``<path>.old-...``:
+    a table that is read all the time belongs into ``snapshots``.
     """
     spark, mark = rows.sparkSession, uuid.uuid4().hex
     system, place = file_system(spark, path)
