@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import eventlog, serving, sessions
@@ -9,6 +11,8 @@ from tidemark.plans.catalog import Catalog
 from tidemark.plans.evaluation import TO_PREDICTIONS, predictions
 from tidemark.plans.panel import ALIGNED, aligned, fitted, labelled
 from tidemark.sources.derived import BARS, NEWS, bars, read
+from tidemark.sources.staging import shared_dir
+from tidemark.streaming import limiter
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -166,19 +170,17 @@ def ledger_recovery(spark, d):
     return eventlog.committed_batches(ledger, outputs).select("batch", "n_rows")
 
 
+BUCKETS = """buckets AS (
+        SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS us, CAST(0 AS BIGINT) AS i, 3.0::DOUBLE AS have, 3.0::DOUBLE AS after FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL
+        SELECT t.user_id, t.event_id, t.us, t.i, h.v, CASE WHEN h.v >= 1 THEN h.v - 1 ELSE h.v END
+        FROM buckets b JOIN timed t ON b.user_id = t.user_id AND t.i = b.i + 1, LATERAL (SELECT least(3.0::DOUBLE, b.after + coalesce((t.us - b.us) / 1e6, 0) * (3 / 3600.0::DOUBLE)) AS v) h)"""
 TIMED = "timed AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
 @query(
     """SELECT user_id, event_id, CASE WHEN have >= 1 THEN 0.0::DOUBLE ELSE (1 - have) / (3 / 3600.0::DOUBLE) END AS retry_after FROM buckets WHERE i > 0""",
-    (
-        TIMED,
-        """buckets AS (
-        SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS us, CAST(0 AS BIGINT) AS i, 3.0::DOUBLE AS have, 3.0::DOUBLE AS after FROM (SELECT DISTINCT user_id FROM events)
-        UNION ALL
-        SELECT t.user_id, t.event_id, t.us, t.i, h.v, CASE WHEN h.v >= 1 THEN h.v - 1 ELSE h.v END
-        FROM buckets b JOIN timed t ON b.user_id = t.user_id AND t.i = b.i + 1, LATERAL (SELECT least(3.0::DOUBLE, b.after + coalesce((t.us - b.us) / 1e6, 0) * (3 / 3600.0::DOUBLE)) AS v) h)""",
-    ),
+    (TIMED, BUCKETS),
     "retry_after",
     recursive=True,
     places=4,
@@ -187,6 +189,24 @@ def token_bucket(spark, d):
     return eventlog.token_bucket(read(spark, d, "events"), 3, 3600.0)
 
 
+@query(
+    """SELECT user_id, event_id, CASE WHEN have >= 1 THEN 0.0::DOUBLE ELSE (1 - have) / (3 / 3600.0::DOUBLE) END AS retry_after FROM buckets WHERE i > 0""",
+    (TIMED, BUCKETS),
+    "retry_after",
+    recursive=True,
+    places=4,
+)
+def limiter_stream(spark, d):
+    """The bounded limiter over the requests as a stream; while clients fit, it answers as unbounded buckets do."""
+    events = read(spark, d, "events")
+    place = f"{shared_dir(spark)}/limiter-{uuid.uuid4().hex}"
+    # a pattern, as a table may be a file or a folder
+    requests = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    with limiter.stores(spark):
+        limiter.limited(requests, 3, 3600.0, most_clients=1 << 20, shards=8).writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/rows").select(F.col("user_id").cast("long").alias("user_id"), "event_id", "retry_after")
+
+
 @query(
     """SELECT user_id, max(open) AS most_open FROM (
            SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY moment, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM (
