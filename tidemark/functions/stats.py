@@ -43,6 +43,14 @@ def numbered_apart(rows: DataFrame, order: list, name: str) -> DataFrame:
     return in_order(rows.withColumn("_c", F.lit(1).cast("long")), order, "_c").withColumn(name, (F.col("_before") + 1).cast("int")).drop("_before", "_c")
 
 
+def numbered_within(rows: DataFrame, order: list[Column], name: str, *by: Column) -> DataFrame:
+    """Adds a row's number from 1 in the order within few large groups; null is a group of its own."""
+    groups = {f"_g{k}": F.coalesce(F.concat(F.lit("="), b.cast("string")), F.lit("")) for k, b in enumerate(by)}
+    keys = {f"_k{k}": o for k, o in enumerate(order)}
+    placed = in_order(rows.withColumns(groups | keys | {"_c": F.lit(1).cast("long")}), [F.col(k) for k in keys], "_c", *groups)
+    return placed.withColumn(name, (F.col("_before") + 1).cast("int")).drop("_before", "_c", *groups, *keys)
+
+
 def pearson(x: str, y: str) -> Column:
     """Aggregate; null for fewer than three rows or a side without spread."""
     spread = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (F.count(F.lit(1)) >= 3)

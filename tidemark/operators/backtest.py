@@ -106,25 +106,35 @@ def market_regression(rows: DataFrame, book: str, market: str) -> DataFrame:
     )
 
 
-def permuted(predictions: DataFrame, draws: int, seed: int, *by: str) -> DataFrame:
-    """Predictions whose labels are shuffled among the names of a session, for each draw."""
-    every = predictions.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    session = [*by, "seed", "target_date", "draw"]
-    own = every.withColumn("_k", F.row_number().over(Window.partitionBy(*session).orderBy("ticker")))
-    order = key_hash(seed, *[F.col(c).cast("string") for c in session], F.col("ticker"))
-    other = every.select(*session, F.col("y_pred").alias("_y"), F.row_number().over(Window.partitionBy(*session).orderBy(order, "ticker")).alias("_k"))
-    return own.drop("y_pred").join(other, [*session, "_k"]).drop("_k").withColumnRenamed("_y", "y_pred")
+def permuted_returns(predictions: DataFrame, returns: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, seed, target_date, g): the gross return of the session's book in each draw, whose labels are
+    shuffled among the session's names.
+
+    A session is one array of its names, in their order; each draw orders their labels by hashes of its own,
+    lays them on the names and sums weight times return, all within the row. Names without a return take
+    part in the shuffle and hold no position.
+    """
+    known = predictions.join(returns.select("ticker", "target_date", "realized_return"), ["ticker", "target_date"], "left")
+    own = known.groupBy("seed", "target_date").agg(F.array_sort(F.collect_list(F.struct("ticker", "y_pred", "realized_return"))).alias("_s"))
+    every = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    keys = [F.col(c).cast("string") for c in ("seed", "target_date", "draw")]
+    order = F.array_sort(F.transform("_s", lambda x: F.struct(key_hash(seed, *keys, x["ticker"]).alias("h"), x["ticker"].alias("t"), x["y_pred"].alias("y"))))
+    laid = F.transform("_s", lambda x, k: F.struct(F.element_at("_o", k + 1)["y"].alias("y"), x["realized_return"].alias("r")))
+    found = every.withColumn("_o", order).withColumn("_l", F.filter(laid, lambda x: x["r"].isNotNull()))
+    side = lambda label: F.filter("_l", lambda x: x["y"] == label)
+    total = lambda rows: F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["r"])
+    up, down = side("UP"), side("DOWN")
+    mean = lambda rows: F.coalesce(F.try_divide(total(rows), F.size(rows)), F.lit(0.0))
+    share = F.when((F.size(up) > 0) & (F.size(down) > 0), 1.0).otherwise(0.5)
+    return found.where(F.size("_l") > 0).select("draw", "seed", "target_date", (share * (mean(up) - mean(down))).alias("g"))
 
 
 def permutation_null(predictions: DataFrame, returns: DataFrame, draws: int, seed: int) -> DataFrame:
     """(draw, sharpe) of the cost-free book under shuffled labels; without cost there is no recursion.
 
-    Shuffling labels within a session needs the session's rows in every draw: rows times draws, dealt by
-    (draw, session), each of which is small.
+    Predictions are shuffled once, to their sessions; what leaves a session is one number for each draw.
     """
-    shuffled = permuted(predictions, draws, seed).join(returns, ["ticker", "target_date"])
-    weighted = positions(shuffled, "draw", "seed", "target_date")
-    daily = weighted.groupBy("draw", "seed", "target_date").agg(F.sum(F.col("weight") * F.col("realized_return")).alias("g"))
+    daily = permuted_returns(predictions, returns, draws, seed)
     series = daily.groupBy("draw", "target_date").agg(F.avg("g").alias("g"))
     std = F.stddev_samp("g")
     return series.groupBy("draw").agg(F.when(std > 0, F.avg("g") / std * F.sqrt(F.lit(SESSIONS_A_YEAR))).otherwise(0.0).alias("sharpe"))

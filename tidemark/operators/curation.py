@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import digests
 from tidemark.functions.draws import key_hash, uniform
+from tidemark.functions.stats import numbered_within
 from tidemark.functions.text import NEGATIVE_CUES, POSITIVE_CUES, cue_count, input_text, label_id
 from tidemark.schemas import refuse, require_columns
 
@@ -146,9 +148,9 @@ def class_matched_draw(rows: DataFrame, wanted: dict, label: str, seed: int, key
     have = {r[label]: r["count"] for r in rows.where(F.col(label).isin(*wanted)).groupBy(label).count().collect()}
     if short := {name: have.get(name, 0) for name, n in wanted.items() if have.get(name, 0) < n}:
         raise ValueError(f"too few rows: have {short}, want {wanted}")
-    order = Window.partitionBy(label).orderBy(key_hash("matched", seed, F.col(key)), key)
     sizes = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
-    return rows.where(F.col(label).isin(*wanted)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sizes[F.col(label)]).drop("_r")
+    placed = numbered_within(rows.where(F.col(label).isin(*wanted)), [key_hash("matched", seed, F.col(key)), F.col(key)], "_r", F.col(label))
+    return placed.where(F.col("_r") <= sizes[F.col(label)]).drop("_r")
 
 
 def merge_labels(batches: list[tuple[str, DataFrame]], valid: tuple[str, ...] = ("NEGATIVE", "NEUTRAL", "POSITIVE")) -> DataFrame:
@@ -258,18 +260,18 @@ def seed_texts(rows: DataFrame, codes: dict[int, str]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of all rows, whatever their order; nulls count as empty. It gathers a digest for each row:
-    for tables of results, not for facts."""
+    """One digest of all rows, whatever their order, by a tree of them; nulls count as empty."""
     if not rows.limit(1).count():
         raise ValueError("an empty frame has no fingerprint")
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    return rows.select(row.alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
+    return digests.multiset(rows.select(row.alias("h")), "h").withColumnRenamed("digest", "fingerprint")
 
 
 def batch_digest(rows: DataFrame) -> DataFrame:
     """The key of a batch of news: a digest of its sorted (ticker, url) lines, with counts by ticker."""
     line = F.concat_ws("\t", "ticker", "url")
-    digest = rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_set(line)), "\n"), 256).alias("batch_key"), F.count(F.lit(1)).alias("n_rows"))
+    lines = digests.multiset(rows.select(line.alias("line")).distinct(), "line", "\n").select(F.col("digest").alias("batch_key"))
+    digest = lines.join(rows.agg(F.count(F.lit(1)).alias("n_rows")), F.lit(True))
     counts = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
     by = counts.agg(F.array_sort(F.collect_list(F.concat_ws("=", "ticker", "n"))).alias("by_ticker"))
     return digest.join(by, F.lit(True)).withColumn("by_ticker", F.array_join("by_ticker", ","))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import numbered_within
 from tidemark.sources import event_log
 
 LINE = "id long, ts string, type string, key string, data string"
@@ -21,13 +22,13 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 def append(log: DataFrame, arrivals: DataFrame, order: list[str]) -> DataFrame:
     """The events that aren't in the log yet, with the ids that follow its last one.
 
-    Of arrivals with one key the first counts; ids are dense and in order of arrival. One writer at a
-    time; ids need one order, so a batch is numbered as a whole: batches are bounded by the trigger.
+    Of arrivals with one key the first counts; ids are dense and in order of arrival, numbered by ranges of
+    that order. One writer at a time.
     """
     fresh = arrivals.join(log.select("key").distinct(), "key", "left_anti")
     first = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("_r = 1").drop("_r")
     head = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_head"))
-    numbered = first.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    numbered = numbered_within(first, [F.col(c) for c in order], "_n")
     return numbered.join(F.broadcast(head), F.lit(True)).withColumn("id", F.col("_head") + F.col("_n")).drop("_head", "_n")
 
 

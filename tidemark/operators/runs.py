@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import digests
 from tidemark.operators import evaluation
 from tidemark.operators.evaluation import METRICS
 from tidemark.schemas import refuse, require_columns
@@ -125,10 +126,9 @@ def window_lines(gains: DataFrame) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """One digest of rows in their order. It gathers a digest for each row: for tables of results."""
+    """One digest of rows in their order, by a tree of them."""
     line = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    gathered = F.array_sort(F.collect_list(F.struct(*order, line.alias("h"))))
-    return rows.agg(F.sha2(F.array_join(F.transform(gathered, lambda x: x["h"]), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n_rows"))
+    return digests.ordered(rows.withColumn("_line", line), order, "_line")
 
 
 def article_coverage(articles: DataFrame) -> DataFrame:

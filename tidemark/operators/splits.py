@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import key_hash
+from tidemark.functions.stats import numbered_within
 from tidemark.operators.sessions import to_local
 from tidemark.schemas import refuse, require_columns
 
@@ -72,13 +73,17 @@ def dated_or_train(rows: DataFrame, dates: DataFrame, column: str) -> DataFrame:
     return known.unionByName(rows.drop("split").where(F.col(column).isNull()).withColumn("split", F.lit("train")))
 
 
+def by_hash(seed, key: str, *more: str) -> list:
+    """An order that is drawn by key."""
+    return [key_hash(*more, F.lit(seed), F.col(key)), F.col(key)]
+
+
 def stratified_folds(rows: DataFrame, k: int, label: str, key: str, seed: int = 42, fold_by: str | None = None) -> DataFrame:
     """Adds fold 0..k-1 in turn within each label; with ``fold_by`` only rows whose value is ``eval`` get one."""
-    order = Window.partitionBy(label).orderBy(key_hash(F.lit(seed), F.col(key)), key)
-    if fold_by is None:
-        return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
-    order = Window.partitionBy(label, fold_by).orderBy(key_hash(F.lit(seed), F.col(key)), key)
-    return rows.withColumn("fold", F.when(F.col(fold_by) == "eval", (F.row_number().over(order) - 1) % k))
+    groups = [F.col(label)] if fold_by is None else [F.col(label), F.col(fold_by)]
+    placed = numbered_within(rows.drop("fold"), by_hash(seed, key), "_r", *groups)
+    turn = (F.col("_r") - 1) % k
+    return placed.withColumn("fold", turn if fold_by is None else F.when(F.col(fold_by) == "eval", turn)).drop("_r")
 
 
 def time_column(rows: DataFrame) -> str:
@@ -120,18 +125,17 @@ def inner_validation(rows: DataFrame, fold: int, label: str, key: str, share: fl
     if counts["want"] >= counts["pool"]:
         raise ValueError("the pool is too small for a validation part")
     pool = (~F.col("_test")) & F.col("fold").isNotNull()
-    order = Window.partitionBy("_pool", label).orderBy(key_hash("inner", seed, F.col(key)), key)
-    ranked = outer.withColumn("_pool", pool).withColumn("_r", F.row_number().over(order) - 1)
+    ranked = numbered_within(outer.withColumn("_pool", pool), by_hash(seed, key, "inner"), "_r", F.col("_pool"), F.col(label))
     # of each class the first rows, as many as its share of the pool
-    cut = F.bround(F.count(F.lit(1)).over(Window.partitionBy("_pool", label)) * (counts["want"] / counts["pool"]), 0)
-    split = F.when(F.col("_test"), "test").when(F.col("_pool") & (F.col("_r") < cut), "val").otherwise("train")
-    return ranked.withColumn("split", split).drop("_test", "_pool", "_r")
+    cuts = ranked.groupBy("_pool", F.col(label).alias("_label")).agg(F.bround(F.count(F.lit(1)) * (counts["want"] / counts["pool"]), 0).alias("_cut")).withColumnRenamed("_pool", "_of")
+    ranked = ranked.join(F.broadcast(cuts), (F.col("_pool") == F.col("_of")) & F.col(label).eqNullSafe(F.col("_label")))
+    split = F.when(F.col("_test"), "test").when(F.col("_pool") & (F.col("_r") <= F.col("_cut")), "val").otherwise("train")
+    return ranked.withColumn("split", split).drop("_test", "_pool", "_r", "_of", "_label", "_cut")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, val_frac: float, test_frac: float, seed: int = 42) -> DataFrame:
     """Random split within each label, at least one row of validation and test each."""
-    order = Window.partitionBy(label).orderBy(key_hash(F.lit(seed), F.col(key)), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    n_test, n_val = (F.greatest(F.lit(1), F.bround(n * f, 0).cast("int")) for f in (test_frac, val_frac))
-    at = F.row_number().over(order)
-    return rows.withColumn("split", F.when(at <= n_test, "test").when(at <= n_test + n_val, "val").otherwise("train"))
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(*[F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * f, 0).cast("int")).alias(n) for f, n in ((test_frac, "_test"), (val_frac, "_val"))])
+    placed = numbered_within(rows, by_hash(seed, key), "_r", F.col(label)).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
+    split = F.when(F.col("_r") <= F.col("_test"), "test").when(F.col("_r") <= F.col("_test") + F.col("_val"), "val").otherwise("train")
+    return placed.withColumn("split", split).drop("_r", "_label", "_test", "_val")
