@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, logs, panel, runs, serving, texts
+from tidemark.plans import evaluation, files, logs, panel, runs, serving, texts
 
-CATALOGS = (panel.CATALOG, evaluation.CATALOG, texts.CATALOG, serving.CATALOG, runs.CATALOG, logs.CATALOG)
+CATALOGS = (panel.CATALOG, evaluation.CATALOG, texts.CATALOG, serving.CATALOG, runs.CATALOG, logs.CATALOG, files.CATALOG)
 
 
 def queries() -> dict:
