@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import cases
@@ -60,22 +61,52 @@ def test_scores_equal_the_sum_over_all_pairs():
 
 
 def test_pair_evidence_equals_brute_force(monkeypatch):
-    monkeypatch.setattr(toxicity, "SLOT_BLOCK", 7)
-    monkeypatch.setattr(toxicity, "TEXT_BLOCK", 100)
     rows, labels = pair_data(lambda x, y: x == y, n=400)
+    for gather in (1 << 20, 300, 20):
+        monkeypatch.setattr(toxicity, "GATHER", gather)
+
+        def g2(states):
+            n = len(labels)
+            return 2 * sum(c * np.log(c * n / ((states == s).sum() * (labels == y).sum())) for s in set(states) for y in (0, 1) if (c := ((states == s) & (labels == y)).sum()))
+
+        tested = np.unique(np.concatenate(rows))
+        has = np.array([np.isin(tested, r) for r in rows])
+        alone = np.array([g2(has[:, k].astype(int)) for k in range(len(tested))])
+        bound = toxicity.pair_bound(min(sum(len(r) ** 2 for r in rows), len(tested) ** 2) / 2)
+        brute = {(i, j) for i in range(len(tested)) for j in range(i + 1, len(tested)) if (has[:, i] & has[:, j]).any() and g2(2 * has[:, i] + has[:, j]) - alone[i] - alone[j] >= bound}
+        have = np.array([has[labels == k].sum(0) for k in (0, 1)], float)
+        total = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+        found = toxicity.pairs_with_evidence(rows, labels, tested, have, total, alone)
+        assert {tuple(p) for p in found.tolist()} == brute and len(brute) == 1
+
+
+@pytest.mark.parametrize("filler", [2_000, 5_000, 50_000])
+def test_pairs_are_found_in_any_vocabulary(filler):
+    # two planted pairs in 8 % of the texts, among words of which most are more frequent
+    rng = np.random.default_rng(filler)
+    pairs = [[toxicity.slot(w) for w in p] for p in ((b"insult", b"group"), (b"slur", b"folk"))]
+    words = np.array([toxicity.slot(f"f{k}".encode()) for k in range(filler)])
+    odds = 1 / np.arange(1, filler + 1) ** 0.7
+    odds /= odds.sum()
+    rows, labels = [], []
+    for k in range(3000):
+        own, label = set(words[rng.choice(filler, 60, p=odds)].tolist()), 0
+        if k % 12 == 0:
+            x, y = rng.random(2) < 0.5
+            own |= {s for s, there in zip(pairs[k // 12 % 2], (x, y)) if there}
+            label = int(x != y)
+        rows.append(np.array(sorted(own), np.int32))
+        labels.append(label)
+    active = set(toxicity.informative(rows, np.array(labels, float)).tolist())
+    assert {s for p in pairs for s in p} <= active and len(active) < 40
+
 
-    def g2(states):
-        n = len(labels)
-        return 2 * sum(c * np.log(c * n / ((states == s).sum() * (labels == y).sum())) for s in set(states) for y in (0, 1) if (c := ((states == s) & (labels == y)).sum()))
-
-    tested = np.unique(np.concatenate(rows))
-    has = np.array([np.isin(tested, r) for r in rows])
-    alone = np.array([g2(has[:, k].astype(int)) for k in range(len(tested))])
-    brute = {(i, j) for i in range(len(tested)) for j in range(i + 1, len(tested)) if g2(2 * has[:, i] + has[:, j]) - alone[i] - alone[j] >= toxicity.PAIR_EVIDENCE}
-    have = np.array([has[labels == k].sum(0) for k in (0, 1)], float)
-    total = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    found = toxicity.pairs_with_evidence(rows, labels, tested, have, total, alone)
-    assert {tuple(p) for p in found.tolist()} == brute and len(brute) == 1
+def test_small_samples_have_models(spark, tiny):
+    docs, labels = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    assert len(model.active) > 3
+    found = toxicity.with_scores(docs, model).join(labels.where("toxic is not null"), "doc_id").collect()
+    assert len({r.score for r in found}) > 5 and np.mean([r.predicted for r in found if r.toxic == 0]) < 0.03
 
 
 def test_edge_cases(spark):

@@ -3,12 +3,13 @@
 A document is its set of distinct terms, hashed to slots. The score is the logistic function of
 ``b + sum w_i + sum_{i<j} <v_i, v_j>``: the pairwise part learns combinations, such as an insult
 together with a group mention, that additive weights miss. Slots get weights and factors if there is
-evidence for them in the sample's distinct texts: their presence depends on the label (log-likelihood
-ratio of ``EVIDENCE``), or their presence together with another slot's depends on it beyond what both
-tell alone (``PAIR_EVIDENCE``, above what the millions of pairs tested give by chance). Pairs are tested
-among the ``PAIR_SLOTS`` slots that most texts of the rarer label have, and the ``PAIRS`` strongest are
-taken: the model's capacity, not a limit on data. Weights and factors are fitted together by Adam with
-decay. Training takes a bounded sample of
+evidence for them in the sample's distinct texts: their presence depends on the label, or their presence
+together with another slot's depends on it beyond what both tell alone. The log-likelihood ratio that is
+asked for is what so many tests give by chance and some more (``MARGINS``), and for single slots no more
+than a share of what a perfect one would have, so that small samples have models too. Every pair of slots
+that occur together is tested, however rare or common: pairs are counted text by text from an inverted
+index over a bounded sample of the texts (``PAIR_SAMPLE``, a parameter), and only slots too rare for any pair
+of theirs to have the evidence stay out. Weights and factors are fitted together by Adam with decay. Training takes a bounded sample of
 labelled rows (``SAMPLE``, a parameter) in the order of a hash of the id, so the same tables give the
 same model; scoring reads every whole text of all rows in one pass without a shuffle.
 
@@ -32,10 +33,13 @@ from tidemark.llm import common
 
 SLOT_BITS, FACTORS, SAMPLE = 20, 4, 20_000
 THRESHOLD = 0.7
-#: Evidence (G2) of a slot and of a pair of slots that gives them weights, and the decay of weights and factors.
-EVIDENCE, PAIR_EVIDENCE, DECAY = 20.0, 45.0, 1e-4
-#: Slots whose pairs are tested, the most pairs that are taken, and slots and texts counted at a time.
-PAIR_SLOTS, PAIRS, SLOT_BLOCK, TEXT_BLOCK = 3072, 512, 64, 1024
+#: Evidence (G2) that is asked for: of slots at most, and beyond what chance gives, for slots and for pairs; the share of a
+#: perfect slot's that is enough; decay.
+EVIDENCE, MARGINS, PERFECT, DECAY = 20.0, (4.0, 8.0), 0.25, 1e-4
+#: Labelled texts that pairs are counted in, half of them of the rarer label if there are as many.
+PAIR_SAMPLE = 3000
+#: Pairs of slots in texts that are counted at a time.
+GATHER = 1 << 20
 #: Passes over the sample, and steps at least if it is small.
 EPOCHS, STEPS = 30, 1800
 #: Words end at ASCII characters other than letters and digits.
@@ -131,12 +135,26 @@ def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     have = np.array([np.bincount(np.searchsorted(occurring, f), minlength=len(occurring)) for f in flat])
     del flat
     total = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    alone = likelihood_ratio(have[:, None], total) if total.all() else np.zeros(len(occurring))
-    rarer = int(total[1] < total[0])
-    tested = np.sort(np.argsort(-have[rarer], kind="stable")[:PAIR_SLOTS])
-    tested = tested[have[rarer][tested] > 0]
-    found = pairs_with_evidence(rows, y, occurring[tested], have[:, tested], total, alone[tested])
-    return np.union1d(occurring[alone >= EVIDENCE], occurring[tested][found.ravel()]).astype(np.int64)
+    if not total.all():
+        return np.empty(0, np.int64)
+    alone = likelihood_ratio(have[:, None], total)
+    perfect = likelihood_ratio(np.array([[[0.0]], [[total[1]]]]), total)[0]
+    single = min(EVIDENCE, 2 * np.log(len(occurring)) + MARGINS[0], PERFECT * perfect)
+    rows, y = paired_sample(rows, y)
+    have = np.zeros_like(have)
+    for r, t in zip(rows, y, strict=True):
+        have[int(t), np.searchsorted(occurring, r)] += 1
+    total = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    found = pairs_with_evidence(rows, y, occurring, have, total, likelihood_ratio(have[:, None], total))
+    return np.union1d(occurring[alone >= single], occurring[found.ravel()]).astype(np.int64)
+
+
+def paired_sample(rows: list[np.ndarray], y: np.ndarray, most: int = PAIR_SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
+    """At most so many texts: of the rarer label up to half of them, the rest of the other."""
+    rarer = float(y.sum() * 2 <= len(y))
+    own = np.flatnonzero(y == rarer)[: most // 2]
+    at = np.sort(np.concatenate([own, np.flatnonzero(y != rarer)[: most - len(own)]]))
+    return [rows[k] for k in at], y[at]
 
 
 def likelihood_ratio(have: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -147,32 +165,75 @@ def likelihood_ratio(have: np.ndarray, total: np.ndarray) -> np.ndarray:
         return 2 * np.where(cells > 0, cells * np.log(cells / expected), 0).sum((0, 1))
 
 
+def pair_bound(tests: float) -> float:
+    return 2 * np.log(max(tests, 1)) + MARGINS[1]
+
+
 def pairs_with_evidence(rows: list[np.ndarray], y: np.ndarray, tested: np.ndarray, have: np.ndarray, total: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of places in ``tested`` that tell about the label together what they don't tell alone."""
-    if not total.all() or len(tested) < 2:
+    """Pairs (i, j) of places in ``tested`` that occur together and tell about the label what they don't tell alone.
+
+    The log-likelihood that a slot of n texts can add to another's is n (ln N + 1) at most, with N texts.
+    """
+    n = have.sum(0)
+    sizes = np.array([len(r) for r in rows], float)
+    bound = pair_bound(min((sizes * sizes).sum(), float(len(tested)) ** 2) / 2)
+    able = np.flatnonzero(2 * n * (np.log(total.sum()) + 1) >= bound)
+    if len(able) < 2:
         return np.empty((0, 2), np.int64)
-    place = np.full(1 << SLOT_BITS, -1, np.int64)
-    place[tested] = np.arange(len(tested))
+    place = np.full(1 << SLOT_BITS, -1, np.int32)
+    place[tested[able]] = np.arange(len(able))
     kept = [k[k >= 0] for k in (place[r] for r in rows)]
-    strongest: list[tuple[float, int, int]] = []
-    for start in range(0, len(tested), SLOT_BLOCK):
-        stop = min(len(tested), start + SLOT_BLOCK)
-        # the pairs of these slots with themselves and those after them
-        both = np.zeros((2, stop - start, len(tested) - start), np.float32)
-        for label in (0, 1):
-            own = [r for r, t in zip(kept, y, strict=True) if t == label]
-            for k in range(0, len(own), TEXT_BLOCK):
-                texts = own[k : k + TEXT_BLOCK]
-                dense = np.zeros((len(texts), len(tested)), np.float32)
-                dense[np.repeat(np.arange(len(texts)), [len(r) for r in texts]), np.concatenate(texts)] = 1
-                both[label] += dense[:, start:stop].T @ dense[:, start:]
-        # label x (both, only i, only j) x i x j; the rest is neither
-        states = np.stack([both, have[:, start:stop, None] - both, have[:, None, start:] - both], axis=1)
-        more = likelihood_ratio(states, total) - alone[start:stop, None] - alone[None, start:]
-        i, j = np.nonzero(np.triu(more, 1) >= PAIR_EVIDENCE)
-        strongest += zip(more[i, j].tolist(), (i + start).tolist(), (j + start).tolist(), strict=True)
-        strongest = sorted(strongest, key=lambda x: (-x[0], x[1:]))[:PAIRS]
-    return np.array([x[1:] for x in strongest], np.int64).reshape(-1, 2)
+    ends = np.cumsum([len(k) for k in kept])
+    flat = np.concatenate(kept)
+    owner = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
+    # the occurrences of each slot, and how many slots follow in their texts, whose places ascend
+    order = np.argsort(flat, kind="stable")
+    after = ends[owner[order]] - order - 1
+    first = np.searchsorted(flat[order], np.arange(len(able) + 1))
+    counts, tell, toxic = have[:, able].astype(float), alone[able], (y > 0).astype(np.int64)
+    spread, rarer = np.log(total.sum()) + 1, total.min()
+
+    def following(start: int, stop: int) -> np.ndarray:
+        """Of the slots from ``start`` to ``stop``: twice the place of (slot, slot that follows in a text), and the text's label."""
+        at, more = slice(first[start], first[stop]), after[first[start] : first[stop]]
+        follow = np.repeat(order[at] + 1 - np.concatenate([[0], np.cumsum(more)[:-1]]), more) + np.arange(more.sum())
+        row = (flat[order[at]].astype(np.int64) - start) * len(able)
+        return 2 * (np.repeat(row, more) + flat[follow]) + np.repeat(toxic[owner[order[at]]], more)
+
+    held, out = [], []
+
+    def judge() -> None:
+        i, j, *together = np.concatenate(held, 1)
+        held.clear()
+        # what so many common texts can tell at most, and what can be told by there being few of them
+        can = 4 * (together[0] + together[1]) * spread + 4 * counts[:, i].sum(0) * counts[:, j].sum(0) / rarer >= bound
+        i, j, both = i[can], j[can], np.stack(together)[:, can].astype(float)
+        states = np.stack([both, counts[:, i] - both, counts[:, j] - both], axis=1)
+        strong = likelihood_ratio(states, total) - tell[i] - tell[j] >= bound
+        out.append(np.stack([able[i[strong]], able[j[strong]]], 1))
+
+    work = np.concatenate([[0], np.cumsum(after)])[first]
+    start = size = 0
+    while start < len(able):
+        # many slots with few that follow, or one with very many
+        stop = max(start + 1, int(np.searchsorted(work, work[start] + GATHER, "right")) - 1)
+        places = following(start, stop)
+        if stop == start + 1 and 4 * len(places) > len(able):
+            n_of = np.bincount(places, minlength=2 * len(able)).reshape(-1, 2)
+            met = np.flatnonzero(n_of[:, 0] + n_of[:, 1])
+            n_of = n_of[met].T
+        else:
+            places.sort()
+            met, begin = np.unique(places >> 1, return_index=True)
+            ones = np.add.reduceat(places & 1, begin) if len(met) else np.empty(0, np.int64)
+            n_of = np.stack([np.diff(np.append(begin, len(places))) - ones, ones])
+        held.append(np.stack([met // len(able) + start, met % len(able), *n_of]))
+        size += len(met)
+        start = stop
+        if size > GATHER or start == len(able):
+            judge()
+            size = 0
+    return np.concatenate(out)
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out: int | None = 1, folds: int = 3, sample: int = SAMPLE) -> Machine:
