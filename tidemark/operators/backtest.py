@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import key_hash
-from tidemark.functions.stats import SESSIONS_A_YEAR
+from tidemark.functions.stats import SESSIONS_A_YEAR, series_stats
+from tidemark.operators import evaluation
+from tidemark.schemas import CLASSES, refuse
+from tidemark.sources.staging import staged
 
 BOOK = ("gross_return", "cost", "net_return", "turnover", "gross_exposure", "net_exposure", "n_positions", "one_sided")
 
@@ -143,3 +148,43 @@ def permutation_null(predictions: DataFrame, returns: DataFrame, draws: int, see
 def break_even_bps(book: DataFrame) -> DataFrame:
     """Cost at which the mean gross return is spent on turnover, in basis points."""
     return book.agg((F.try_divide(F.avg("gross_return"), F.avg("turnover")) * 10_000).alias("break_even_bps"), F.avg("turnover").alias("mean_turnover"), F.avg("one_sided").alias("one_sided_fraction"))
+
+
+def backtest_report(predictions: DataFrame, returns: DataFrame, arm: str, cost_bps: float = 20.0, samples: int = 2000, seed: int = 7, permutations: int = 200) -> DataFrame:
+    """(section, statistic, value): everything that is told about one arm as an idealized close-to-close book.
+
+    Sections: ``net``, ``gross`` and the two benchmarks with their series' statistics, ``book`` (turnover,
+    exposures, break-even cost), ``gross_vs_market``, intervals of both series from drawn sessions and,
+    unless no ``permutations`` are wanted, the distribution of the gross Sharpe ratio under shuffled labels. An arm
+    without predictions and classes that aren't known raise.
+    """
+    own = predictions.where(F.col("arm") == arm)
+    if not own.limit(1).count():
+        raise ValueError(f"no predictions of {arm!r}")
+    refuse(own.where(~F.coalesce(F.col("y_pred").isin(*CLASSES), F.lit(False))).select("y_pred"), "unknown class")
+    book = staged(seed_average(daily_book(own, returns, cost_bps)), "book")
+    market = staged(benchmarks(returns, book), "benchmarks")
+
+    def told(section: str, row: DataFrame) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in row.columns])
+        return row.select(F.lit(section).alias("section"), F.inline(pairs))
+
+    def ends(section: str, column: str) -> DataFrame:
+        found = evaluation.series_bootstrap(book, column, "target_date", samples, seed)
+        return found.select(F.lit(section).alias("section"), F.inline(F.array(*[F.struct(F.concat("statistic", F.lit(f"_{c}")).alias("statistic"), F.col(c).alias("value")) for c in ("low", "high", "p_le_zero")])))
+
+    means = book.agg(F.avg("turnover").alias("mean_turnover"), F.avg("gross_exposure").alias("mean_gross_exposure"), F.avg(F.abs("net_exposure")).alias("mean_abs_net_exposure"), F.avg("one_sided").alias("one_sided_fraction"), F.avg("n_positions").alias("mean_positions"), (F.try_divide(F.avg("gross_return"), F.avg("turnover")) * 10_000).alias("break_even_bps"))
+    parts = [
+        *(told(name, series_stats(book, f"{name}_return", "target_date")) for name in ("net", "gross")),
+        *(told(name, series_stats(market, name, "target_date")) for name in ("equal_weight_rebalanced", "buy_and_hold")),
+        told("book", means),
+        told("gross_vs_market", market_regression(book.join(market, "target_date"), "gross_return", "equal_weight_rebalanced")),
+        ends("net_bootstrap", "net_return"),
+        ends("gross_bootstrap", "gross_return"),
+    ]
+    if permutations:
+        null = staged(permutation_null(own, returns, permutations, seed), "null")
+        real = series_stats(book, "gross_return", "target_date").select(F.col("annualized_sharpe").alias("_real"))
+        beaten = null.join(real, F.lit(True)).agg(F.avg("sharpe").alias("mean"), F.stddev_samp("sharpe").alias("std"), F.avg((F.col("sharpe") >= F.col("_real")).cast("double")).alias("share_at_least"), F.count(F.lit(1)).alias("draws"))
+        parts.append(told("permutation_null_gross_sharpe", beaten))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -158,10 +158,11 @@ def neutral_control(news: DataFrame) -> DataFrame:
 
 
 def fit_thresholds(train: DataFrame, low: float = 1 / 3, high: float = 2 / 3, column: str = "target_return") -> DataFrame:
-    """One row (q_low, q_high): exact, linearly interpolated quantiles of the finite training returns."""
+    """One row (q_low, q_high): exact, linearly interpolated quantiles of the finite training returns; without any it raises when it is read."""
     if not 0 < low < high < 1:
         raise ValueError("need 0 < low < high < 1")
-    return train.where(finite(F.col(column))).agg(F.percentile(column, low).alias("q_low"), F.percentile(column, high).alias("q_high"))
+    none = F.raise_error(F.lit("no finite training return")).cast("double")
+    return train.where(finite(F.col(column))).agg(*[F.coalesce(F.percentile(column, q), none).alias(n) for n, q in (("q_low", low), ("q_high", high))])
 
 
 def trend_label(value: Column, low: Column, high: Column) -> Column:

@@ -14,6 +14,7 @@ from tidemark.operators import evaluation
 from tidemark.operators.evaluation import METRICS
 from tidemark.schemas import refuse, require_columns
 from tidemark.sources.files import folders_with, replace, run_folder
+from tidemark.sources.staging import staged
 
 PAIRING = ["window", "seed", "ticker", "target_date", "y_true"]
 #: Keys of older records and what they are called now (fixed values).
@@ -75,6 +76,28 @@ def compare_runs(real: DataFrame, control: DataFrame, price: str, treated: str,
     return reduce(lambda a, b: a.unionByName(b), found).select("metric", "effect", "mean", "low", "high", "p_le_zero")
 
 
+def gain_report(real: DataFrame, control: DataFrame, price: str, treated: str, samples: int = 2000, seed: int = 7) -> DataFrame:
+    """(metric, effect, window, value, window_low, window_high, date_low, date_high): what news are worth, in full.
+
+    Rows with a window have its effect, averaged over seeds; those without have the mean over windows with
+    its intervals from drawn windows and from drawn dates. Pairing is checked as in ``compare_runs``.
+    """
+    dates = compare_runs(real, control, price, treated, samples, seed)
+    named = {"price": real.where(F.col("arm") == price), "real": real.where(F.col("arm") == treated), "neutral": control.where(F.col("arm") == treated)}
+    arms = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows.withColumn("arm", F.lit(name)) for name, rows in named.items()])
+    scores = staged(evaluation.scores(arms, "window", "arm", "seed"), "gain-scores")
+    parts = []
+    for effect, (a, b) in {"information_gain": ("real", "neutral"), "architecture": ("neutral", "price"), "naive": ("real", "price")}.items():
+        for metric in METRICS:
+            deltas = evaluation.paired_delta(scores, a, b, metric)
+            ends = evaluation.window_bootstrap(deltas, samples, seed).select(F.lit(None).cast("int").alias("window"), F.col("mean").alias("value"), F.col("low").alias("window_low"), F.col("high").alias("window_high"))
+            each = deltas.select(F.col("window").cast("int").alias("window"), F.col("delta").alias("value"))
+            parts.append(each.unionByName(ends, allowMissingColumns=True).select(F.lit(metric).alias("metric"), F.lit(effect).alias("effect"), "window", "value", "window_low", "window_high"))
+    whole = reduce(lambda x, y: x.unionByName(y), parts)
+    own = dates.select(F.col("metric").alias("_m"), F.col("effect").alias("_e"), F.col("low").alias("date_low"), F.col("high").alias("date_high"))
+    return whole.join(F.broadcast(own), (F.col("metric") == F.col("_m")) & (F.col("effect") == F.col("_e")) & F.col("window").isNull(), "left").drop("_m", "_e")
+
+
 def ladder_table(scores: DataFrame, deltas: list[tuple[str, str]], samples: int, seed: int, metric: str = "macro_f1") -> DataFrame:
     """(arm, mean, std, n_runs, low, high): every arm, and a DELTA row with an interval for each pair."""
     rows = scores.groupBy("arm").agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.count(F.lit(1)).alias("n_runs"))

@@ -446,6 +446,12 @@ def permutation_null(spark, d):
     return backtest.permutation_null(own, damped(spark, d), SHUFFLES, 7)
 
 
+@query()
+def backtest_report(spark, d):
+    """All that is told about one arm's book, as rows of sections and statistics."""
+    return backtest.backtest_report(predictions(spark, d), damped(spark, d), "price_sentiment", 20.0, DRAWS, 7, SHUFFLES)
+
+
 # --- information coefficients -----------------------------------------------
 
 TARGETS = """ictargets AS (

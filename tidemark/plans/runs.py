@@ -141,6 +141,15 @@ def compare_runs(spark, d):
     return runs.compare_runs(real, control, "price", "price_sentiment", DRAWS, 7)
 
 
+@query()
+def gain_report(spark, d):
+    """What news are worth by window and over all, with intervals from drawn windows and from drawn dates."""
+    every = predictions(spark, d)
+    real = every.where("arm in ('price', 'price_sentiment')")
+    control = every.where("arm in ('price', 'neutral')").withColumn("arm", F.when(F.col("arm") == "neutral", "price_sentiment").otherwise(F.col("arm")))
+    return runs.gain_report(real, control, "price", "price_sentiment", DRAWS, 7)
+
+
 CASES = [(c, f, s, e) for c in ("2024-05-01", "2024-07-01", None) for f in ("2024-06-01", None) for s in ("x", None) for e in ("x", "y", None)]
 CASE_SQL = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in c) + ")" for c in CASES)
 
