@@ -37,7 +37,7 @@ THRESHOLD = 0.7
 #: perfect slot's that is enough; decay.
 EVIDENCE, MARGINS, PERFECT, DECAY = 20.0, (4.0, 8.0), 0.25, 1e-4
 #: Labelled texts that pairs are counted in, half of them of the rarer label if there are as many.
-PAIR_SAMPLE = 3000
+PAIR_SAMPLE = 1500
 #: Pairs of slots in texts that are counted at a time.
 GATHER = 1 << 20
 #: Passes over the sample, and steps at least if it is small.
