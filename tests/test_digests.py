@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import digests, stats
+from tidemark.operators import curation
 
 
 def sha(text):
@@ -41,6 +42,21 @@ def test_a_tree_tells_what_rows_there_are_and_how_often(spark):
     assert nodes == {"": whole.digest}
 
 
+def test_digests_in_a_row_are_those_of_one_text_at_any_size(spark):
+    rows = ["b", "a", "b", "é", "", "hot\n", *(f"r{k}" for k in range(300)), *["hot"] * 200]
+    for separator, piece in (("", 8192), ("\n", 16), ("é", 1)):
+        assert tuple(digests.in_a_row(values(spark, rows), "v", separator, piece).first()) == (sha(separator.join(sorted(rows, key=str.encode))), 506)
+    assert tuple(digests.in_a_row(values(spark, rows).where("false"), "v").first()) == (sha(""), 0)
+
+
+def test_batch_key_has_no_size_at_which_it_changes(spark):
+    n = digests.LEAF + 50_000
+    rows = spark.range(n).select(F.concat(F.lit("T"), F.col("id") % 3).alias("ticker"), F.col("id").cast("string").alias("url"))
+    lines = [(f"T{k % 3}", str(k)) for k in range(n)]
+    found = curation.batch_digest(rows.unionByName(rows.limit(5))).first()
+    assert (found.batch_key, found.n_rows) == (sha("\n".join(sorted("\t".join(x) for x in lines))), n + 5)
+
+
 @pytest.mark.parametrize("leaf", [1000, 7, 2])
 def test_ordered_digests_depend_on_the_order(spark, leaf):
     rows = [(k, f"v{k % 5}") for k in range(50)]

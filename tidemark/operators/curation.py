@@ -270,7 +270,7 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
 def batch_digest(rows: DataFrame) -> DataFrame:
     """The key of a batch of news: a digest of its sorted (ticker, url) lines, with counts by ticker."""
     line = F.concat_ws("\t", "ticker", "url")
-    lines = digests.multiset(rows.select(line.alias("line")).distinct(), "line", "\n").select(F.col("digest").alias("batch_key"))
+    lines = digests.in_a_row(rows.select(line.alias("line")).distinct(), "line", "\n").select(F.col("digest").alias("batch_key"))
     digest = lines.join(rows.agg(F.count(F.lit(1)).alias("n_rows")), F.lit(True))
     counts = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
     by = counts.agg(F.array_sort(F.collect_list(F.concat_ws("=", "ticker", "n"))).alias("by_ticker"))
