@@ -49,10 +49,11 @@ def test_digests_in_a_row_are_those_of_one_text_at_any_size(spark):
     assert tuple(digests.in_a_row(values(spark, rows).where("false"), "v").first()) == (sha(""), 0)
 
 
-def test_batch_key_has_no_size_at_which_it_changes(spark):
+def test_fingerprint_and_batch_key_have_no_size_at_which_they_change(spark):
     n = digests.LEAF + 50_000
     rows = spark.range(n).select(F.concat(F.lit("T"), F.col("id") % 3).alias("ticker"), F.col("id").cast("string").alias("url"))
     lines = [(f"T{k % 3}", str(k)) for k in range(n)]
+    assert tuple(curation.fingerprint(rows, ["ticker", "url"]).first()) == (sha("".join(sorted(sha("\x1f".join(x)) for x in lines))), n)
     found = curation.batch_digest(rows.unionByName(rows.limit(5))).first()
     assert (found.batch_key, found.n_rows) == (sha("\n".join(sorted("\t".join(x) for x in lines))), n + 5)
 

@@ -260,11 +260,11 @@ def seed_texts(rows: DataFrame, codes: dict[int, str]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of all rows, whatever their order, by a tree of them; nulls count as empty."""
+    """One digest of all rows, whatever their order: of their sorted digests in a row; nulls count as empty."""
     if not rows.limit(1).count():
         raise ValueError("an empty frame has no fingerprint")
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    return digests.multiset(rows.select(row.alias("h")), "h").withColumnRenamed("digest", "fingerprint")
+    return digests.in_a_row(rows.select(row.alias("h")), "h").withColumnRenamed("digest", "fingerprint")
 
 
 def batch_digest(rows: DataFrame) -> DataFrame:
