@@ -40,6 +40,27 @@ def test_alignment(spark, published, ticker, n, status, session):
     assert found.as_of == (dt.datetime.combine(session, dt.time(15)) if session else None)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_news_are_read_once_and_mapped_as_day_by_day(spark, monkeypatch, limit):
+    monkeypatch.setattr(sessions.few, "__defaults__", (limit,))
+    days = {"AAA": [4, 5, 5, 11, 27], None: [6]}
+    own = [(t, dt.date(2021, 1, d)) for t, ds in days.items() for d in ds] + [("NUL", None)]
+    rows = [(t, dt.datetime(2021, 1, 1) + dt.timedelta(hours=8 * k)) for t in ("AAA", None, "NUL", "ZZZ") for k in range(90)]
+    news_rows = spark.createDataFrame(rows, "ticker string, published timestamp_ntz")
+    aligned = sessions.align_forward(news_rows, spark.createDataFrame(own, "ticker string, session_date date"), max_roll_days=3)
+    expected = set()
+    for t, p in rows:
+        effective = p.date() + dt.timedelta(p.hour > 15)
+        onward = [dt.date(2021, 1, d) for d in days.get(t, []) if dt.date(2021, 1, d) >= effective]
+        status = "no_calendar" if t not in days else "unmapped" if not onward else "stale" if (min(onward) - effective).days > 3 else "same_session" if min(onward) == p.date() else "next_session"
+        expected.add((t, p, status, min(onward) if status in ("same_session", "next_session") else None))
+    assert {(r.ticker, r.published, r.mapping_status, r.observation_date) for r in aligned.collect()} == expected and aligned.count() == len(rows)
+    plan = aligned._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("published" in line and ("LogicalRDD" in line or "LocalRelation" in line) for line in plan) == 1
+    none = sessions.align_forward(news_rows, spark.createDataFrame(own, "ticker string, session_date date"), max_roll_days=-1)
+    assert none.where("observation_date is not null").count() == 0
+
+
 def test_alignment_report_counts_every_status(spark):
     rows = spark.createDataFrame([("AAA", "2021-01-05 09:00:00"), ("AAA", None), ("ZZZ", "2021-01-05 09:00:00")], "ticker string, p string")
     aligned = sessions.align_forward(rows.select("ticker", F.col("p").cast("timestamp_ntz").alias("published")), calendar(spark, 5))
