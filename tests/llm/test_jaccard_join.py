@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm import cases
-from tidemark.llm import jaccard_join
+from tidemark.llm import common, jaccard_join, shingles
 from tidemark.llm.components import connected
 
 
@@ -113,3 +114,13 @@ def test_cells_pair_every_two_groups_of_a_token_once():
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(50, 0, -1)] + [(7, 7), (100, None), (200, 201)], "a long, b long")
     assert cases.rows(connected(links)) == sorted([(k, 1) for k in range(1, 52)] + [(200, 200), (201, 200)], key=repr)
+
+
+def test_rare_words_are_hashed_and_not_remembered():
+    words = [f"w{k}x" for k in range(30_000)]
+    assert shingles.word_hashes(" ".join(words).upper()).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+    known = {w.encode() for w in words}
+    assert not any(known & (m.keys() | m.older.keys()) for m in common.Memory.every)
+    text = "a b c d e a b c d e f"
+    assert shingles.shingle_set(text).tolist() == sorted(set(shingles.grams(shingles.word_hashes(text), 5).tolist())) and len(shingles.shingle_set(text)) == 6
+    assert len(shingles.shingle_set("")) == len(shingles.shingle_set(None)) == 0

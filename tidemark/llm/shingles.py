@@ -5,21 +5,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from tidemark.llm.common import Memory
-
 SIZE = 5
 #: Odd multipliers of the polynomial over word hashes and of the final mixing.
 P, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-#: word -> 64-bit hash.
-_WORDS = Memory(xxhash.xxh64_intdigest, 8 << 20)
-
-
 def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words: runs of anything but ASCII white space, with A-Z lower-cased."""
+    """Hashes of the words: runs of anything but ASCII white space, with A-Z lower-cased.
+
+    Hashing a word takes less than looking it up: most words of a large corpus are rare.
+    """
     found = text.encode().lower().split() if text else ()
-    return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -39,7 +36,13 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """The distinct shingles, ascending; a shorter text is one shingle as a whole, an empty one has none."""
     hashes = word_hashes(text)
-    return np.unique(grams(hashes, min(size, len(hashes)))) if len(hashes) else np.empty(0, np.uint64)
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    found = np.sort(grams(hashes, min(size, len(hashes))))
+    first = np.empty(len(found), bool)
+    first[0] = True
+    np.not_equal(found[1:], found[:-1], out=first[1:])
+    return found[first]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
