@@ -51,7 +51,8 @@ def prepared(rows: DataFrame, variant: str, how: str, key: str, size: int = TOKE
     cut = made.withColumn("tokens", truncated(tokens(F.col("input_text")), size, how))
     found = HashingTF(inputCol="tokens", outputCol="features", numFeatures=terms).transform(cut)
     kept = [c for c in (key, "label_id", "features", "fold", "stratum") if c in found.columns]
-    return staged(found.select(kept), "text-features")
+    # stored with a number, by which what is drawn over keys finds its row even where a key isn't unique
+    return staged(found.select(*kept, F.monotonically_increasing_id().alias("_row")), "text-features")
 
 
 def folded(rows: DataFrame, folds: int, key: str, seed: int, eval_strata: tuple[str, ...] | None) -> DataFrame:
@@ -101,9 +102,23 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
-def run_fold(rows: DataFrame, fold: int, key: str, seed: int, penalties: tuple[float, ...], balanced: bool, path: str | None) -> dict:
+def with_splits(rows: DataFrame, folds: int, key: str, seed: int, eval_strata: tuple[str, ...] | None) -> DataFrame:
+    """Rows with ``split_<fold>`` for each fold, made once: splits are drawn over keys and labels alone and meet the features in one join."""
+    names = [c for c in ("fold", "stratum") if c in rows.columns]
+    own = staged(folded(rows.select("_row", key, "label_id", *names), folds, key, seed, eval_strata), "cv-folds")
+    numbers = [r[0] for r in own.where("fold is not null").select("fold").distinct().orderBy("fold").collect()]
+    refuse(own.where((F.col("fold") < 0) | (F.col("fold") >= folds)), f"folds must be 0 to {folds - 1}")
+    if len(numbers) != folds:
+        raise ValueError(f"{folds} folds are wanted, the rows have {numbers}")
+    every = own.select("_row", key, "label_id", "fold")
+    for f in numbers:
+        every = staged(splits.inner_validation(every, f, "label_id", key, seed=seed + f + 1).withColumnRenamed("split", f"split_{f}"), "cv-splits")
+    return staged(rows.select("_row", "features").join(every, "_row"), "cv-rows")
+
+
+def run_fold(rows: DataFrame, fold: int, penalties: tuple[float, ...], balanced: bool, path: str | None) -> dict:
     """Trains without a fold, chooses the penalty on validation rows, and scores the fold."""
-    split = staged(splits.inner_validation(rows, fold, "label_id", key, seed=seed), "cv-fold")
+    split = rows.withColumn("split", F.col(f"split_{fold}"))
     train, val, test = (split.where(F.col("split") == s).withColumn("label", F.col("label_id").cast("double")) for s in ("train", "val", "test"))
     train, best = weighted(train, balanced), None
     for penalty in penalties:
@@ -132,13 +147,9 @@ def cross_validated(
     """
     spark = rows.sparkSession
     try:
-        own = staged(folded(prepared(rows, variant, how, key, size, terms, allow_preliminary), folds, key, seed, eval_strata), "cv-rows")
-        numbers = [r[0] for r in own.where("fold is not null").select("fold").distinct().orderBy("fold").collect()]
-        refuse(own.where((F.col("fold") < 0) | (F.col("fold") >= folds)), f"folds must be 0 to {folds - 1}")
-        if len(numbers) != folds:
-            raise ValueError(f"{folds} folds are wanted, the rows have {numbers}")
+        own = with_splits(prepared(rows, variant, how, key, size, terms, allow_preliminary), folds, key, seed, eval_strata)
         kept = path if path and save_models else None
-        found = at_once(spark, [lambda f=f: run_fold(own, f, key, seed + f + 1, penalties, balanced, kept) for f in numbers], parallel)
+        found = at_once(spark, [lambda f=f: run_fold(own, f, penalties, balanced, kept) for f in range(folds)], parallel)
     except BaseException:
         if path:
             for fold in range(folds):
