@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -80,6 +81,18 @@ def test_pair_evidence_equals_brute_force(monkeypatch):
         assert {tuple(p) for p in found.tolist()} == brute and len(brute) == 1
 
 
+def test_pairs_are_judged_in_bounded_memory():
+    # a small class and short texts: nearly every pair that occurs could have the evidence, and is judged
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(3000, 120, replace=False)).astype(np.int32) for _ in range(600)]
+    labels = (np.arange(600) % 20 == 0).astype(float)
+    tracemalloc.start()
+    toxicity.informative(rows, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 @pytest.mark.parametrize("filler", [2_000, 5_000, 50_000])
 def test_pairs_are_found_in_any_vocabulary(filler):
     # two planted pairs in 8 % of the texts, among words of which most are more frequent

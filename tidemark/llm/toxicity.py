@@ -38,8 +38,9 @@ THRESHOLD = 0.7
 EVIDENCE, MARGINS, PERFECT, DECAY = 20.0, (4.0, 8.0), 0.25, 1e-4
 #: Labelled texts that pairs are counted in, half of them of the rarer label if there are as many.
 PAIR_SAMPLE = 1500
-#: Pairs of slots in texts that are counted at a time.
-GATHER = 1 << 20
+#: Pairs of slots in texts that are counted, and pairs that are judged, at a time: the tables of a judged pair take
+#: some 400 bytes, and the fit is one task beside others in an executor's memory.
+GATHER, JUDGED = 1 << 18, 1 << 14
 #: Passes over the sample, and steps at least if it is small.
 EPOCHS, STEPS = 30, 1800
 #: Words end at ASCII characters other than letters and digits.
@@ -202,12 +203,10 @@ def pairs_with_evidence(rows: list[np.ndarray], y: np.ndarray, tested: np.ndarra
 
     held, out = [], []
 
-    def judge() -> None:
-        i, j, *together = np.concatenate(held, 1)
-        held.clear()
+    def judge(i: np.ndarray, j: np.ndarray, together: np.ndarray) -> None:
         # what so many common texts can tell at most, and what can be told by there being few of them
         can = 4 * (together[0] + together[1]) * spread + 4 * counts[:, i].sum(0) * counts[:, j].sum(0) / rarer >= bound
-        i, j, both = i[can], j[can], np.stack(together)[:, can].astype(float)
+        i, j, both = i[can], j[can], together[:, can].astype(float)
         states = np.stack([both, counts[:, i] - both, counts[:, j] - both], axis=1)
         strong = likelihood_ratio(states, total) - tell[i] - tell[j] >= bound
         out.append(np.stack([able[i[strong]], able[j[strong]]], 1))
@@ -231,9 +230,11 @@ def pairs_with_evidence(rows: list[np.ndarray], y: np.ndarray, tested: np.ndarra
         size += len(met)
         start = stop
         if size > GATHER or start == len(able):
-            judge()
-            size = 0
-    return np.concatenate(out)
+            found = np.concatenate(held, 1)
+            held, size = [], 0
+            for a in range(0, found.shape[1], JUDGED):
+                judge(*found[:2, a : a + JUDGED], found[2:, a : a + JUDGED])
+    return np.concatenate([np.empty((0, 2), np.int64), *out])
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out: int | None = 1, folds: int = 3, sample: int = SAMPLE) -> Machine:
