@@ -97,6 +97,40 @@ def test_state_is_bounded_by_the_clients_that_may_be_kept():
     assert not box.clients and not box.order and box.n == 0
 
 
+def test_a_batch_asks_the_store_for_a_client_once():
+    class Counted(State):
+        calls = 0
+
+        def containsKey(self, key):  # noqa: N802
+            Counted.calls += 1
+            return key in self
+
+        def getValue(self, key):  # noqa: N802
+            Counted.calls += 1
+            return self[key]
+
+    # clients that are idle for a window between any two of their requests are forgotten again and again
+    box = limiter.Buckets(2, 10.0, 100, None)
+    box.clients, box.order, box.ends = Counted(), Counted(), State()
+    for start in (0, 1000):
+        box.begin()
+        for k in range(600):
+            assert box.spend(f"u{k % 20}", start + k) == 0
+        box.keep()
+        assert len(box.clients) == box.n <= 20
+    assert Counted.calls < 200
+    # and those that stay are asked for once while the front of the order stays
+    box = limiter.Buckets(2, 1e9, 100, None)
+    box.clients, box.order, box.ends = Counted(), Counted(), State()
+    for users in ("ab", "b"):
+        box.begin()
+        Counted.calls = 0
+        for k in range(500):
+            box.spend(users[k % len(users)], k / 10)
+        box.keep()
+    assert Counted.calls < 20
+
+
 def test_settings_that_make_no_sense_raise(spark):
     rows = spark.createDataFrame([], "user_id string, event_id long, ts timestamp")
     for bad in ({"limit": 0, "window_seconds": 1.0}, {"limit": 1, "window_seconds": 0.0}, {"limit": 1, "window_seconds": 1.0, "most_clients": 3, "shards": 4}):
