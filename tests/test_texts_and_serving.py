@@ -139,3 +139,24 @@ def test_the_limiter_stream_equals_the_batch_fold(spark, tiny, tmp_path):
     streamed = {r.event_id: round(r.retry_after, 3) for r in spark.table("limited").collect()}
     folded = {r.event_id: round(r.retry_after, 3) for r in eventlog.token_bucket(requests, 2, 7200.0).collect()}
     assert streamed == folded and any(folded.values())
+
+
+def test_news_that_are_shown_are_chosen_before_joins(spark, tiny):
+    from tidemark.plans.panel import aligned, bars
+    from tidemark.plans.runs import titles
+    from tidemark.plans.serving import shown_news
+
+    day, own, every = F.lit("1998-02-01").cast("date"), bars(spark, tiny), aligned(spark, tiny)
+    few = shown_news(spark, tiny, day)
+    rows = lambda found: sorted(map(str, found.collect()))
+    last = serving.last_sessions(own, day).select("ticker", F.col("session_date").alias("observation_date"))
+    wanted = [x.join(last, ["ticker", "observation_date"], "left_semi") for x in (every, few)]
+    assert rows(wanted[0]) == rows(wanted[1]) != []
+    assert few.count() * 4 < every.count()
+    # titles are looked up for what is shown
+    latest = own.groupBy("ticker").agg(F.max("session_date").alias("observation_date")).select("*", F.lit("UP").alias("y_pred"), *[F.lit(p).alias(n) for p, n in zip((0.2, 0.3, 0.5), serving.PROBABILITIES, strict=True)], *[F.lit(None).cast("double").alias(n) for n in ("threshold_low", "threshold_high")])
+    bounds, named = spark.createDataFrame([(-0.1, 0.1)], "q_low double, q_high double"), titles(spark, tiny)
+    before = serving.today(latest, own, every.join(named, "url", "left"), own, bounds)
+    after = serving.today(latest, own, every, own, bounds, named)
+    assert rows(before) == rows(after)
+    assert any(n["title"] for r in after.collect() for n in r["news"] or [])

@@ -9,6 +9,7 @@ from tidemark.operators.panel import trend_label
 from tidemark.functions.text import reader_label
 from tidemark.operators.sessions import OPEN, last_known, seconds
 from tidemark.schemas import CLASSES
+from tidemark.sources.staging import staged
 
 PROBABILITIES = ("prob_down", "prob_flat", "prob_up")
 
@@ -73,10 +74,15 @@ def live_accuracy(resolved: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def last_sessions(sessions: DataFrame, observation: Column, lookback: int = 5) -> DataFrame:
+    """The last sessions of each ticker up to a date."""
+    past = sessions.where(F.col("session_date") <= observation)
+    return past.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("session_date")))).where(F.col("_r") <= lookback)
+
+
 def top_news(aligned: DataFrame, sessions: DataFrame, observation: Column, lookback: int = 5, k: int = 5) -> DataFrame:
     """The k news of each ticker that the classifier is surest of, from its last sessions up to a date."""
-    past = sessions.where(F.col("session_date") <= observation)
-    last = past.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("session_date")))).where(F.col("_r") <= lookback)
+    last = last_sessions(sessions, observation, lookback)
     own = aligned.join(last.select("ticker", F.col("session_date").alias("observation_date")), ["ticker", "observation_date"], "left_semi")
     sure = own.withColumns({"conviction": F.greatest("prob_negative", "prob_positive"), "_part": F.pmod(F.xxhash64("url"), F.lit(64))})
     # the best of each part of a ticker's news first, so that no task sorts all news of a busy one
@@ -86,16 +92,21 @@ def top_news(aligned: DataFrame, sessions: DataFrame, observation: Column, lookb
     return sure.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def today(latest: DataFrame, closes: DataFrame, news: DataFrame, sessions: DataFrame, thresholds: DataFrame) -> DataFrame:
+def today(latest: DataFrame, closes: DataFrame, news: DataFrame, sessions: DataFrame, thresholds: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """What a reader sees of the latest forecasts: a row for each ticker with the close of its observation
     session, the band of flat prices, whether it is out of date, and the news behind it with titles.
 
-    ``news`` is aligned and has titles; the last sessions up to the newest observation count. Bounds are
+    ``news`` is aligned and has titles, unless ``titles`` (url, title), one of a url at most, are given: those are
+    looked up for the few news that are shown. The last sessions up to the newest observation count. Bounds are
     those the forecast was issued with, else those of ``thresholds``.
     """
     newest = latest.agg(F.max("observation_date").alias("_newest"))
     past = sessions.join(F.broadcast(newest), F.lit(True)).where(F.col("session_date") <= F.col("_newest"))
     shown = top_news(news, past.drop("_newest"), F.col("session_date"))
+    if titles is not None:
+        shown = staged(shown, "shown-news")
+        own = titles.join(F.broadcast(shown.select("url").distinct()), "url", "left_semi")
+        shown = shown.join(F.broadcast(own), "url", "left")
     cards = F.array_sort(F.collect_list(F.struct("place", "title", "url", F.round("conviction", 6).alias("conviction"), reader_label().alias("label"))))
     by_ticker = shown.groupBy("ticker").agg(cards.alias("news"))
     close = last_known(closes, latest.select("ticker", "observation_date"), "close")

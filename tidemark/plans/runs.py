@@ -9,8 +9,8 @@ from tidemark.functions.text import published_at, reader_label
 from tidemark.operators import arms, curation, evaluation, eventlog, runs, serving, sessions, splits
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.evaluation import DELTAS, DRAWS, METRICS, SCORES, TO_PREDICTIONS, cells, drawn_sql, metric_sql, predictions, sql_weights
-from tidemark.plans.panel import ALIGNED, aligned, fitted, full_panel
-from tidemark.plans.serving import TO_ISSUED, issued
+from tidemark.plans.panel import ALIGNED, fitted, full_panel
+from tidemark.plans.serving import TO_ISSUED, issued, shown_news
 from tidemark.plans.texts import ARTICLES, LABELLED, POOL, articles, labelled, pool
 from tidemark.sources.derived import BARS, NEWS, bars, inputs, news, read
 from tidemark.sources.files import synthetic_prices as made_prices
@@ -207,7 +207,8 @@ def today(spark, d):
     """The reader's view of the latest forecasts: closes, bands, titles and labels in one answer."""
     latest = curation.keep_first(issued(spark, d), ["ticker"], F.desc("observation_date"))
     own = bars(spark, d)
-    shown = serving.today(latest, own, aligned(spark, d).join(titles(spark, d), "url", "left"), own, fitted(spark, d))
+    newest = latest.agg(F.max("observation_date")).first()[0]
+    shown = serving.today(latest, own, shown_news(spark, d, F.lit(newest)), own, fitted(spark, d), titles(spark, d))
     line = F.transform("news", lambda n: F.concat_ws("|", n["url"], n["title"], n["label"]))
     return shown.withColumn("shown", F.array_join(line, ";")).drop("news")
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import eventlog, serving, sessions
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.evaluation import TO_PREDICTIONS, predictions
-from tidemark.plans.panel import ALIGNED, aligned, fitted, labelled
-from tidemark.sources.derived import BARS, NEWS, bars, read
+from tidemark.plans.panel import ALIGNED, fitted, labelled
+from tidemark.sources.derived import BARS, NEWS, bars, news, read
 from tidemark.sources.staging import shared_dir
 from tidemark.streaming import limiter
 
@@ -72,6 +72,14 @@ def issue_diff(spark, d):
     return serving.differs(other, rows)
 
 
+def shown_news(spark, d, observation):
+    """Aligned news of at least the last sessions up to a date; all others are left out where they are read."""
+    own = bars(spark, d)
+    ends = serving.last_sessions(own, observation).agg(F.min("session_date"), F.max("session_date")).first()
+    found = news(spark, d) if ends[0] is None else sessions.between_sessions(news(spark, d), *ends)
+    return sessions.align_forward(found, own)
+
+
 @query(
     """SELECT ticker, url, observation_date, place, greatest(prob_negative, prob_positive) AS conviction FROM (
            SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY greatest(prob_negative, prob_positive) DESC, url) AS place FROM aligned
@@ -80,7 +88,8 @@ def issue_diff(spark, d):
     "conviction",
 )
 def top_news(spark, d):
-    return serving.top_news(aligned(spark, d), bars(spark, d), F.lit("1998-02-01").cast("date")).select("ticker", "url", "observation_date", "place", "conviction")
+    day = F.lit("1998-02-01").cast("date")
+    return serving.top_news(shown_news(spark, d, day), bars(spark, d), day).select("ticker", "url", "observation_date", "place", "conviction")
 
 
 @query(
