@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import panel, sessions, splits
+from tidemark.plans.catalog import sql_round
 from tidemark.sources.derived import bars, news
 
 
@@ -140,3 +141,23 @@ def test_windows_are_ordered_disjoint_and_raise_when_short(spark):
         splits.walk_forward(dates, 12, 5, 4, min_train=10)
     parts = {s: [r.date for r in splits.chronological_split(dates).where(F.col("split") == s).collect()] for s in ("train", "val", "test")}
     assert (len(parts["val"]), len(parts["test"])) == (8, 8) and max(parts["train"]) < min(parts["val"])
+
+
+def test_a_days_mean_does_not_depend_on_how_news_are_dealt(spark):
+    taxes, discounts = [k * 7 % 9 / 100 for k in range(128)], [k * 5 % 11 / 100 for k in range(128)]
+    rows = [(t * 5, 1 - t * 5 - d * 5, d * 5, "same_session", "A", dt.date(2024, 1, 2)) for t, d in zip(taxes, discounts)]
+    schema = "prob_negative double, prob_neutral double, prob_positive double, mapping_status string, ticker string, observation_date date"
+    means = {"sent_prob_negative_mean": [r[0] for r in rows], "sent_prob_neutral_mean": [r[1] for r in rows], "sent_prob_positive_mean": [r[2] for r in rows], "sent_pos_minus_neg": [r[2] - r[0] for r in rows]}
+    for given, parts in ((rows, 1), (rows[::-1], 3), (sorted(rows), 7)):
+        found = panel.daily_sentiment(spark.createDataFrame(given, schema).repartition(parts)).first()
+        assert found.news_count == 128 and {name: found[name] for name in means} == {name: math.fsum(x) / 128 for name, x in means.items()}
+
+
+def test_doubles_are_rounded_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    near = [(2 * k + 1) / (2 * 10**8) for k in range(3_000_000, 3_000_500)]
+    values = [0.048046874999999996, 0.037890625, -0.037890625, 1e305, float("inf"), None, *near, *[-math.nextafter(x, 0) for x in near], *[math.nextafter(x, 1) for x in near]]
+    expected = duckdb.sql("select list(round(x, 8) + 0.0) from (select unnest($1::double[]) as x)", params=[values]).fetchall()[0][0]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double")
+    found = [r.y for r in frame.select("k", (sql_round(F.col("x")) + F.lit(0.0)).alias("y")).orderBy("k").collect()]
+    assert found == expected
