@@ -227,15 +227,20 @@ def normalize_labels(labels: DataFrame) -> DataFrame:
     return ids.withColumn("label_id", F.col("_id")).drop("_id")
 
 
+def with_input(rows: DataFrame, variant: str, **options) -> DataFrame:
+    """Rows with the model's input text; rows without any go, and none left raises."""
+    made = rows.withColumn("input_text", input_text(variant, **options)).where("input_text is not null")
+    if not made.limit(1).count():
+        raise ValueError(f"no row has a text for {variant!r}")
+    return made
+
+
 def dedup_by_input(rows: DataFrame, variant: str, order: str, **options) -> DataFrame:
     """Rows with the model's input text, one for each text; rows without any go, and none left raises.
 
     The text is built first: what is one text for one variant may be two for another.
     """
-    made = rows.withColumn("input_text", input_text(variant, **options)).where("input_text is not null")
-    if not made.limit(1).count():
-        raise ValueError(f"no row has a text for {variant!r}")
-    return keep_first(made, ["input_text"], order)
+    return keep_first(with_input(rows, variant, **options), ["input_text"], order)
 
 
 def label_template(pool: DataFrame, preview: int = 500) -> DataFrame:
